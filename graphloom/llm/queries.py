@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read
-from . import near_duplicates, splits
+from . import near_duplicates, splits, tokenize, truncation
 
 
 def p1_found(spark, d):
@@ -22,8 +22,20 @@ def p2_classes(spark, d):
     return near_duplicates.record_classes(read(spark, d, "qa_records"))
 
 
+def p7_ids(spark, d):
+    return tokenize.encode_column(read(spark, d, "documents"), ["doc_id"])
+
+
+def p9_found(spark, d):
+    return truncation.score_documents(read(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p9_sources(spark, d):
+    return truncation.cut_share(read(spark, d, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p7_ids, p9_found, p9_sources)}
 
 
 def oracle_sql():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read
-from . import near_duplicates, splits, tokenize, truncation
+from . import near_duplicates, pairs, splits, tokenize, truncation
 
 
 def p1_found(spark, d):
@@ -22,6 +22,14 @@ def p2_classes(spark, d):
     return near_duplicates.record_classes(read(spark, d, "qa_records"))
 
 
+def p5_found(spark, d):
+    return pairs.broken_pairs(read(spark, d, "qa_records"))
+
+
+def p5_counts(spark, d):
+    return pairs.defect_counts(read(spark, d, "qa_records"))
+
+
 def p7_ids(spark, d):
     return tokenize.encode_column(read(spark, d, "documents"), ["doc_id"])
 
@@ -35,7 +43,7 @@ def p9_sources(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p7_ids, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p5_found, p5_counts, p7_ids, p9_found, p9_sources)}
 
 
 def oracle_sql():

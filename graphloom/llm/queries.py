@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read
-from . import near_duplicates, pairs, splits, tokenize, truncation
+from . import contamination, near_duplicates, pairs, splits, tokenize, truncation
 
 
 def p1_found(spark, d):
@@ -30,6 +30,14 @@ def p5_counts(spark, d):
     return pairs.defect_counts(read(spark, d, "qa_records"))
 
 
+def p6_found(spark, d):
+    return contamination.cross_split_overlaps(read(spark, d, "eval_examples"), read(spark, d, "qa_records")).select("eval_id", "train_table", "train_key")
+
+
+def p6_report(spark, d):
+    return contamination.overlap_report(read(spark, d, "eval_examples"), read(spark, d, "qa_records"))
+
+
 def p7_ids(spark, d):
     return tokenize.encode_column(read(spark, d, "documents"), ["doc_id"])
 
@@ -43,7 +51,7 @@ def p9_sources(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p5_found, p5_counts, p7_ids, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p5_found, p5_counts, p6_found, p6_report, p7_ids, p9_found, p9_sources)}
 
 
 def oracle_sql():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read
-from . import contamination, near_duplicates, pairs, splits, tokenize, truncation
+from . import contamination, near_duplicates, packing, pairs, splits, tokenize, truncation
 
 
 def p1_found(spark, d):
@@ -42,6 +42,14 @@ def p7_ids(spark, d):
     return tokenize.encode_column(read(spark, d, "documents"), ["doc_id"])
 
 
+def p8_containers(spark, d):
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark, d):
+    return packing.fill_report(p8_containers(spark, d), read(spark, d, "pack_sizes"))
+
+
 def p9_found(spark, d):
     return truncation.score_documents(read(spark, d, "documents")).where("cut").select("doc_id")
 
@@ -51,7 +59,7 @@ def p9_sources(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p5_found, p5_counts, p6_found, p6_report, p7_ids, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_classes, p5_found, p5_counts, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
 
 
 def oracle_sql():

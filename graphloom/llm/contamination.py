@@ -4,8 +4,8 @@ The evaluation texts are cut into shards of fixed size; each shard is indexed by
 Burrows-Wheeler transform of its word sequence with rank look-ups).  Training texts stream through backward search:
 every trigram gets the interval of evaluation suffixes that begin with it, so its count is known without touching a
 text.  A training text that has too many trigrams without any occurrence has no partner and ends there.  Of the others,
-the rarest trigrams, one more than a partner may lack, are located; each evaluation text found is compared exactly, and
-the matched positions are merged into spans.  No partner is lost and none is capped.
+the rarest trigrams, a few more than a partner may lack, are located; an evaluation text that is found often enough for
+its length is compared exactly, and the matched positions are merged into spans.  No partner is lost and none is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ SHARD_ROWS = 20_000
 #: Bytes of compressed indexes that one pass over the training data may broadcast; beyond it there are more passes.
 PASS_BYTES = 48_000_000
 NUM, DEN = 3, 5
+#: Trigrams beyond the least number that are located for each text; as many must be shared before texts are compared.
+LEVELS = 6
+#: Suffixes that are located at once.
+LOCATED = 2_000_000
 _READY: dict = {}
 
 
@@ -154,29 +158,43 @@ class Index:
         lacking = np.bincount(rdoc[rcount == 0], minlength=len(counts))
         may_lack = size - (num * size + den - 1) // den
         alive = (size > 0) & (lacking <= may_lack)
-        stop = np.cumsum(size)
-        for x in np.flatnonzero(alive):
-            r = rep[stop[x] - size[x] : stop[x]]
-            c = hi[r] - lo[r]
-            r = r[c > 0]
-            rare = r[np.argsort(hi[r] - lo[r], kind="stable")[: may_lack[x] + 1 - lacking[x]]]
-            found = np.unique(np.concatenate([self.doc_of[lo[k] : hi[k]] for k in rare])) if len(rare) else ()
-            if not len(found):
-                continue
-            p = pos[r]
-            mine = self.pack(s[p], s[p + 1], s[p + 2])
-            mine_sorted = np.sort(mine)
-            ny = self.sizes[found]
-            fits = (den * np.minimum(ny, size[x]) >= num * np.maximum(ny, size[x]))
-            for e in found[fits]:
-                theirs = self.sets[self.bounds[e] : self.bounds[e + 1]]
-                k = np.searchsorted(theirs, mine_sorted)
+        least = size - may_lack  # what any partner shares
+        levels = np.minimum(LEVELS, least)
+        # the rarest trigrams of each text that is left: of these, a partner has at least ``levels``
+        r = rep[alive[rdoc] & (rcount > 0)]
+        rd, rc = gdoc[r], hi[r] - lo[r]
+        o = np.lexsort((rc, rd))
+        r, rd, rc = r[o], rd[o], rc[o]
+        nth = np.arange(len(r)) - np.searchsorted(rd, rd)
+        use = nth < (may_lack + levels - lacking)[rd]
+        r, rd, rc = r[use], rd[use], rc[use]
+        taken = np.bincount(rd, minlength=len(counts))
+        run = np.concatenate([[0], np.cumsum(rc)])
+        starts = np.concatenate([np.flatnonzero(np.diff(rd, prepend=-1)), [len(rd)]])
+        pos_of, stop = pos, np.cumsum(size)
+        i = 0
+        while i < len(starts) - 1:
+            # texts whose located suffixes fill a block; a single text never has more than its trigrams times the shard
+            j = max(i + 1, int(np.searchsorted(run[starts], run[starts[i]] + LOCATED, side="right")) - 1)
+            s0, s1 = starts[i], starts[j]
+            i = j
+            n = rc[s0:s1]
+            at = np.repeat(lo[r[s0:s1]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            pair, hits = np.unique(np.repeat(rd[s0:s1], n) * self.docs + self.doc_of[at], return_counts=True)
+            x, e = pair // self.docs, pair % self.docs
+            nx, ny = size[x], self.sizes[e]
+            need = (num * (nx + ny) + num + den - 1) // (num + den)
+            ok = (den * np.minimum(ny, nx) >= num * np.maximum(ny, nx)) & (hits >= taken[x] + lacking[x] - (nx - need)) & (hits > 0)
+            for x1, e1 in zip(x[ok].tolist(), e[ok].tolist()):
+                q = rep[stop[x1] - size[x1] : stop[x1]]
+                q = pos_of[q[hi[q] > lo[q]]]
+                mine = self.pack(s[q], s[q + 1], s[q + 2])
+                theirs = self.sets[self.bounds[e1] : self.bounds[e1 + 1]]
+                k = np.searchsorted(theirs, mine)
                 k[k == len(theirs)] = 0
-                shared = int((theirs[k] == mine_sorted).sum())
-                total = int(size[x] + len(theirs))
+                shared, total = int((theirs[k] == mine).sum()), int(size[x1] + len(theirs))
                 if (num + den) * shared >= num * total:
-                    spans = self._spans(s, pos, gdoc, int(x), theirs)
-                    out.append((int(x), int(e), shared, total - shared, *spans))
+                    out.append((x1, e1, shared, total - shared, *self._spans(s, pos, gdoc, x1, theirs)))
         return out
 
     def _spans(self, s, pos, gdoc, x, theirs):

@@ -57,12 +57,27 @@ def node_aliases(nodes: DataFrame) -> DataFrame:
     return nodes.select(words.alias("alias"), key(F.col("node_id")).alias("node"), F.lower(F.trim("node_type")).alias("node_type")).where("alias <> '' and node is not null").distinct()
 
 
+def phrase_rows(questions: DataFrame, words: int, least: int = 3) -> DataFrame:
+    """k, phrase: the distinct phrases of ``functions.text.phrases``, made row-wise for long phrases and many questions.
+
+    Each word is a row that looks ahead, so no nested array is built.
+    """
+    found = F.regexp_extract_all(F.lower(T.text(F.col("text"))), F.lit("[a-z0-9-]+"), F.lit(0))
+    w = questions.select("k", F.posexplode(found).alias("pos", "w0"))
+    order = Window.partitionBy("k").orderBy("pos")
+    w = w.select("k", "w0", *[F.lead("w0", i).over(order).alias(f"w{i}") for i in range(1, words)])
+    ends = lambda c: ~F.col(c).isin(K.PHRASE_STOPWORDS)
+    runs = [F.when(F.col(f"w{n}").isNotNull() & ends(f"w{n}"), F.concat_ws(" ", *[f"w{i}" for i in range(n + 1)])) for n in range(words)]
+    p = w.where(ends("w0")).select("k", F.explode(F.array_compact(F.array(*runs))).alias("phrase"))
+    return p.where(F.length("phrase") >= least).distinct()
+
+
 def link_entities(questions: DataFrame, nodes: DataFrame, degrees: DataFrame, words: int = 6) -> DataFrame:
     """k, phrase, node: each phrase of a question that names a node; of several the one of most edges, then largest id.
 
-    ``questions`` has k and text.  A phrase inside a longer linked one is linked too.
+    ``questions`` has k (a key) and text.  A phrase inside a longer linked one is linked too.
     """
-    found = questions.select("k", F.explode(T.phrases(F.col("text"), words)).alias("phrase"))
+    found = Workspace(questions.sparkSession, "phrases").keep(phrase_rows(questions, words), "phrases")
     best = (
         node_aliases(nodes).join(degrees, "node", "left").groupBy("alias").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("node"))
     )

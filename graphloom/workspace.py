@@ -38,6 +38,16 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table in at least as many partitions as the cluster has cores; a table that has them is left as it is.
+
+    For scans of few small files ahead of costly row-wise work; at scale a scan has its partitions and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
+
+
 class Workspace:
     """Written tables of one query: ``keep`` writes and reads back, ``drop`` deletes what is no longer read."""
 

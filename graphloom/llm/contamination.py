@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import key
 from ..operators.skew import heavy_light_join
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 #: Evaluation rows of a shard; bounds the index that a worker holds.
 SHARD_ROWS = 20_000
@@ -281,7 +281,7 @@ def find_overlaps(evaluation: DataFrame, training: DataFrame, answers: bool, wor
                 cols = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4)], ["eval_id", "train_key", "shared", "all_trigrams", "spans", "longest_span"])
 
-        got = training.select("id", "q", "a").mapInArrow(run, schema)
+        got = spread(training.select("id", "q", "a")).mapInArrow(run, schema)
         result = got if result is None else result.unionByName(got)
     return spark.createDataFrame([], schema) if result is None else result
 

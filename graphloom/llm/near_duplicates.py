@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_light_join
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 
 #: Cells of the frequency sketch: 4 bytes each, the most that is ever sent to the driver and broadcast.
 CELLS = 1 << 20
@@ -36,7 +36,7 @@ def _texts(batch) -> list[str]:
 
 
 def _source(records: DataFrame) -> DataFrame:
-    return records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("question").cast("string").alias("q"), F.col("reasoning").cast("string").alias("r"))
+    return spread(records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("question").cast("string").alias("q"), F.col("reasoning").cast("string").alias("r")))
 
 
 def _class_ids(g, n):

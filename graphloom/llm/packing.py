@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, spread
 from . import counts
 from .tokenize import encoder, vocabulary_path
 
@@ -30,7 +30,7 @@ FULL = 0.985
 
 def _measure(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, terms (slots and frequencies of the words); and the tasks' document frequencies."""
-    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def run(batches):
         import re

@@ -14,6 +14,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import spread
+
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Shortest copied run that counts, in words, and least share of a copy's words in such runs.
 RUN, COVERED = 4, 0.85
@@ -249,10 +251,12 @@ def broken_pairs(records: DataFrame) -> DataFrame:
     A null or blank answer is empty; a null or blank reasoning is no case.  A record without question can only be empty,
     refusing or truncated.  Texts are judged whole.  Empty tables give no rows.
     """
-    src = records.select(
-        F.col("record_id").cast("bigint").alias("record_id"),
-        *[F.col(c).cast("string").alias(c) for c in ("question", "answer", "reasoning")],
-        F.col("options").cast("array<string>").alias("options"),
+    src = spread(
+        records.select(
+            F.col("record_id").cast("bigint").alias("record_id"),
+            *[F.col(c).cast("string").alias(c) for c in ("question", "answer", "reasoning")],
+            F.col("options").cast("array<string>").alias("options"),
+        )
     )
 
     def run(batches):

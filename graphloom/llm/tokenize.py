@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import spread
+
 FOLDER = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The vocabulary's split pattern (fixed value).
@@ -129,7 +131,7 @@ def encode_column(df: DataFrame, keep: list[str], text: str = "text", path: str
     Special tokens have no meaning: their spelling in a text is ordinary text.
     """
     path = path or vocabulary_path()
-    src = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    src = spread(df.select(*keep, F.col(text).cast("string").alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", ids array<int>"
 
     def run(batches):

@@ -166,6 +166,34 @@ _GP = f"""{EDGES},
 _AL = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+_TIERS = f"""WITH {_GP}, be AS (SELECT nm.k, e.head, e.tail FROM nm JOIN e USING (edge_id)), nd AS (SELECT DISTINCT k, node FROM (SELECT k, unnest([head, tail]) AS node FROM be)),
+ tx AS (SELECT record_id AS k, {_AL("concat_ws(' ', question, reasoning)")} AS t FROM qa_records),
+ nl AS (SELECT k, count(*) AS n_nodes, count(*) FILTER (contains(t, {_AL(S.humanized('node'))})) AS n_labelled FROM nd JOIN tx USING (k) GROUP BY 1),
+ c AS (SELECT record_id AS k, coalesce(n_gold, 0) AS n_gold, coalesce(n_covered, 0) AS n_covered, coalesce(len(missing), 0) AS n_missing, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_labelled, 0) AS n_labelled FROM (SELECT DISTINCT record_id FROM qa_records) LEFT JOIN gp ON gp.k = record_id LEFT JOIN nl ON nl.k = record_id),
+ d AS (SELECT *, CASE WHEN n_gold > 0 THEN n_covered / n_gold::DOUBLE ELSE 0.0 END AS edge_coverage, CASE WHEN n_nodes > 0 THEN n_labelled / n_nodes::DOUBLE ELSE 0.0 END AS label_ratio,
+   CASE WHEN n_gold = 0 THEN 'empty_gold_path' WHEN n_missing > 0 THEN 'missing_edge_mapping' WHEN n_labelled < n_nodes THEN 'missing_due_to_ppr_pruning' ELSE 'insufficient_gold_path_coverage' END AS cause FROM c),
+ r0 AS (SELECT *, list_filter([CASE WHEN n_gold < 1 THEN 'empty_gold_path' END, CASE WHEN n_covered = 0 THEN 'missing_evidence_edges' END, CASE WHEN n_labelled = 0 THEN cause END], lambda x: x IS NOT NULL) AS r,
+   list_filter([CASE WHEN edge_coverage < 1.0 THEN cause END, CASE WHEN edge_coverage < 1.0 THEN 'gold_edge_coverage_below_threshold' END, CASE WHEN label_ratio < 0.8 THEN cause END, CASE WHEN label_ratio < 0.8 THEN 'labeled_token_ratio_below_threshold' END], lambda x: x IS NOT NULL) AS s FROM d),
+ td AS (SELECT *, CASE WHEN len(r) > 0 THEN 'reject' WHEN len(s) > 0 THEN 'silver' ELSE 'goldish' END AS tier, CASE WHEN len(r) > 0 THEN {S.distinct('r')} WHEN len(s) > 0 THEN {S.distinct('s')} ELSE ['passed_goldish_gate'] END AS reasons FROM r0)"""
+
+
+def _decode_sql():
+    grow = "".join(
+        f""",
+ g{i} AS (SELECT b.k, list_append(b.nodes, s.tail) AS nodes, list_append(b.edges, s.edge_id) AS edges, list_append(b.weights, s.weight) AS weights, s.end_score FROM b{i - 1} b JOIN st s ON s.k = b.k AND s.head = b.nodes[-1] WHERE NOT list_contains(b.nodes, s.tail)),
+ p{i} AS MATERIALIZED (SELECT k, nodes, edges, weights, round(conf * end_score, 12) AS ranking, conf AS confidence FROM (SELECT *, round({'weights[1]' if i == 1 else 'weights[1] * weights[2]' if i == 2 else 'weights[1] * weights[2] * weights[3] * weights[1] * weights[3]'}, 12) AS conf FROM g{i})),
+ b{i} AS (SELECT * FROM p{i} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ranking DESC, nodes, edges) <= {reasoning.BEAM})"""
+        for i in range(1, reasoning.EDGES_MOST + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT k, nodes, edges, confidence, ranking FROM {t}" for t in ("b0", "p1", "p2", "p3"))
+    return f"""WITH {BUNDLE}, n AS (SELECT k, node, count(*) AS n FROM (SELECT k, unnest([head, tail]) AS node FROM be) GROUP BY 1, 2), sc AS (SELECT k, node, n / (max(n) OVER (PARTITION BY k))::DOUBLE AS score FROM n),
+ ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, node) AS r FROM sc QUALIFY r <= {reasoning.CANDIDATES}),
+ st AS MATERIALIZED (SELECT be.k, be.edge_id, be.head, be.tail, reliability * confidence AS weight, ca.score AS end_score FROM be JOIN ca ON ca.k = be.k AND ca.node = be.tail),
+ b0 AS (SELECT k, [node] AS nodes, []::VARCHAR[] AS edges, []::DOUBLE[] AS weights, score AS ranking, score AS confidence FROM ca WHERE r <= {reasoning.BEAM}){grow},
+ al AS ({every}), rk AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY len(edges) DESC, ranking DESC, confidence DESC, nodes, edges))::INT AS rank FROM al)
+ SELECT k, rank, array_to_string(nodes, '>') AS nodes, array_to_string(edges, ',') AS edges, round(confidence, 6) AS confidence, round(ranking, 6) AS ranking FROM rk WHERE rank <= {reasoning.TOP_PATHS}"""
+
+
 def oracle_sql():
     eid = f"list_filter(list_transform(coalesce(direct_edge_ids, []::VARCHAR[]), lambda x: {S.edge_id('x')}), lambda x: x IS NOT NULL)"
     named = f"list_filter(list_transform(regexp_extract_all(coalesce(reasoning, ''), 'E_[0-9]+[A-Za-z]?|(?:edge_id|edge):[A-Za-z0-9_:|.-]+'), lambda x: {S.edge_id('x')}), lambda x: x IS NOT NULL)"
@@ -186,6 +214,10 @@ def oracle_sql():
         "triage_buckets": f"""WITH {_GP}, r AS (SELECT record_id, coalesce(n_gold, 0) AS named, length({S.normal('question')}) > 0 AS q, len({S.claims('answer')})::BIGINT AS labels FROM qa_records LEFT JOIN gp ON k = record_id),
           s AS (SELECT record_id AS sample_id, (named > 1)::INT + (named > 0)::INT + q::INT AS successes, 3 AS passes, named AS max_nodes, labels AS max_labels FROM r)
           SELECT sample_id, successes::BIGINT AS successes, passes::BIGINT AS passes, max_nodes, max_labels, CASE WHEN successes = 3 AND max_labels > 0 THEN 'stable_graph' WHEN successes >= 2 THEN 'threshold_a' WHEN successes = 1 OR max_nodes > 0 THEN 'threshold_b' ELSE 'hard_absent' END AS bucket FROM s""",
+        "record_tiers": f"{_TIERS} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
+        "tier_summary": f"{_TIERS} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(label_ratio), 6) AS mean_label_ratio FROM td GROUP BY ROLLUP (tier)",
+        "top_failure_reasons": f"{_TIERS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
+        "decoded_paths": _decode_sql(),
         "passage_contradictions": f"""WITH {BUNDLE}, ed AS (SELECT k, head, tail, relation IN {S.values(K.NEGATIVE_RELATIONS)} AS neg, lower({S.humanized('head')}) AS h, lower({S.humanized('tail')}) AS t FROM be), ps AS (SELECT k, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS body FROM bp),
           cl AS (SELECT ed.k, max(CASE WHEN (n AND NOT p AND NOT neg) OR (p AND NOT n AND neg) THEN 0.8 WHEN n AND p THEN 0.35 ELSE 0.0 END)::DOUBLE AS c FROM ed JOIN (SELECT *, {S.has_any('body', clash_n)} AS n, {S.has_any('body', clash_p)} AS p FROM ps) ps ON ed.k = ps.k AND (contains(body, h) OR contains(body, t)) GROUP BY 1),
           mx AS (SELECT k, max(n) AS n FROM (SELECT k, head, tail, count(DISTINCT neg) AS n FROM ed GROUP BY 1, 2, 3) GROUP BY 1)

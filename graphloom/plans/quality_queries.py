@@ -14,6 +14,7 @@ from ..workspace import Workspace
 from . import sql as S
 from .evidence_queries import BUNDLE, _Bundles
 from .graph_queries import EDGES
+from .text_queries import _CLOSE, _SAME, _numbers
 
 
 def exact_match(spark, d):
@@ -214,6 +215,11 @@ def oracle_sql():
         "triage_buckets": f"""WITH {_GP}, r AS (SELECT record_id, coalesce(n_gold, 0) AS named, length({S.normal('question')}) > 0 AS q, len({S.claims('answer')})::BIGINT AS labels FROM qa_records LEFT JOIN gp ON k = record_id),
           s AS (SELECT record_id AS sample_id, (named > 1)::INT + (named > 0)::INT + q::INT AS successes, 3 AS passes, named AS max_nodes, labels AS max_labels FROM r)
           SELECT sample_id, successes::BIGINT AS successes, passes::BIGINT AS passes, max_nodes, max_labels, CASE WHEN successes = 3 AND max_labels > 0 THEN 'stable_graph' WHEN successes >= 2 THEN 'threshold_a' WHEN successes = 1 OR max_nodes > 0 THEN 'threshold_b' ELSE 'hard_absent' END AS bucket FROM s""",
+        "answer_faithfulness": f"""WITH a AS (SELECT eval_id, {S.claims('gold_answer')} AS c, list_filter(coalesce(context, []::VARCHAR[]), lambda x: trim(coalesce(x, ''), ' ') <> '') AS x FROM eval_examples),
+          c AS (SELECT eval_id, i, {S.tokens('t')} AS ct, {_numbers('t')} AS cn FROM (SELECT eval_id, i, {S.answer('c')} AS t FROM (SELECT eval_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM a))),
+          x AS (SELECT eval_id, {S.tokens('t')} AS xt, {_numbers('t')} AS xn FROM (SELECT eval_id, {S.answer('x')} AS t FROM (SELECT eval_id, unnest(x) AS x FROM a))),
+          ok AS (SELECT DISTINCT c.eval_id, c.i FROM c JOIN x USING (eval_id) WHERE ({S.overlap('ct', 'xt')}) >= {K.LEXICAL_SUPPORT} AND len(list_filter(cn, lambda x: len(list_filter(xn, lambda y: {_SAME} AND {_CLOSE})) = 0)) = 0)
+          SELECT a.eval_id, round(CASE WHEN len(c) = 0 THEN 1.0 WHEN len(x) = 0 THEN 0.0 ELSE coalesce(n, 0) / len(c)::DOUBLE END, 6) AS faithfulness FROM a LEFT JOIN (SELECT eval_id, count(*) AS n FROM ok GROUP BY 1) USING (eval_id)""",
         "record_tiers": f"{_TIERS} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
         "tier_summary": f"{_TIERS} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(label_ratio), 6) AS mean_label_ratio FROM td GROUP BY ROLLUP (tier)",
         "top_failure_reasons": f"{_TIERS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",

@@ -126,7 +126,7 @@ def oracle_sql():
         "answer_claims": f"SELECT record_id, pos, claim FROM {_CL}",
         "claim_judgements": f"""SELECT record_id, pos, k AS claim_type, {S.polarity('claim')} AS polarity, {S.severity('k', "'unsupported'")} AS severity_unsupported, {S.severity('k', "'contradicted'")} AS severity_contradicted
           FROM (SELECT *, {S.claim_type('claim')} AS k FROM {_CL})""",
-        "document_tokens": f"SELECT doc_id, len({S.tokens('text')}) AS n_tokens, len({S.tokens('text', K.STOPWORDS, 1)}) AS n_tokens_short, len(regexp_extract_all({S.txt('text')}, '[A-Za-z0-9-]+')) AS n_bm25 FROM documents",
+        "document_tokens": f"SELECT doc_id, len({S.tokens('text')})::INT AS n_tokens, len({S.tokens('text', K.STOPWORDS, 1)})::INT AS n_tokens_short, len(regexp_extract_all({S.txt('text')}, '[A-Za-z0-9-]+'))::INT AS n_bm25 FROM documents",
         "title_abstract_overlap": f"SELECT article_row, round({S.overlap('a', 'b')}, 6) AS overlap FROM (SELECT article_row, {S.tokens('title')} AS a, {S.tokens('abstract')} AS b FROM articles)",
         "numeric_mentions": f"SELECT article_row, array_to_string(list_transform({_numbers('abstract')}, lambda x: round(x.value, 4)::DECIMAL(18,4)::VARCHAR || ':' || x.unit), ',') AS mentions FROM articles",
         "numeric_agreement": f"""WITH n AS (SELECT record_id, answer, reasoning, {_numbers('answer')} AS a, {_numbers('reasoning')} AS b, {S.tokens('answer')} AS ta, {S.tokens('reasoning')} AS tb FROM qa_records)

@@ -232,3 +232,28 @@ def candidate_path_counts(seeds: DataFrame, inc: DataFrame, cap: int = 50_000) -
     per = n.join(two, "node", "left").select("node", (F.col("n") + F.coalesce("two", F.lit(0))).alias("paths"))
     j = seeds.select("k", "node").distinct().join(per, "node", "left")
     return j.groupBy("k").agg(F.least(F.coalesce(F.sum("paths"), F.lit(0)), F.lit(cap)).cast("bigint").alias("paths"))
+
+
+def broad_match(entities: DataFrame, nodes: DataFrame, degrees: DataFrame, least: float = 3.0) -> DataFrame:
+    """surface, node, score: the best node for each name that shares a word of three letters or is the whole name.
+
+    Score: 100 for the same name, 20 if one begins with the other, 10 if one contains the other, up to 5 for shared
+    words, up to 1 for the degree (50 edges or more); the best of at least ``least``, the largest id on a tie.  Words
+    meet by an equi-join on an inverted index; a frequent word goes through the skew-aware join.
+    """
+    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
+    e = entities.select(T.ascii_name(F.col("surface")).alias("s")).where("s <> ''").distinct()
+    n = nodes.select(T.ascii_name(F.col("node_name")).alias("name"), key(F.col("node_id")).alias("node")).where("name <> '' and node is not null").distinct()
+    work = Workspace(entities.sparkSession, "broad")
+    words = work.keep(e.select("s", F.explode(F.array_union(long_words(F.col("s")), F.array(F.concat(F.lit("="), "s")))).alias("w")), "words")
+    index = n.select("name", "node", F.explode(F.array_union(long_words(F.col("name")), F.array(F.concat(F.lit("="), "name")))).alias("w"))
+    pairs = heavy_light_join(words, index, ["w"]).select("s", "name", "node").distinct().join(degrees, "node", "left")
+    s, m = F.col("s"), F.col("name")
+    sw = long_words(s)
+    shared = F.size(F.array_intersect(sw, F.array_distinct(F.split(m, " "))))
+    score = (
+        F.when(s == m, 100.0).otherwise(0.0) + F.when(m.startswith(s) | s.startswith(m), 20.0).otherwise(0.0) + F.when(m.contains(s) | s.contains(m), 10.0).otherwise(0.0)
+        + shared / F.greatest(F.size(sw), F.lit(1)) * 5.0 + F.least(F.coalesce("degree", F.lit(0)), F.lit(50)) / 50.0
+    )
+    best = pairs.withColumn("score", F.round(score, 6)).groupBy("s").agg(F.max(F.struct("score", "node")).alias("b"))
+    return best.select(F.col("s").alias("surface"), "b.node", "b.score").where(F.col("score") >= least)

@@ -67,3 +67,11 @@ def test_top_edges_breaks_ties_by_id(spark):
     top = G.top_edges(found, e, none, seeds, 2)
     assert [(r["edge_id"], r["rank"]) for r in top.orderBy("rank").collect()] == [("E1", 1), ("E2", 2)]
     assert top.where(F.col("score").isNull()).count() == 0
+
+
+def test_broad_match(spark):
+    n = spark.createDataFrame([("d:1", "acute heart failure"), ("d:2", "heart failure"), ("d:3", "liver"), (None, "heart")], "node_id string, node_name string")
+    e = spark.createDataFrame([("Heart-Failure",), ("failing heart",), ("zz",), (None,), ("heart failure",)], "surface string")
+    deg = spark.createDataFrame([("d:1", 100)], "node string, degree bigint")
+    assert rows(G.broad_match(e, n, deg).select("surface", "node", "score")) == [("failing heart", "d:1", 3.5), ("heart failure", "d:2", 135.0)]
+    assert G.broad_match(e.limit(0), n, deg).count() == 0

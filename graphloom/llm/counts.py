@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import xxhash
 
+#: Distinct texts that are held before they are hashed.
+HELD = 300_000
 BLOCK = 1 << 14
 SCHEMA = "cell int, counts binary"
 
@@ -21,18 +25,28 @@ class Counters:
         self.names, self.cells = names, cells
         self.base = {n: k * cells for k, n in enumerate(names)}
         self.array = np.zeros(cells * len(names), np.int64)
+        self.held = {n: Counter() for n in names}
 
     def add(self, name: str, texts) -> None:
         """Count texts (an iterable of strings, repeats counted)."""
-        from collections import Counter
+        held = self.held[name]
+        held.update(texts)
+        if len(held) > HELD:
+            self.flush(name)
+
+    def flush(self, name: str) -> None:
+        """Move what is held by text to the slots; each distinct text is hashed once."""
+        import numpy as np
 
-        base, m, a = self.base[name], self.cells - 1, self.array
-        h = xxhash.xxh3_64_intdigest
-        for w, c in Counter(texts).items():
-            a[base + (h(w) & m)] += c
+        held, h, m = self.held[name], xxhash.xxh3_64_intdigest, self.cells - 1
+        at = np.fromiter((h(w) & m for w in held), np.int64, len(held)) + self.base[name]
+        np.add.at(self.array, at, np.fromiter(held.values(), np.int64, len(held)))
+        held.clear()
 
     def rows(self):
         """(block number, counts) of the blocks that hold anything."""
+        for n in self.names:
+            self.flush(n)
         for k in range(0, len(self.array), BLOCK):
             x = self.array[k : k + BLOCK]
             if x.any():

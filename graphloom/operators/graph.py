@@ -72,15 +72,16 @@ def phrase_rows(questions: DataFrame, words: int, least: int = 3) -> DataFrame:
     return p.where(F.length("phrase") >= least).distinct()
 
 
-def link_entities(questions: DataFrame, nodes: DataFrame, degrees: DataFrame, words: int = 6) -> DataFrame:
+def link_entities(questions: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     """k, phrase, node: each phrase of a question that names a node; of several the one of most edges, then largest id.
 
-    ``questions`` has k (a key) and text.  A phrase inside a longer linked one is linked too.
+    ``questions`` has k (a key) and text.  A phrase inside a longer linked one is linked too.  Phrases are as long as
+    the longest name of a node.
     """
-    found = Workspace(questions.sparkSession, "phrases").keep(phrase_rows(questions, words), "phrases")
-    best = (
-        node_aliases(nodes).join(degrees, "node", "left").groupBy("alias").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("node"))
-    )
+    aliases = node_aliases(nodes)
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    found = Workspace(questions.sparkSession, "phrases").keep(phrase_rows(questions, longest), "phrases")
+    best = aliases.join(degrees, "node", "left").groupBy("alias").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("node"))
     return heavy_light_join(found, best.select(F.col("alias").alias("phrase"), "node"), ["phrase"])
 
 

@@ -59,6 +59,14 @@ def test_links(spark):
     assert rows(G.link_entities(q, n, G.node_degrees(toy(spark))).select("k", "phrase", "node")) == [(1, "atrial fibrillation", "disease:af"), (1, "warfarin", "drug:w")]
 
 
+def test_links_of_long_names(spark):
+    name = "postural dry corvial cough in the early morning hours"
+    q = spark.createDataFrame([(1, f"Why a {name}?"), (2, "postural dry corvial cough")], "k int, text string")
+    n = spark.createDataFrame([("symptom:p", "symptom", name), ("symptom:c", "symptom", "cough")], "node_id string, node_type string, node_name string")
+    assert rows(G.link_entities(q, n, G.node_degrees(toy(spark))).select("k", "phrase", "node")) == [(1, "cough", "symptom:c"), (1, name, "symptom:p"), (2, "cough", "symptom:c")]
+    assert G.link_entities(q, n.limit(0), G.node_degrees(toy(spark))).count() == 0
+
+
 def test_top_edges_breaks_ties_by_id(spark):
     e = toy(spark)
     seeds = spark.createDataFrame([(1, "drug:w")], "k int, node string")

@@ -258,3 +258,35 @@ def broad_match(entities: DataFrame, nodes: DataFrame, degrees: DataFrame, least
     )
     best = pairs.withColumn("score", F.round(score, 6)).groupBy("s").agg(F.max(F.struct("score", "node")).alias("b"))
     return best.select(F.col("s").alias("surface"), "b.node", "b.score").where(F.col("score") >= least)
+
+
+def ranked_evidence(questions: DataFrame, seeds: DataFrame, edges: DataFrame, work: Workspace, most: int = K.TOP_EDGES) -> DataFrame:
+    """k, rank and the edge's columns: the best edges of each question's routed two-hop expansion by PageRank.
+
+    ``questions`` has k and text.  Questions of the same type and the same seeds have the same evidence; it is found once.
+    """
+    seeds = work.keep(seeds.select("k", "node").distinct(), "all-seeds")
+    sets = seeds.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("node")), "\n").alias("nodes"))
+    typed = questions.select("k", "text", T.question_type(F.col("text"), "factoid").alias("question_type")).join(sets, "k")
+    same = work.keep(typed.withColumn("first", F.min("k").over(Window.partitionBy("question_type", "nodes"))).select("k", "first", "text"), "same")
+    once = same.where("k = first").select("k", "text")
+    own = work.keep(seeds.join(once.select("k"), "k", "left_semi"), "own-seeds")
+    found = work.keep(routed_expansion(once, own, edges, work)[0], "found")
+    ends = found.join(edges.select("edge_id", "head", "tail"), "edge_id")
+    nodes = work.keep(ends.select("k", F.explode(F.array("head", "tail")).alias("node")).unionByName(own).distinct(), "nodes")
+    scores = pagerank(induced_weights(nodes, edges), own, work)
+    top = work.keep(top_edges(found, edges, scores, own, most).select(F.col("k").alias("first"), "edge_id", "rank"), "top")
+    return same.select("k", "first").join(heavy_light_join(top, edges, ["edge_id"]), "first").drop("first")
+
+
+def selected_nodes(evidence: DataFrame, seeds: DataFrame, work: Workspace, most: int = 256) -> DataFrame:
+    """k, node: the nodes of each question's evidence, the ``most`` best by PageRank over its edges, then smallest id."""
+    ends = work.keep(evidence.select("k", F.explode(F.array("head", "tail")).alias("node")).distinct(), "ends")
+    many = work.keep(ends.groupBy("k").count().where(F.col("count") > most).select("k"), "many")
+    if many.isEmpty():
+        return ends
+    weights = evidence.join(many, "k", "left_semi").select("k", "head", "tail").distinct().withColumn("weight", F.lit(1))
+    scores = pagerank(weights, seeds.join(many, "k", "left_semi"), work)
+    w = Window.partitionBy("k").orderBy(F.desc(F.round("score", 9)), "node")
+    best = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("k", "node")
+    return ends.join(many, "k", "left_anti").unionByName(best)

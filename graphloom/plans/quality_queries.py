@@ -8,7 +8,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..functions.keys import edge_id
 from ..operators import bundles as B
-from ..operators import graph, metrics, quality, reasoning
+from ..operators import graph, metrics, quality, reasoning, triage
 from ..session import read
 from ..workspace import Workspace
 from . import sql as S
@@ -116,12 +116,9 @@ def mapped_edges(spark, d):
 
 
 def triage_buckets(spark, d):
-    r = read(spark, d, "qa_records")
-    named = B.named_edges(r).groupBy("k").agg(F.count("*").alias("named"))
-    j = r.select(F.col("record_id").alias("k"), "question", "answer", "reasoning").join(named, "k", "left").fillna(0, ["named"])
-    one = lambda name, ok: F.struct(F.lit(name).alias("pass_name"), ok.alias("success"), F.col("named").alias("nodes"), F.size(T.claims(F.col("answer"))).cast("bigint").alias("labels"))
-    rows = F.array(one("exact", F.col("named") > 1), one("normalized", F.col("named") > 0), one("broad", F.length(T.normal(F.col("question"))) > 0))
-    return quality.sample_summary(j.select(F.col("k").alias("sample_id"), F.explode(rows).alias("p")).select("sample_id", "p.*"))
+    work = Workspace(spark, "triage")
+    edges = work.keep(graph.graph_edges(read(spark, d, "kg_edges")), "edges")
+    return quality.sample_summary(triage.triage_passes(read(spark, d, "qa_records"), read(spark, d, "kg_nodes"), edges, work))
 
 
 def _decoded(spark, d, name):

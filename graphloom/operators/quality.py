@@ -34,10 +34,14 @@ def node_path(edges: Column) -> Column:
     return F.when(F.size(edges) > 0, walked).otherwise(F.array().cast("array<string>"))
 
 
-def gold_paths(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """k, n_gold, n_covered, missing, path of each record: named edges, those that exist, ids that do not, node path."""
-    named = named_edges(records)
-    j = heavy_light_join(named, edges.select("edge_id", "head", "tail"), ["edge_id"], "left")
+def gold_paths(records: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """k, n_gold, n_covered, missing, path of each record: named edges, those that exist, ids that do not, node path.
+
+    ``edges`` with k are each record's own evidence.  ``named`` (k, pos, edge_id) takes the place of the record's ids.
+    """
+    named = named_edges(records) if named is None else named
+    on = [c for c in ("k", "edge_id") if c in edges.columns]
+    j = heavy_light_join(named, edges.select(*on, "head", "tail"), on, "left")
     g = j.groupBy("k").agg(
         F.count("*").alias("n_gold"), F.count("head").alias("n_covered"),
         F.array_sort(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("pos", "head", "tail")))).alias("found"),

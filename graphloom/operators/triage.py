@@ -86,6 +86,26 @@ def gold_order(evidence: DataFrame, records: DataFrame) -> DataFrame:
     return j.groupBy("k").agg(F.transform(got, lambda x: F.struct(x["head"].alias("head"), x["tail"].alias("tail"), x["edge_id"].alias("edge_id"))).alias("edges"))
 
 
+def record_evidence(records: DataFrame, nodes: DataFrame, edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(k, node; k, rank and edge columns): seeds and the best 200 edges retrieved for each record's question."""
+    q = work.keep(records.select(F.col("record_id").alias("k"), F.col("question").alias("text")), "questions")
+    seeds = work.keep(G.link_entities(q, nodes, work.keep(G.node_degrees(edges), "degrees")).select("k", "node").distinct(), "seeds")
+    return seeds, work.keep(G.ranked_evidence(q, seeds, edges, work), "evidence")
+
+
+def record_coverage(records: DataFrame, seeds: DataFrame, evidence: DataFrame, work: Workspace) -> DataFrame:
+    """``quality.coverage`` of each record within its evidence, and n_evidence, its edges.
+
+    Gold are the edges that the record names, else those of the evidence that its text matches.
+    """
+    named = named_edges(records)
+    found = gold_order(evidence, records).select("k", F.posexplode(F.transform("edges", lambda x: x["edge_id"])).alias("pos", "edge_id"))
+    gold = work.keep(named.unionByName(found.join(named.select("k").distinct(), "k", "left_anti")), "gold")
+    paths = work.keep(Q.gold_paths(records, evidence, gold), "paths")
+    n = evidence.groupBy("k").agg(F.count("*").alias("n_evidence"))
+    return Q.coverage(paths, G.selected_nodes(evidence, seeds, work)).join(n, "k", "left").fillna(0, ["n_evidence"])
+
+
 def triage_passes(records: DataFrame, nodes: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:
     """sample_id, pass_name, success, nodes, labels: three rows a record.
 

@@ -82,16 +82,17 @@ def gold_paths(spark, d):
     return _paths(spark, d, "gold")[3].select("k", "n_gold", "n_covered", F.array_join("missing", ",").alias("missing"), F.array_join("path", ">").alias("path"))
 
 
+def _evidence(spark, d, name):
+    work = Workspace(spark, name)
+    records = read(spark, d, "qa_records")
+    edges = work.keep(graph.graph_edges(read(spark, d, "kg_edges")), "edges")
+    return work, records, *triage.record_evidence(records, read(spark, d, "kg_nodes"), edges, work)
+
+
 def _tiered(spark, d):
-    work, records, edges, paths = _paths(spark, d, "tiers")
-    paths = work.keep(paths, "paths")
-    bundle = B.bundle_edges(records, edges)
-    # nodes that the question or the reasoning names count as selected
-    words = records.select(F.col("record_id").alias("k"), T.alnum(F.concat_ws(" ", "question", "reasoning")).alias("t"))
-    ends = bundle.select("k", F.explode(F.array("head", "tail")).alias("node")).distinct()
-    kept = ends.join(words, "k").where(F.col("t").contains(T.alnum(T.humanized(F.col("node"))))).select("k", "node")
-    c = quality.coverage(paths, kept)
-    return quality.tiers(c, F.col("n_covered"), F.lit("direct"), F.lit("scispacy_umls"), F.lit("edge_node_csv"))
+    work, records, seeds, evidence = _evidence(spark, d, "tiers")
+    c = triage.record_coverage(records, seeds, evidence, work)
+    return quality.tiers(c, F.col("n_evidence"), F.lit("direct"), F.lit("scispacy_umls"), F.lit("edge_node_csv"))
 
 
 def record_tiers(spark, d):
@@ -107,8 +108,8 @@ def top_failure_reasons(spark, d):
 
 
 def edge_mapping_scores(spark, d):
-    work, records, edges, _ = _paths(spark, d, "mapping")
-    return quality.score_edges_against_text(B.bundle_edges(records, edges), records)
+    _, records, _, evidence = _evidence(spark, d, "mapping")
+    return quality.score_edges_against_text(evidence, records)
 
 
 def mapped_edges(spark, d):

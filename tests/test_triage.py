@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from graphloom.operators import quality as Q
 from graphloom.operators import triage
 from graphloom.workspace import Workspace
@@ -29,3 +31,16 @@ def test_texts(spark):
     df = spark.createDataFrame([(1, "T2DM & pain?\n", ["A) one", "Options:", " 2. two\n- three"])], "record_id bigint, question string, options array<string>")
     t = {x["pass_name"]: x["text"] for x in triage.pass_texts(df).collect()}
     assert t["exact"] == "T2DM & pain?\nOptions:\none\ntwo\nthree" and t["normalized"] == "type 2 diabetes and pain\nOptions:\none\ntwo three"
+
+
+def test_evidence_of_a_record(spark):
+    nodes = spark.createDataFrame(NODES, "node_id string, node_type string, node_name string")
+    r = spark.createDataFrame([(1, "Is warfarin given?", None, "warfarin, indication: af", "", []), (2, "Which tree?", None, "", "", ["E1"]), (3, "Why warfarin?", None, "", "", ["E1", "E999"])], RECORD)
+    work = Workspace(spark, "t")
+    seeds, e = triage.record_evidence(r, nodes, toy(spark), work)
+    scores = {(x["k"], x["edge_id"]): x["score"] for x in Q.score_edges_against_text(e, r).collect()}
+    assert scores[1, "E1"] >= 3 and (1, "E4") in scores and not any(k == 2 for k, _ in scores)  # record 1 names no edge
+    t = {x["k"]: x for x in Q.tiers(triage.record_coverage(r, seeds, e, work), *[F.col("n_evidence"), F.lit("direct"), F.lit("scispacy_umls"), F.lit("edge_node_csv")]).collect()}
+    assert t[1]["tier"] == "goldish" and t[1]["n_gold"] >= 1
+    assert t[2]["tier"] == "reject" and t[2]["reasons"][0] == "missing_evidence_edges" and t[2]["edge_coverage"] == 0
+    assert t[3]["edge_coverage"] == 0.5 and t[3]["missing"] == ["E999"] and t[3]["label_ratio"] == 1.0

@@ -306,8 +306,11 @@ def similar_classes(records: DataFrame, num: int = 7, den: int = 10, work: Works
     unique; a repeated id counts as one record of each of its classes.
     """
     work = work or Workspace(records.sparkSession, "near")
+    return _similar(records, work.keep(_pass_one(records), "classes"), num, den, work)
+
+
+def _similar(records: DataFrame, first: DataFrame, num: int, den: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     spark = records.sparkSession
-    first = work.keep(_pass_one(records), "classes")
     members = first.where("cell is null and cls <> 0").select("record_id", "cls")
     total = members.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RECORDS_A_PART))
@@ -339,7 +342,18 @@ def record_classes(records: DataFrame, num: int = 7, den: int = 10) -> DataFrame
 
     Records without a trigram do not appear.
     """
-    members, pairs = similar_classes(records, num, den)
+    return _class_rows(*similar_classes(records, num, den))
+
+
+def document_classes(records: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
+    """``record_classes`` with a row for every record: one without a trigram is a class of its own."""
+    work = Workspace(records.sparkSession, "near")
+    first = work.keep(_pass_one(records), "classes")
+    alone = first.where("cell is null and cls = 0").select("record_id", F.col("record_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
+    return _class_rows(*_similar(records, first, num, den, work)).unionByName(alone)
+
+
+def _class_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     classes = members.groupBy("cls").agg(F.min("record_id").alias("class_id"), F.count("*").alias("n_copies")).join(ends, "cls", "left")
     return heavy_light_join(members, classes, ["cls"]).select("record_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -19,7 +19,7 @@ def p2_found(spark, d):
 
 
 def p2_classes(spark, d):
-    return near_duplicates.record_classes(read(spark, d, "qa_records"))
+    return near_duplicates.document_classes(read(spark, d, "qa_records"))
 
 
 def p5_found(spark, d):

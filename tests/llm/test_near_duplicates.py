@@ -32,3 +32,9 @@ def test_empty_and_null(spark):
     assert N.similar_pairs(df).count() == 0
     nulls = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "a b", None)], "record_id bigint, question string, reasoning string")
     assert N.similar_pairs(nulls).count() == 0 and N.record_classes(nulls).count() == 0
+
+
+def test_every_record_has_a_class(spark):
+    rs = [(1, None, None), (2, "", ""), (3, "a b", None), (4, "a b c d", None), (5, "a b c d", None)]
+    got = N.document_classes(spark.createDataFrame(rs, "record_id bigint, question string, reasoning string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 0), (2, 2, 1, 0), (3, 3, 1, 0), (4, 4, 2, 0), (5, 4, 2, 0)]

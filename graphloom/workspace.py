@@ -8,6 +8,7 @@ column statistics, which an RDD checkpoint does not.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,15 @@ _OWN: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only if the session names none."""
+    """The session's shared folder; a temporary one is set only if the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -42,7 +45,10 @@ def spread(df: DataFrame) -> DataFrame:
     """The table in at least as many partitions as the cluster has cores; a table that has them is left as it is.
 
     For scans of few small files ahead of costly row-wise work; at scale a scan has its partitions and nothing moves.
+    A plan that shuffles is left as it is: to ask for its partitions would run it.
     """
+    if "Exchange" in (plan := df._jdf.queryExecution().executedPlan().toString()) or "AdaptiveSparkPlan" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if have >= cores else df.repartition(cores)
@@ -57,9 +63,13 @@ class Workspace:
         self.n = 0
         atexit.register(self._delete, self.root)
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def folder(self, label: str) -> str:
+        """A new path in the shared folder."""
         self.n += 1
-        path = f"{self.root}/{self.n:04d}-{label}"
+        return f"{self.root}/{self.n:04d}-{label}"
+
+    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+        path = self.folder(label)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path

@@ -38,3 +38,15 @@ def test_every_record_has_a_class(spark):
     rs = [(1, None, None), (2, "", ""), (3, "a b", None), (4, "a b c d", None), (5, "a b c d", None)]
     got = N.document_classes(spark.createDataFrame(rs, "record_id bigint, question string, reasoning string")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 1, 0), (2, 2, 1, 0), (3, 3, 1, 0), (4, 4, 2, 0), (5, 4, 2, 0)]
+
+
+def test_split_postings_and_classes_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 3)  # every shared trigram is split into blocks
+    monkeypatch.setattr(N, "COPIES", 3)
+    monkeypatch.setattr(N, "PART_BYTES", 4000)
+    rs = records(160, 6)
+    df = spark.createDataFrame(rs, SCHEMA).repartition(3)
+    sets = [(i, trigrams(f"{body(q)} {r or ''}")) for i, _, q, r, *_ in rs]
+    want = {(min(i, j), max(i, j)) for a, (i, s) in enumerate(sets) for j, t in sets[:a] if similarity(s, t) >= 0.7}
+    got = [tuple(r) for r in N.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60

@@ -1,11 +1,16 @@
 """The same or nearly the same record in an evaluation split and in training data.
 
-The evaluation texts are cut into shards of fixed size; each shard is indexed by a compressed full-text index (the
-Burrows-Wheeler transform of its word sequence with rank look-ups).  Training texts stream through backward search:
-every trigram gets the interval of evaluation suffixes that begin with it, so its count is known without touching a
-text.  A training text that has too many trigrams without any occurrence has no partner and ends there.  Of the others,
-the rarest trigrams, a few more than a partner may lack, are located; an evaluation text that is found often enough for
-its length is compared exactly, and the matched positions are merged into spans.  No partner is lost and none is capped.
+The evaluation texts are cut into shards of fixed size; each shard is a compressed full-text index, a self-index over
+the words of its texts: the successor array of their suffixes (the inverse of the Burrows-Wheeler transform's
+last-to-first mapping), which rises within each word and is stored as its differences, and the text numbers of every
+eighth suffix.  No text is kept beside it.  Training texts stream through backward search: every trigram gets the
+interval of evaluation suffixes that begin with it.  A training text that has too many trigrams without any occurrence
+has no partner and ends there.  Of the others, the rarest trigrams, a few more than a partner may lack, are located;
+for an evaluation text that is found often enough for its length, the words' suffixes are read off the index and all
+occurrences are extended to maximal matches; the matches are merged into spans, and the trigrams in them are the
+trigrams that both texts share.  No partner is lost and none is capped.
+
+Tasks read the shards from the shared folder, one at a time, so an index is never at the driver nor broadcast.
 """
 
 from __future__ import annotations
@@ -21,18 +26,21 @@ from ..workspace import Workspace, spread
 
 #: Evaluation rows of a shard; bounds the index that a worker holds.
 SHARD_ROWS = 20_000
-#: Bytes of compressed indexes that one pass over the training data may broadcast; beyond it there are more passes.
-PASS_BYTES = 48_000_000
+#: Words of training texts that a task holds while the shards pass by.
+HELD_WORDS = 4_000_000
+#: Where workers cannot read the shared folder themselves: bytes of shards that one pass may broadcast.
+PASS_BYTES = 32_000_000
 NUM, DEN = 3, 5
 #: Trigrams beyond the least number that are located for each text; as many must be shared before texts are compared.
 LEVELS = 6
-#: Suffixes that are located at once.
+#: Suffixes that are located at once, and occurrences of a pair beyond which they are extended row by row.
 LOCATED = 2_000_000
-_READY: dict = {}
+#: Every so many words a suffix has its text number stored.
+SAMPLED = 8
 
 
 class Index:
-    """Backward search over the word sequences of a shard's texts."""
+    """Backward search, location and extraction over the word sequences of a shard's texts."""
 
     @staticmethod
     def build(ids, texts: list[str]) -> bytes:
@@ -44,25 +52,35 @@ class Index:
         h, counts = T.word_hashes(texts)
         vocabulary, word = np.unique(h, return_inverse=True)
         docs = len(texts)
-        # text k is followed by its own separator, so that no match runs on and all suffixes differ
+        # text k is followed by its own separator k, so that no match runs on and all suffixes differ
         seq = np.insert(word.astype(np.int64) + docs, np.cumsum(counts), np.arange(docs))
         n = len(seq)
-        rank = seq.copy()
-        step = 1
-        while True:
+        rank, step = seq.copy(), 1
+        while n:
             second = np.zeros(n, np.int64)
-            second[:-step or None] = rank[step:] + 1 if step < n else 0
-            order = np.lexsort((second, rank))
+            second[: max(n - step, 0)] = rank[step:] + 1
+            both = rank * (max(n, docs + len(vocabulary)) + 2) + second
+            order = np.argsort(both, kind="stable")
             new = np.ones(n, np.int64)
             new[0] = 0
-            a, b = rank[order], second[order]
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[1:] = both[order][1:] != both[order][:-1]
+            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
             if rank[order[-1]] == n - 1 or step >= n:
                 break
             step *= 2
+        order = order if n else np.zeros(0, np.int64)
+        psi = rank[(order + 1) % max(n, 1)]
+        ends = np.flatnonzero(seq < docs)
+        doc = np.searchsorted(ends, order)
+        first_of = np.concatenate([[0], ends[:-1] + 1]) if docs else ends
+        sampled = np.flatnonzero((order - first_of[doc]) % SAMPLED == 0) if n else np.zeros(0, np.int64)
+        _, _, sizes = T.trigram_sets(texts)
         buf = io.BytesIO()
-        np.savez(buf, ids=np.asarray(ids, np.int64), vocabulary=vocabulary, seq=seq.astype(np.int32), suffixes=order.astype(np.int32))
+        np.savez(
+            buf, ids=np.asarray(ids, np.int64), vocabulary=vocabulary, lengths=counts.astype(np.int32), sizes=sizes.astype(np.int32), tally=np.bincount(seq, minlength=docs + len(vocabulary)).astype(np.int32),
+            steps=np.diff(psi, prepend=0).astype(np.int32), rows=np.diff(sampled, prepend=0).astype(np.int32), texts=doc[sampled].astype(np.int32),
+        )
         return zstandard.ZstdCompressor(level=3).compress(buf.getvalue())
 
     def __init__(self, blob: bytes):
@@ -70,48 +88,38 @@ class Index:
         import zstandard
 
         z = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob)))
-        self.ids, self.vocabulary = z["ids"], z["vocabulary"]
-        seq, suffixes = z["seq"].astype(np.int64), z["suffixes"]
-        docs, n = len(self.ids), len(seq)
-        self.docs, self.n = docs, n
-        bwt = seq[suffixes - 1]
-        order = np.argsort(bwt, kind="stable")
-        self.occurrences = bwt[order] * (n + 1) + order  # sorted: symbol, then position in the transform
-        self.first = np.searchsorted(bwt[order], np.arange(docs + len(self.vocabulary) + 1))
-        ends = np.flatnonzero(seq < docs)
-        self.doc_of = np.searchsorted(ends, suffixes).astype(np.int32)
-        # exact trigram sets of the texts, words as numbers of 21 bits
-        ok = (seq[:-2] >= docs) & (seq[1:-1] >= docs) & (seq[2:] >= docs) if n > 2 else np.zeros(0, bool)
-        at = np.flatnonzero(ok)
-        packed = self.pack(seq[at], seq[at + 1], seq[at + 2])
-        doc = np.searchsorted(ends, at)
-        o = np.lexsort((packed, doc))
-        packed, doc = packed[o], doc[o]
-        keep = np.ones(len(packed), bool)
-        keep[1:] = (packed[1:] != packed[:-1]) | (doc[1:] != doc[:-1])
-        self.sets, doc = packed[keep], doc[keep]
-        self.bounds = np.searchsorted(doc, np.arange(docs + 1))
-        self.sizes = np.diff(self.bounds)
-
-    def pack(self, a, b, c):
-        """Three symbols in one integer; a shard has far fewer than 2**21 different words."""
-        return ((a - self.docs) << 42) | ((b - self.docs) << 21) | (c - self.docs)
+        self.ids, self.vocabulary, self.lengths, self.sizes = z["ids"], z["vocabulary"], z["lengths"].astype(np.int64), z["sizes"]
+        self.first = np.concatenate([[0], np.cumsum(z["tally"], dtype=np.int64)])
+        self.psi = np.cumsum(z["steps"], dtype=np.int32)
+        self.sampled, self.sampled_text = np.cumsum(z["rows"], dtype=np.int32), z["texts"]
+        self.docs, self.n = len(self.ids), len(self.psi)
 
     def symbols(self, hashes):
         """Symbol of each word, -1 if no text of the shard has it."""
         import numpy as np
 
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1, np.int64)
         k = np.searchsorted(self.vocabulary, hashes)
         k[k == len(self.vocabulary)] = 0
-        found = self.vocabulary[k] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-        return np.where(found, k + self.docs, -1)
+        return np.where(self.vocabulary[k] == hashes, k + self.docs, -1)
 
-    def _back(self, c, lo, hi):
-        """The interval of c followed by what [lo, hi) begins with."""
+    def _rank(self, c, row):
+        """The first suffix of symbol c whose successor is not before ``row``: a binary search in c's rising run."""
         import numpy as np
 
-        base, start = c * (self.n + 1), self.first[c]
-        return np.searchsorted(self.occurrences, base + lo), np.searchsorted(self.occurrences, base + hi), start
+        lo, hi = self.first[c], self.first[c + 1]
+        size = int((hi - lo).max()) if len(c) else 0
+        for _ in range(size.bit_length()):
+            mid = (lo + hi) >> 1
+            less = (lo < hi) & (self.psi[np.minimum(mid, self.n - 1)] < row)
+            hi = np.where(less | (lo >= hi), hi, mid)
+            lo = np.where(less, mid + 1, lo)
+        return lo
+
+    def back(self, c, lo, hi):
+        """The interval of the suffixes that are c followed by what [lo, hi) begin with."""
+        return self._rank(c, lo), self._rank(c, hi)
 
     def trigram_intervals(self, s):
         """[lo, hi) of the suffixes that begin with each run of three symbols; empty where one is unknown."""
@@ -119,37 +127,101 @@ class Index:
 
         m = max(len(s) - 2, 0)
         lo, hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        if not m:
+        if not m or not self.n:
             return lo, hi
         at = np.flatnonzero((s[:-2] >= 0) & (s[1:-1] >= 0) & (s[2:] >= 0))
         a, b, c = s[at], s[at + 1], s[at + 2]
         # each distinct pair and triple is searched once, in sorted order
         pairs, inv = np.unique((b << 32) | c, return_inverse=True)
         pb, pc = pairs >> 32, pairs & 0xFFFFFFFF
-        l2, h2, _ = self._back(pb, self.first[pc], self.first[pc + 1])
+        l2, h2 = self.back(pb, self.first[pc], self.first[pc + 1])
         some = (h2 > l2)[inv]
         at, a, inv = at[some], a[some], inv[some]
-        triples, inv3 = np.unique(a * len(pairs) + inv, return_inverse=True)
+        triples, inv3 = np.unique(a * max(len(pairs), 1) + inv, return_inverse=True)
         ta, tp = triples // max(len(pairs), 1), triples % max(len(pairs), 1)
-        l3, h3, _ = self._back(ta, l2[tp], h2[tp])
+        l3, h3 = self.back(ta, l2[tp], h2[tp])
         lo[at], hi[at] = l3[inv3], h3[inv3]
         return lo, hi
 
+    def texts_of(self, rows):
+        """Text number of each suffix: successors are followed until one is sampled or a text's end."""
+        import numpy as np
+
+        out, at, row = np.empty(len(rows), np.int64), np.arange(len(rows)), np.asarray(rows, np.int64)
+        while len(row):
+            k = np.searchsorted(self.sampled, row)
+            k[k == len(self.sampled)] = 0
+            known = self.sampled[k] == row
+            end = row < self.docs
+            out[at[known]] = self.sampled_text[k[known]]
+            out[at[end]] = row[end]
+            go = ~(known | end)
+            at, row = at[go], self.psi[row[go]].astype(np.int64)
+        return out
+
+    def rows_of(self, text: int):
+        """The suffixes of a text's words, in order, read off the index."""
+        import numpy as np
+
+        row, out = int(self.psi[text - 1 if text else self.docs - 1]), np.empty(int(self.lengths[text]), np.int64)
+        for t in range(len(out)):
+            out[t] = row
+            row = int(self.psi[row])
+        return out
+
+    def maximal_matches(self, lo, hi, rows):
+        """(start in x, start in y, length in words) of all maximal matches of at least three words of texts x and y.
+
+        [lo, hi) are x's trigram intervals, ``rows`` the suffixes of y's words.  An occurrence that continues another is
+        not a match of its own.
+        """
+        import numpy as np
+
+        order = np.argsort(rows)
+        a, b = np.searchsorted(rows[order], lo), np.searchsorted(rows[order], hi)
+        n = np.where(hi > lo, b - a, 0)
+        if n.sum() > LOCATED:
+            return self._matches_by_row(a, n, order, len(rows))
+        p = np.repeat(np.arange(len(lo)), n)
+        t = order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        o = np.lexsort((p, p - t))
+        p, t = p[o], t[o]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] - t[1:] != p[:-1] - t[:-1]) | (p[1:] != p[:-1] + 1)
+        at = np.flatnonzero(new)
+        return p[at], t[at], np.diff(np.append(at, len(p))) + 2
+
+    @staticmethod
+    def _matches_by_row(a, n, order, size):
+        """The same for texts that repeat themselves so often that their occurrences are not held at once."""
+        import numpy as np
+
+        run, out = np.zeros(size + 1, np.int64), []
+        for p in range(len(n) + 1):
+            now = np.zeros(size + 1, np.int64)
+            if p < len(n) and n[p]:
+                t = order[a[p] : a[p] + n[p]]
+                now[t + 1] = run[t] + 1
+            over = np.flatnonzero((run > 0) & np.append(now[1:] == 0, True))
+            out.append(np.stack([p - run[over], over - run[over], run[over] + 2], axis=1))
+            run = now
+        m = np.concatenate(out)
+        return m[:, 0], m[:, 1], m[:, 2]
+
     def partners(self, hashes, counts, num: int, den: int):
-        """(text number, shard document, shared, union, spans, longest span) of all pairs of similarity num/den or more."""
+        """(text number, shard text, shared, union, spans, longest match) of all pairs of similarity num/den or more."""
         import numpy as np
 
         from . import text as T
 
         out = []
         g, gdoc = T.trigrams(hashes, counts)
-        if not len(g) or not len(self.sets):
+        if not len(g) or not self.n:
             return out
         pos = np.flatnonzero((d := np.repeat(np.arange(len(counts)), counts))[:-2] == d[2:])
-        s = self.symbols(hashes)
-        lo, hi = self.trigram_intervals(s)
+        lo, hi = self.trigram_intervals(self.symbols(hashes))
         lo, hi = lo[pos], hi[pos]
-        o = np.argsort((gdoc.astype(T.U) << T.U(44)) | (g >> T.U(20)))
+        o = np.argsort((gdoc.astype(T.U) << T.U(44)) | (g >> T.U(20))) if len(counts) < 1 << 20 else np.lexsort((g, gdoc))
         keep = np.ones(len(o), bool)
         keep[1:] = (g[o][1:] != g[o][:-1]) | (gdoc[o][1:] != gdoc[o][:-1])
         rep = o[keep]  # one position for each distinct trigram of a text
@@ -158,8 +230,7 @@ class Index:
         lacking = np.bincount(rdoc[rcount == 0], minlength=len(counts))
         may_lack = size - (num * size + den - 1) // den
         alive = (size > 0) & (lacking <= may_lack)
-        least = size - may_lack  # what any partner shares
-        levels = np.minimum(LEVELS, least)
+        levels = np.minimum(LEVELS, size - may_lack)  # what any partner shares is at least this
         # the rarest trigrams of each text that is left: of these, a partner has at least ``levels``
         r = rep[alive[rdoc] & (rcount > 0)]
         rd, rc = gdoc[r], hi[r] - lo[r]
@@ -171,7 +242,8 @@ class Index:
         taken = np.bincount(rd, minlength=len(counts))
         run = np.concatenate([[0], np.cumsum(rc)])
         starts = np.concatenate([np.flatnonzero(np.diff(rd, prepend=-1)), [len(rd)]])
-        pos_of, stop = pos, np.cumsum(size)
+        begin = np.searchsorted(gdoc, np.arange(len(counts) + 1))
+        rows: dict[int, object] = {}
         i = 0
         while i < len(starts) - 1:
             # texts whose located suffixes fill a block; a single text never has more than its trigrams times the shard
@@ -180,45 +252,29 @@ class Index:
             i = j
             n = rc[s0:s1]
             at = np.repeat(lo[r[s0:s1]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            pair, hits = np.unique(np.repeat(rd[s0:s1], n) * self.docs + self.doc_of[at], return_counts=True)
+            pair, hits = np.unique(np.repeat(rd[s0:s1], n) * self.docs + self.texts_of(at), return_counts=True)
             x, e = pair // self.docs, pair % self.docs
             nx, ny = size[x], self.sizes[e]
             need = (num * (nx + ny) + num + den - 1) // (num + den)
             ok = (den * np.minimum(ny, nx) >= num * np.maximum(ny, nx)) & (hits >= taken[x] + lacking[x] - (nx - need)) & (hits > 0)
             for x1, e1 in zip(x[ok].tolist(), e[ok].tolist()):
-                q = rep[stop[x1] - size[x1] : stop[x1]]
-                q = pos_of[q[hi[q] > lo[q]]]
-                mine = self.pack(s[q], s[q + 1], s[q + 2])
-                theirs = self.sets[self.bounds[e1] : self.bounds[e1 + 1]]
-                k = np.searchsorted(theirs, mine)
-                k[k == len(theirs)] = 0
-                shared, total = int((theirs[k] == mine).sum()), int(size[x1] + len(theirs))
+                y = rows.get(e1)
+                if y is None:
+                    if len(rows) > 4096:
+                        rows.clear()
+                    y = rows[e1] = self.rows_of(e1)
+                l, h = lo[begin[x1] : begin[x1 + 1]], hi[begin[x1] : begin[x1 + 1]]
+                start, _, length = self.maximal_matches(l, h, y)
+                covered = np.zeros(len(l) + 1, np.int64)
+                np.add.at(covered, start, 1)
+                np.add.at(covered, start + length - 2, -1)
+                inside = np.cumsum(covered)[:-1] > 0
+                # trigrams are told apart by their intervals
+                shared, total = len(np.unique(l[inside])), int(size[x1] + self.sizes[e1])
                 if (num + den) * shared >= num * total:
-                    out.append((x1, e1, shared, total - shared, *self._spans(s, pos, gdoc, x1, theirs)))
+                    out.append((x1, e1, shared, total - shared, int((np.diff(np.concatenate([[0], inside.astype(np.int8)])) == 1).sum()), int(length.max())))
         return out
 
-    def _spans(self, s, pos, gdoc, x, theirs):
-        """Number and longest length, in words, of the merged matches of text x in a set."""
-        import numpy as np
-
-        p = pos[np.searchsorted(gdoc, x) : np.searchsorted(gdoc, x + 1)]
-        known = (s[p] >= 0) & (s[p + 1] >= 0) & (s[p + 2] >= 0)
-        q = self.pack(s[p], s[p + 1], s[p + 2])
-        k = np.searchsorted(theirs, q)
-        k[k == len(theirs)] = 0
-        hit = known & (theirs[k] == q)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        runs = edge[1::2] - edge[0::2]
-        return len(runs), int(runs.max()) + 2 if len(runs) else 0
-
-
-def _ready(tag: str, blobs) -> list[Index]:
-    """The indexes of a pass, unpacked once a worker."""
-    if _READY.get("tag") != tag:
-        _READY.clear()
-        _READY.update(tag=tag, indexes=[Index(b) for b in blobs.value])
-    return _READY["indexes"]
-
 
 def _text(q, a, answers: bool) -> str:
     from .text import body
@@ -226,64 +282,128 @@ def _text(q, a, answers: bool) -> str:
     return f"{body(q)} {a or ''}" if answers else body(q)
 
 
-def build_shards(evaluation: DataFrame, answers: bool, work: Workspace) -> DataFrame:
-    """shard, size, blob: the indexes, written to the shared folder."""
+def build_shards(evaluation: DataFrame, answers: bool, work: Workspace) -> tuple[str, int]:
+    """(folder of the indexes in the shared folder, a file a shard; their number)."""
     n = evaluation.count()
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = -(-n // SHARD_ROWS)
 
     def build(table):
         import pyarrow as pa
 
         texts = [_text(q, a, answers) for q, a in zip(table.column("q").to_pylist(), table.column("a").to_pylist())]
-        blob = Index.build(table.column("id").to_pylist(), texts)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
-    rows = evaluation.select("id", "q", "a", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    return work.keep(rows.groupBy("shard").applyInArrow(build, "shard int, size bigint, blob binary"), "shards")
-
-
-def find_overlaps(evaluation: DataFrame, training: DataFrame, answers: bool, work: Workspace, num: int = NUM, den: int = DEN) -> DataFrame:
-    """eval_id, train_key, shared, all_trigrams, spans, longest_span of all pairs of similarity num/den or more.
+        return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([Index.build(table.column("id").to_pylist(), texts)], pa.binary())})
+
+    rows = evaluation.select("id", "q", "a", F.pmod(F.xxhash64("id"), F.lit(max(shards, 1))).cast("int").alias("shard"))
+    path = work.folder("shards")
+    rows.groupBy("shard").applyInArrow(build, "shard int, blob binary").write.option("compression", "none").partitionBy("shard").parquet(path)
+    return path, shards
+
+
+def read_shard(path: str, shard: int) -> Index | None:
+    """A shard's index, read from the shared folder by the process that needs it; None if no row fell into the shard."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    where, at = fs.FileSystem.from_uri(f"{path}/shard={shard}")
+    if where.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    for f in where.get_file_info(fs.FileSelector(at)):
+        if f.base_name.endswith(".parquet"):
+            return Index(pq.read_table(f.path, filesystem=where, columns=["blob"], partitioning=None).column("blob")[0].as_py())
+    return None
+
+
+SCHEMA = "eval_id bigint, train_key bigint, shared int, all_trigrams int, spans int, longest_match int"
+
+
+def _search(batches, answers: bool, num: int, den: int, indexes):
+    """Rows of SCHEMA; ``indexes`` gives the shards anew for each block of texts held."""
+    import numpy as np
+    import pyarrow as pa
+
+    from . import text as T
+
+    def look(ids, hs, cs):
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        # texts of at most so many words meet a shard at once
+        edges = np.searchsorted(np.cumsum(c), np.arange(0, len(h) + 400_000, 400_000))
+        edges = np.unique(np.concatenate([[0], edges, [len(c)]]))
+        stops = np.concatenate([[0], np.cumsum(c)])
+        for index in indexes():
+            rows = []
+            for i, j in zip(edges[:-1], edges[1:]):
+                rows += [(int(index.ids[e]), ids[i + x], *rest) for x, e, *rest in index.partners(h[stops[i] : stops[j]], c[i:j], num, den)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), [pa.int64()] * 2 + [pa.int32()] * 4)], ["eval_id", "train_key", "shared", "all_trigrams", "spans", "longest_match"])
+
+    ids, hs, cs, held = [], [], [], 0
+    for b in batches:
+        texts = [_text(q, a, answers) for q, a in zip(b.column("q").to_pylist(), b.column("a").to_pylist())]
+        for i, j in T.slices([len(x) + 1 for x in texts], T.CHUNK):
+            h, c = T.word_hashes(texts[i:j])
+            hs.append(h)
+            cs.append(c)
+            held += len(h)
+        ids += b.column("id").to_pylist()
+        if held > HELD_WORDS:
+            yield from look(ids, hs, cs)
+            ids, hs, cs, held = [], [], [], 0
+    if ids:
+        yield from look(ids, hs, cs)
+
+
+def find_overlaps(evaluation: DataFrame, training: DataFrame, answers: bool, work: Workspace, num: int = NUM, den: int = DEN, by_file: bool | None = None) -> DataFrame:
+    """eval_id, train_key, shared, all_trigrams, spans, longest_match of all pairs of similarity num/den or more.
 
     Both tables have id, q (question) and a (answer).  With ``answers`` a text is the question body, a space and the
     answer, else the body.  Null texts are empty; texts of fewer than three words have no partner.  Repeated rows
-    each count.  Empty tables give no rows.
+    each count.  Empty tables give no rows.  ``spans`` counts the training text's merged matches, ``longest_match`` is the
+    longest maximal match in words.  Workers read the shards from the shared folder; where they cannot (``by_file``
+    False, or no Python file system for its scheme) shards are broadcast in passes, one at a time, each pass's rows
+    written before its broadcast is dropped.
     """
     spark = training.sparkSession
-    schema = "eval_id bigint, train_key bigint, shared int, all_trigrams int, spans int, longest_span int"
-    shards = build_shards(evaluation, answers, work)
-    passes, size = [[]], 0
-    for r in shards.select("shard", "size").orderBy("shard").collect():  # one row a shard of SHARD_ROWS texts
-        if size and size + r["size"] > PASS_BYTES:
-            passes.append([])
-            size = 0
-        passes[-1].append(r["shard"])
-        size += r["size"]
-    result = None
-    for names in passes:
-        if not names:
-            continue
-        blobs = spark.sparkContext.broadcast([bytes(r["blob"]) for r in shards.where(F.col("shard").isin(names)).select("blob").collect()])
-
-        def run(batches, blobs=blobs, tag=f"{work.root}/{answers}/{names[0]}"):
-            import pyarrow as pa
-
-            from . import text as T
-
-            for b in batches:
-                texts = [_text(q, a, answers) for q, a in zip(b.column("q").to_pylist(), b.column("a").to_pylist())]
-                ids = b.column("id").to_pylist()
-                rows = []
-                for i, j in T.slices([len(x) + 1 for x in texts], T.CHUNK):
-                    h, counts = T.word_hashes(texts[i:j])
-                    for index in _ready(tag, blobs):
-                        rows += [(int(index.ids[e]), ids[i + x], *rest) for x, e, *rest in index.partners(h, counts, num, den)]
-                cols = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4)], ["eval_id", "train_key", "shared", "all_trigrams", "spans", "longest_span"])
-
-        got = spread(training.select("id", "q", "a")).mapInArrow(run, schema)
+    path, shards = build_shards(evaluation, answers, work)
+    if not shards:
+        return spark.createDataFrame([], SCHEMA)
+    rows = spread(training.select("id", "q", "a"))
+    if by_file is None:
+        by_file = _readable(path)
+    if by_file:
+
+        def run(batches):
+            return _search(batches, answers, num, den, lambda: (x for k in range(shards) if (x := read_shard(path, k)) is not None))
+
+        return rows.mapInArrow(run, SCHEMA)
+    table = spark.read.parquet(path)
+    sizes = table.select("shard", F.length("blob").alias("size")).orderBy("shard").collect()  # one row a shard
+    result, at = None, 0
+    while at < len(sizes):
+        names, size = [], 0
+        while at < len(sizes) and (not names or size + sizes[at]["size"] <= PASS_BYTES):
+            names.append(sizes[at]["shard"])
+            size += sizes[at]["size"]
+            at += 1
+        blobs = spark.sparkContext.broadcast([bytes(r["blob"]) for r in table.where(F.col("shard").isin(names)).select("blob").collect()])
+
+        def run(batches, blobs=blobs):
+            return _search(batches, answers, num, den, lambda: (Index(x) for x in blobs.value))
+
+        got = work.keep(rows.mapInArrow(run, SCHEMA), "pass")
+        blobs.destroy()
         result = got if result is None else result.unionByName(got)
-    return spark.createDataFrame([], schema) if result is None else result
+    return result
+
+
+def _readable(path: str) -> bool:
+    import pyarrow as pa
+    import pyarrow.fs as fs
+
+    try:
+        where, at = fs.FileSystem.from_uri(path)
+        return where.get_file_info(at).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, OSError, ValueError):
+        return False
 
 
 def _rows(df: DataFrame, id_: str, answer: str | None) -> DataFrame:
@@ -304,10 +424,10 @@ def cross_split_overlaps(evals: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def overlap_report(evals: DataFrame, records: DataFrame) -> DataFrame:
-    """split, dataset_name, train_table, n_pairs, n_eval, longest_span: overlaps per split and data set."""
+    """split, dataset_name, train_table, n_pairs, n_eval, longest_match: overlaps per split and data set."""
     about = evals.select(F.col("eval_id").cast("bigint").alias("eval_id"), key(F.col("split")).alias("split"), "dataset_name")
     work = Workspace(evals.sparkSession, "overlap-report")
     pairs = work.keep(cross_split_overlaps(evals, records), "pairs")
     return heavy_light_join(pairs, about, ["eval_id"]).groupBy("split", "dataset_name", "train_table").agg(
-        F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.max("longest_span").alias("longest_span")
+        F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.max("longest_match").alias("longest_match")
     )

@@ -456,7 +456,7 @@ def learn(x, trial, prior, rounds: int = 24, held: int = 8, start: float = 0.2,
     for kind, (m, strength) in EXPECTED.items():
         j = PLAIN.index(kind) if kind in PLAIN else len(PLAIN) + LOOKED_UP.index(kind) * (len(SIGNS) + 11)
         if kind in LOOKED_UP:
-            ridge[j : j + len(SIGNS) + 11] = 2.0
+            ridge[j : j + len(SIGNS) + 11] = 200.0
         mean[j], ridge[j] = m, strength
     w, base = mean.copy(), start
     first = np.log(np.clip(np.where(np.isnan(prior), base, prior), 1e-4, 0.995))

@@ -35,9 +35,12 @@ def test_overlaps_in_one_and_many_shards(spark, monkeypatch):
     cols = ["eval_id", "train_table", "train_key"]
     assert sorted(tuple(x) for x in C.cross_split_overlaps(e, r).select(*cols).collect()) == sorted(want)
     monkeypatch.setattr(C, "SHARD_ROWS", 20)
+    monkeypatch.setattr(C, "HELD_WORDS", 500)
     monkeypatch.setattr(C, "PASS_BYTES", 3000)
     got = C.cross_split_overlaps(e, r)
     assert sorted(tuple(x) for x in got.select(*cols).collect()) == sorted(want)
+    monkeypatch.setattr(C, "_readable", lambda path: False)  # passes of broadcasts
+    assert sorted(tuple(x) for x in C.cross_split_overlaps(e, r).select(*cols).collect()) == sorted(want)
     report = C.overlap_report(e, r).collect()
     assert sum(x["n_pairs"] for x in report) == len(want)
     assert C.cross_split_overlaps(e.limit(0), r).count() == 0 and C.cross_split_overlaps(e, r.limit(0)).where("train_table = 'qa_records'").count() == 0
@@ -51,8 +54,28 @@ def test_index_counts():
     w = words("a b c a b zz c d x b")
     every = [tuple(words(t)[i : i + 3]) for t in texts for i in range(len(words(t)) - 2)]
     assert (hi - lo).tolist() == [every.count(tuple(w[i : i + 3])) for i in range(len(w) - 2)]
-    where = {tuple(np.sort(ix.doc_of[a:b])) for a, b in zip(lo, hi) if b > a}
+    where = {tuple(np.sort(ix.texts_of(np.arange(a, b)))) for a, b in zip(lo, hi) if b > a}
     assert (0, 0, 4) in where and (0, 3) in where
+    for k, t in enumerate(texts):  # the index gives the texts back
+        rows = ix.rows_of(k)
+        assert [int(ix.vocabulary[np.searchsorted(ix.first, x, side="right") - 1 - ix.docs]) for x in rows] == T.word_hashes([t])[0].tolist()
+        assert set(ix.texts_of(rows).tolist()) <= {k}
+
+
+def test_maximal_matches_against_brute_force(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    for limit in (C.LOCATED, 0):  # also row by row
+        monkeypatch.setattr(C, "LOCATED", limit)
+        for _ in range(60):
+            x, y = [[r.choice("abc") for _ in range(r.randrange(3, 25))] for _ in range(2)]
+            ix = C.Index(C.Index.build([1, 2], ["a c b", " ".join(y)]))
+            h, _ = T.word_hashes([" ".join(x)])
+            lo, hi = ix.trigram_intervals(ix.symbols(h))
+            p, t, n = ix.maximal_matches(lo, hi, ix.rows_of(1))
+            want = {(i, j, k) for i in range(len(x)) for j in range(len(y)) if not (i and j and x[i - 1] == y[j - 1]) and (k := next((k for k in range(len(x) + 1) if i + k >= len(x) or j + k >= len(y) or x[i + k] != y[j + k]))) >= 3}
+            assert set(zip(p.tolist(), t.tolist(), n.tolist())) == want
 
 
 def test_spans():
@@ -60,3 +83,8 @@ def test_spans():
     h, n = T.word_hashes(["one two three four five six seven nine"])
     (x,) = ix.partners(h, n, 3, 5)
     assert x[:2] == (0, 0) and x[2:] == (5, 7, 1, 7)
+    # two passages that change places are two matches, not one
+    ix = C.Index(C.Index.build([7], ["one two three four five six seven eight"]))
+    h, n = T.word_hashes(["five six seven eight one two three four"])
+    (x,) = ix.partners(h, n, 1, 5)
+    assert x[2] == 4 and x[4:] == (2, 4)

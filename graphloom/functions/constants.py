@@ -24,6 +24,15 @@ AUDIT_POSITIVE = "safe recommended effective beneficial indicated reduces preven
 NEGATIVE_RELATIONS = ["contraindication", "disease_phenotype_negative", "anatomy_protein_absent"]
 NEGATIVE_DISPLAY = ["contra", "risk", "adverse", "avoid"]
 
+CLASH_NEGATIVE = ["no benefit", "no evidence", "not recommended", "not effective", "did not", "does not", "fails to", "contraindicated", "avoid", "worsens", "increases risk"]
+CLASH_POSITIVE = ["recommended", "effective", "prevents", "reduces", "treats", "improves", "supports", "beneficial", "indicated"]
+ABBREVIATIONS = {
+    "acei": "angiotensin converting enzyme inhibitor", "af": "atrial fibrillation", "aki": "acute kidney injury", "arb": "angiotensin receptor blocker", "bid": "twice daily",
+    "cabg": "coronary artery bypass grafting", "cad": "coronary artery disease", "ckd": "chronic kidney disease", "copd": "chronic obstructive pulmonary disease", "dm": "diabetes mellitus",
+    "dvt": "deep vein thrombosis", "hf": "heart failure", "htn": "hypertension", "mi": "myocardial infarction", "nsaid": "nonsteroidal anti inflammatory drug", "pe": "pulmonary embolism",
+    "qd": "once daily", "ra": "rheumatoid arthritis", "tid": "three times daily",
+}
+
 QUESTION_PATTERNS = {
     "drug_interaction": ["interaction", "interact", "contraindicated", "combine", "co-administer", "coadminister"],
     "dosage": ["dose", "dosage", "mg", "mcg", "titrate", "how much"],

@@ -273,6 +273,29 @@ def phrases(c: Column, most: int = 3, least: int = 3) -> Column:
     return F.filter(F.array_distinct(F.concat(*[runs(n) for n in range(most, 0, -1)])), lambda p: F.length(p) >= least)
 
 
+#: A long form before its short form in brackets (fixed pattern).
+ABBREVIATED = r"\b([A-Za-z][A-Za-z -]{2,})[ \t\n\r\f]*\(([A-Za-z0-9-]{2,10})\)"
+
+
+def abbreviations(texts: Column) -> Column:
+    """array<struct<short, long>>: the fixed abbreviations, then those that the texts define, in order of first mention.
+
+    ``texts`` is an array<string>.  A short form that is defined again takes its last definition and keeps its place.
+    """
+    raw = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(text(t), F.lit(ABBREVIATED), F.lit(0))))
+    one = lambda m: F.struct(F.lower(F.regexp_extract(m, ABBREVIATED, 2)).alias("short"), squeeze(F.lower(F.regexp_extract(m, ABBREVIATED, 1))).alias("long"))
+    fixed = F.array(*[F.struct(F.lit(a).alias("short"), F.lit(b).alias("long")) for a, b in K.ABBREVIATIONS.items()])
+    every = F.concat(fixed, F.transform(raw, one))
+    names = F.array_distinct(F.transform(every, lambda e: e["short"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(every, lambda e: e["short"] == n), -1))
+
+
+def expanded(c: Column, entries: Column) -> Column:
+    """The normalised answer with the abbreviations written out, one after the other."""
+    out = F.aggregate(entries, answer(c), lambda t, e: F.regexp_replace(t, F.concat(F.lit("\\b"), e["short"], F.lit("\\b")), e["long"]))
+    return squeeze(out)
+
+
 #: The verbs that divide a triple (fixed values).
 VERBS = "reduces|increases|causes|treats|prevents|inhibits|activates"
 TRIPLE = rf"([a-z0-9-][a-z0-9 -]+?) +({VERBS}) +([a-z0-9-][a-z0-9 -]+)"

@@ -13,7 +13,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..functions.keys import edge_id, key, pmid
 from ..workspace import Workspace
-from .skew import heavy_light_join
+from .skew import heavy_keys, heavy_light_join
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:
@@ -115,17 +115,21 @@ def routed_relations(types: DataFrame, edges: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, inc: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """k, edge_id, hop of the edges within two hops of the seeds (k, node); an edge of both hops counts as hop 1.
 
-    ``allowed`` (k, relation) limits both hops; None admits every relation.  Seeds are not expanded again in hop 2.
+    ``allowed`` (k, relation) limits both hops before the edges are met; None admits every relation.  Seeds are not
+    expanded again in hop 2.  Frontiers are written once; nodes that own many edges are heavy keys of the join.
     """
+    work = Workspace(seeds.sparkSession, "expand")
+    on = ["node"] if allowed is None else ["node", "relation"]
     walk = inc.select("node", "edge_id", "other", "relation")
+    hubs = heavy_keys(walk, on)
 
-    def step(frontier: DataFrame) -> DataFrame:
-        j = heavy_light_join(frontier, walk, ["node"])
-        return j if allowed is None else j.join(allowed, ["k", "relation"], "left_semi")
+    def step(frontier: DataFrame, label: str) -> DataFrame:
+        f = work.keep(frontier if allowed is None else frontier.join(allowed.select("k", "relation").distinct(), "k"), label)
+        return heavy_light_join(f, walk, on, heavy=sorted({*hubs, *heavy_keys(f, on)}))
 
-    one = step(seeds.select("k", "node").distinct())
-    frontier = one.select("k", F.col("other").alias("node")).distinct().join(seeds.select("k", "node"), ["k", "node"], "left_anti")
-    two = step(frontier)
+    start = work.keep(seeds.select("k", "node").distinct(), "start")
+    one = work.keep(step(start, "frontier1").select("k", "edge_id", F.col("other").alias("node")), "hop1")
+    two = step(one.select("k", "node").distinct().join(start, ["k", "node"], "left_anti"), "frontier2")
     both = one.select("k", "edge_id", F.lit(1).alias("hop")).unionByName(two.select("k", "edge_id", F.lit(2).alias("hop")))
     return both.groupBy("k", "edge_id").agg(F.min("hop").alias("hop"))
 
@@ -171,15 +175,58 @@ def induced_weights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return h.join(nodes.select("k", F.col("node").alias("tail")), ["k", "tail"], "left_semi").select("k", "head", "tail", "weight")
 
 
-def pagerank(weights: DataFrame, seeds: DataFrame, work: Workspace, alpha: float = K.ALPHA, rounds: int = 10) -> DataFrame:
-    """k, node, score: personalized PageRank of each question's graph after ``rounds`` rounds from the uniform start.
-
-    The restart is uniform over the seeds in the graph, over all nodes if none is.  Mass of nodes without out-edges
-    goes to the restart.  Nodes without an edge are not in the graph.
+#: A question whose graph has at most so many edges is solved in one task; larger ones by joins, with the same stop.
+SOLVED_AT_ONCE = 200_000
+TOLERANCE, MOST_ROUNDS = 1e-6, 100
+
+
+def _solve(table, alpha: float):
+    """Node scores of one question: a table of head, tail, weight, and seeds as rows whose weight is null."""
+    import numpy as np
+    import pyarrow as pa
+
+    weight = table.column("weight").to_numpy(zero_copy_only=False)
+    edge = ~np.isnan(weight)
+    head, tail = (np.array(table.column(c).to_pylist(), object) for c in ("head", "tail"))
+    names, at = np.unique(np.concatenate([head[edge], tail[edge]]).astype(str), return_inverse=True)
+    n, w = len(names), weight[edge]
+    h, t = at[: len(w)], at[len(w) :]
+    restart = np.isin(names, head[~edge].astype(str)).astype(float)
+    restart = restart / restart.sum() if restart.any() else np.full(n, 1.0 / max(n, 1))
+    out = np.bincount(h, w, n)
+    share, dangling = w / out[h], out == 0
+    x = np.full(n, 1.0 / max(n, 1))
+    for _ in range(MOST_ROUNDS):
+        last, x = x, alpha * (np.bincount(t, x[h] * share, n) + x[dangling].sum() * restart) + (1 - alpha) * restart
+        if np.abs(x - last).sum() < n * TOLERANCE:
+            break
+    else:
+        raise RuntimeError("a rank did not converge")
+    return pa.table({"k": pa.array(table.column("k").to_pylist()[:1] * n, table.schema.field("k").type), "node": pa.array(names.tolist(), pa.string()), "score": pa.array(x)})
+
+
+def pagerank(weights: DataFrame, seeds: DataFrame, work: Workspace, alpha: float = K.ALPHA) -> DataFrame:
+    """k, node, score: personalized PageRank of each question's graph (k, head, tail, weight).
+
+    From the uniform start until the summed change is below nodes x TOLERANCE, for each question on its own; at most
+    MOST_ROUNDS rounds, then an error.  The restart is uniform over the seeds in the graph, over all nodes if none is.
+    Mass of nodes without out-edges goes to the restart.  Nodes without an edge are not in the graph.
     """
-    w = work.keep(weights, "weights")
+    w = work.keep(weights.select("k", "head", "tail", F.col("weight").cast("double").alias("weight")), "weights")
+    large = work.keep(w.groupBy("k").count().where(F.col("count") > SOLVED_AT_ONCE).select("k"), "large")
+    some = not large.isEmpty()
+    mark = seeds.select("k", "node").distinct()
+    rows = w.unionByName(mark.select("k", F.col("node").alias("head"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast("double").alias("weight")).join(w.select("k").distinct(), "k", "left_semi"))
+    schema = f"k {dict(w.dtypes)['k']}, node string, score double"
+    small = (rows.join(large, "k", "left_anti") if some else rows).groupBy("k").applyInArrow(lambda t: _solve(t, alpha), schema)
+    return small.unionByName(_large_pagerank(w.join(large, "k", "left_semi"), mark, work, alpha)) if some else small
+
+
+def _large_pagerank(w: DataFrame, mark: DataFrame, work: Workspace, alpha: float) -> DataFrame:
+    """``pagerank`` by joins, a written table a round; questions that have settled leave the loop."""
+    w = work.keep(w, "large-weights")
     nodes = w.select("k", F.explode(F.array("head", "tail")).alias("node")).distinct()
-    marked = nodes.join(seeds.select("k", "node").distinct().withColumn("s", F.lit(1)), ["k", "node"], "left")
+    marked = nodes.join(mark.withColumn("s", F.lit(1)), ["k", "node"], "left")
     per = marked.groupBy("k").agg(F.count("*").alias("n"), F.count("s").alias("seeds"))
     out = w.groupBy("k", F.col("head").alias("node")).agg(F.sum("weight").alias("out_weight"))
     base = work.keep(
@@ -189,20 +236,25 @@ def pagerank(weights: DataFrame, seeds: DataFrame, work: Workspace, alpha: float
         "base",
     )
     shares = work.keep(w.join(out.withColumnRenamed("node", "head"), ["k", "head"]).select("k", F.col("head").alias("node"), "tail", (F.col("weight") / F.col("out_weight")).alias("share")), "shares")
-    state = base.select("k", "node", (1 / F.col("n")).alias("score"))
-    held = None
-    for i in range(rounds):
+    state, done = work.keep(base.select("k", "node", (1 / F.col("n")).alias("score")), "scores"), None
+    for _ in range(MOST_ROUNDS):
         moved = state.join(shares, ["k", "node"]).groupBy("k", F.col("tail").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         lost = state.join(base.where("out_weight is null").select("k", "node"), ["k", "node"]).groupBy("k").agg(F.sum("score").alias("lost"))
-        state = base.join(moved, ["k", "node"], "left").join(lost, "k", "left").select(
-            "k", "node", (F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("restart")) + F.lit(1 - alpha) * F.col("restart")).alias("score")
+        now = state.withColumnRenamed("score", "old").join(base, ["k", "node"]).join(moved, ["k", "node"], "left").join(lost, "k", "left").select(
+            "k", "node", "n", "old", (F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("restart")) + F.lit(1 - alpha) * F.col("restart")).alias("score")
         )
-        if i % 2 == 1 or i == rounds - 1:  # the plan doubles with every round that is not written
-            kept = work.keep(state, "scores")
-            if held is not None:
-                work.drop(held)
-            state = held = kept
-    return state
+        now = work.keep(now, "scores")
+        settled = work.keep(now.groupBy("k").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.first("n").alias("n")).where(F.col("change") < F.col("n") * TOLERANCE).select("k"), "settled")
+        if not settled.isEmpty():
+            part = now.join(settled, "k", "left_semi").select("k", "node", "score")
+            done = part if done is None else done.unionByName(part)
+            state = work.keep(now.join(settled, "k", "left_anti").select("k", "node", "score"), "scores")
+            if state.isEmpty():
+                return done
+        else:
+            work.drop(state)
+            state = now.select("k", "node", "score")
+    raise RuntimeError("a rank did not converge")
 
 
 def top_edges(found: DataFrame, edges: DataFrame, scores: DataFrame, seeds: DataFrame, most: int = K.TOP_EDGES) -> DataFrame:

@@ -161,10 +161,11 @@ def guardian(rollup: DataFrame, entity_confidence: Column, entities_valid: Colum
 def self_contradictions(claims: DataFrame) -> DataFrame:
     """k, n_pairs, n_conflicts, rate over the pairs of claims of one answer, each pair once.
 
-    An answer's claims are one array, so pairs never leave their row.
+    A pair clashes if its claims share a word and have opposite cues or numbers that clash.  An answer's claims are one
+    array, so pairs never leave their row.
     """
     a = claims.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("claim_pos", "claim"))), lambda s: s["claim"]).alias("c"))
     pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.greatest(F.size("c"), F.lit(1))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    e = a.select("k", F.explode(pairs).alias("p")).select("k", (T.polarity_conflict(F.col("p.x"), F.col("p.y")) | T.numeric_conflict(T.numbers(F.col("p.x")), T.numbers(F.col("p.y")))).alias("bad"))
+    e = a.select("k", F.explode(pairs).alias("p")).select("k", (F.arrays_overlap(T.tokens(F.col("p.x")), T.tokens(F.col("p.y"))) & (T.polarity_conflict(F.col("p.x"), F.col("p.y")) | T.numeric_conflict(T.numbers(F.col("p.x")), T.numbers(F.col("p.y"))))).alias("bad"))
     n = e.groupBy("k").agg(F.count("*").alias("n_pairs"), F.count_if("bad").alias("n_conflicts"))
     return n.withColumn("rate", F.round(F.col("n_conflicts") / F.col("n_pairs"), 6))

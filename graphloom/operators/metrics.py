@@ -115,15 +115,25 @@ def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p")).select(*by, "n", F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
-def faithfulness(df: DataFrame, answer: str, context: str) -> Column:
-    """Share of the answer's claims that some chunk of the context supports; 1 without claims, 0 without context.
+def faithfulness(df: DataFrame, answer: str, context: str) -> DataFrame:
+    """``df`` with faithfulness: the share of the answer's claims that some chunk of the context supports.
 
-    A chunk supports a claim if the numbers agree and it shares at least .35 of the claim's tokens.
+    1 without claims, 0 without context.  Abbreviations that the answer or the context define, and the fixed ones, are
+    written out first.  A chunk supports a claim if the numbers agree, the chunk does not contradict it (opposite cues or
+    a clash of numbers) and it shares at least .35 of the claim's tokens; a claim without tokens is never supported.
+    Claims and chunks are arrays of one row, so nothing is shuffled.
     """
     chunks = F.filter(F.coalesce(F.col(context), F.array().cast("array<string>")), lambda c: F.trim(T.text(c)) != "")
-    parts = T.claims(F.col(answer))
-    ok = F.filter(
-        parts,
-        lambda c: F.exists(chunks, lambda x: (T.overlap(T.tokens(T.answer(c)), T.tokens(T.answer(x))) >= K.LEXICAL_SUPPORT) & T.numeric_compatible(T.numbers(T.answer(c)), T.numbers(T.answer(x)))),
-    )
-    return F.when(F.size(parts) == 0, 1.0).when(F.size(chunks) == 0, 0.0).otherwise(F.size(ok) / F.size(parts))
+    x = df.withColumn("_claims", T.claims(F.col(answer))).withColumn("_chunks", chunks)
+    x = x.withColumn("_short", T.abbreviations(F.concat(F.array(T.text(F.col(answer))), F.col("_chunks"))))
+    one = lambda t: F.struct(t.alias("t"), T.tokens(t).alias("w"), T.numbers(t).alias("n"), T.has_any(t, K.POSITIVE_CUES).alias("p"), T.has_any(t, K.NEGATIVE_CUES).alias("m"))
+    x = x.withColumn("_ct", F.transform("_claims", lambda c: T.expanded(c, F.col("_short")))).withColumn("_xt", F.transform("_chunks", lambda c: T.expanded(c, F.col("_short"))))
+    x = x.withColumn("_c", F.transform("_ct", one)).withColumn("_x", F.transform("_xt", one))
+
+    def supports(c, e):
+        opposed = F.arrays_overlap(c["w"], e["w"]) & ((c["p"] & e["m"]) | (c["m"] & e["p"]))
+        return T.numeric_compatible(c["n"], e["n"]) & ~opposed & ~T.numeric_conflict(c["n"], e["n"]) & (T.overlap(c["w"], e["w"]) >= K.LEXICAL_SUPPORT)
+
+    ok = F.size(F.filter("_c", lambda c: (F.size(c["w"]) > 0) & F.exists("_x", lambda e: supports(c, e))))
+    score = F.when(F.size("_c") == 0, 1.0).when(F.size("_x") == 0, 0.0).otherwise(ok / F.size("_c"))
+    return x.withColumn("faithfulness", score).select(*df.columns, "faithfulness")

@@ -69,19 +69,25 @@ def decode_paths(scores: DataFrame, edges_of: DataFrame, work: Workspace) -> Dat
 def contradiction_scores(edges_of: DataFrame, passages: DataFrame) -> DataFrame:
     """k, contradiction: the strongest clash of an edge with a passage of its question that names one of its ends.
 
-    A negating passage against a positive edge, or the reverse, counts .8, a passage with cues of both kinds .35; edges of
-    both polarities between the same nodes count at least .6.
+    An edge is negative by its relation or a display relation with ``contra``.  A positive edge counts .8 against a
+    passage with a negative cue, whatever else it says; a negative edge .8 against one with a positive cue and .35
+    against one with no cue at all.  Edges of both polarities between the same nodes count at least .6.  Questions
+    without edges or without passages have 0 (no edge: no row).
     """
-    negative = ["no benefit", "no evidence", "not recommended", "not effective", "did not", "does not", "fails to", "contraindicated", "avoid", "worsens", "increases risk"]
-    positive = ["recommended", "effective", "prevents", "reduces", "treats", "improves", "supports", "beneficial", "indicated"]
-    e = edges_of.select("k", "head", "tail", F.col("relation").isin(K.NEGATIVE_RELATIONS).alias("neg"), F.lower(T.humanized(F.col("head"))).alias("h"), F.lower(T.humanized(F.col("tail"))).alias("t"))
-    p = passages.select("k", F.lower(F.concat_ws(" ", "title", "abstract")).alias("body"))
+    e = edges_of.select(
+        "k", "head", "tail", (T.text(F.col("relation")).isin(K.NEGATIVE_RELATIONS) | T.has_any(F.col("display_relation"), ["contra"])).alias("neg"),
+        F.lower(T.humanized(F.col("head"))).alias("h"), F.lower(T.humanized(F.col("tail"))).alias("t"),
+    )
+    p = passages.select("k", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))).alias("body"))
+    p = p.select("k", "body", T.has_any(F.col("body"), K.CLASH_NEGATIVE).alias("n"), T.has_any(F.col("body"), K.CLASH_POSITIVE).alias("p"))
     j = e.join(p, "k").where(F.col("body").contains(F.col("h")) | F.col("body").contains(F.col("t")))
-    has_n, has_p = T.has_any(F.col("body"), negative), T.has_any(F.col("body"), positive)
-    clash = F.when((has_n & ~has_p & ~F.col("neg")) | (has_p & ~has_n & F.col("neg")), 0.8).when(has_n & has_p, 0.35).otherwise(0.0)
+    clash = F.when(F.col("neg") & F.col("p"), 0.8).when(~F.col("neg") & F.col("n"), 0.8).when(F.col("neg") == F.col("n"), 0.0).otherwise(0.35)
     one = j.groupBy("k").agg(F.max(clash).alias("c"))
     mixed = e.groupBy("k", "head", "tail").agg(F.count_distinct("neg").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
-    return mixed.join(one, "k", "left").select("k", F.greatest(F.coalesce("c", F.lit(0.0)), F.when(F.col("n") > 1, 0.6).otherwise(0.0)).alias("contradiction"))
+    some = passages.select("k").distinct().withColumn("some", F.lit(True))
+    both = mixed.join(one, "k", "left").join(some, "k", "left")
+    score = F.greatest(F.coalesce("c", F.lit(0.0)), F.when(F.col("n") > 1, 0.6).otherwise(0.0))
+    return both.select("k", F.when(F.col("some"), score).otherwise(0.0).alias("contradiction"))
 
 
 def provenance_tags(edges: Column, pmids: Column, other_edges: Column, passages: Column, most: int = 3) -> Column:

@@ -55,7 +55,7 @@ def heavy_light_join(
     """``left.join(right, on, how)`` for ``inner``, ``left``, ``left_semi`` and ``left_anti``, even where a few keys own most of ``left``.
 
     Heavy keys of ``left`` meet their rows of ``right`` by broadcast (salted shuffle, if those are more than
-    ``BROADCAST_ROWS``); the rest is an ordinary join.  Rows whose key has a null match nothing, as in SQL; they stay
+    ``BROADCAST_ROWS``, or the rows of ``left``, if those are fewer); the rest is an ordinary join.  Rows whose key has a null match nothing, as in SQL; they stay
     out of every shuffle.  ``left`` is read twice, so pass a table, not a costly plan.  Columns of ``right`` other
     than the key must not clash with those of ``left``.  An empty side gives what the plain join gives.
     """
@@ -72,6 +72,8 @@ def heavy_light_join(
     hot_left, cold_left = left.where(_is_heavy(on, heavy)), left.where(~_is_heavy(on, heavy))
     if hot_right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hot = hot_left.join(F.broadcast(hot_right), on, how)
+    elif how == "inner" and hot_left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = hot_right.join(F.broadcast(hot_left), on)  # few rows meet a hub: the hub's rows stay where they are
     elif how in ("left_semi", "left_anti"):
         hot = hot_left.join(F.broadcast(hot_right.select(*on).distinct()), on, how)  # at most one row a heavy key
     else:

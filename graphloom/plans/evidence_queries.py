@@ -183,7 +183,7 @@ def oracle_sql():
         "audit_labels": f"""WITH {_AUDIT}, a AS (SELECT k, count(*) AS n, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'contradicted') AS c, count(*) FILTER (verdict = 'unsupported') AS u, max(severity) AS worst FROM au GROUP BY 1),
           f AS (SELECT *, round(greatest(0.0, least(1.0, s / n::DOUBLE - 0.25 * c - 0.10 * u)), 6) AS faithfulness FROM a) SELECT k, faithfulness, CASE WHEN worst = 3 THEN 'reject' WHEN c + u = 0 AND faithfulness >= 0.8 THEN 'golden' ELSE 'partial' END AS label FROM f""",
         "claim_self_contradictions": f"""WITH c AS (SELECT k, claim, i, {_numbers('claim')} AS n, {S.tokens('claim')} AS t, {S.has_any('claim', K.POSITIVE_CUES)} AS p, {S.has_any('claim', K.NEGATIVE_CUES)} AS m FROM (SELECT record_id AS k, unnest(l) AS claim, unnest(range(len(l))) AS i FROM (SELECT record_id, {S.claims('answer')} AS l FROM qa_records))),
-          j AS (SELECT a.k, (list_has_any(a.t, b.t) AND ((a.p AND b.m) OR (a.m AND b.p))) OR len(list_filter(a.n, lambda x: len(list_filter(b.n, lambda y: {_SAME} AND NOT {_CLOSE})) > 0)) > 0 AS bad FROM c a JOIN c b ON a.k = b.k AND a.i < b.i)
+          j AS (SELECT a.k, list_has_any(a.t, b.t) AND (((a.p AND b.m) OR (a.m AND b.p)) OR len(list_filter(a.n, lambda x: len(list_filter(b.n, lambda y: {_SAME} AND NOT {_CLOSE})) > 0)) > 0) AS bad FROM c a JOIN c b ON a.k = b.k AND a.i < b.i)
           SELECT k, count(*) AS n_pairs, count(*) FILTER (bad) AS n_conflicts, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS rate FROM j GROUP BY 1""",
         "vector_topk": f"""WITH v AS (SELECT vec_id, {vec} AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)
           SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS cosine FROM n a, n b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 12) DESC, b.vec_id) <= 10""",

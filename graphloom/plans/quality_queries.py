@@ -49,8 +49,8 @@ def hallucination_f1(spark, d):
 
 
 def answer_faithfulness(spark, d):
-    e = read(spark, d, "eval_examples")
-    return e.select("eval_id", F.round(metrics.faithfulness(e, "gold_answer", "context"), 6).alias("faithfulness"))
+    e = metrics.faithfulness(read(spark, d, "eval_examples"), "gold_answer", "context")
+    return e.select("eval_id", F.round("faithfulness", 6).alias("faithfulness"))
 
 
 def mcnemar(spark, d):
@@ -176,6 +176,21 @@ _TIERS = f"""WITH {_GP}, be AS (SELECT nm.k, e.head, e.tail FROM nm JOIN e USING
  td AS (SELECT *, CASE WHEN len(r) > 0 THEN 'reject' WHEN len(s) > 0 THEN 'silver' ELSE 'goldish' END AS tier, CASE WHEN len(r) > 0 THEN {S.distinct('r')} WHEN len(s) > 0 THEN {S.distinct('s')} ELSE ['passed_goldish_gate'] END AS reasons FROM r0)"""
 
 
+def faithful(table, id_, answer):
+    """fa (id, faithfulness): claims of an answer column that a chunk of the table's context supports."""
+    pat = r"\b([A-Za-z][A-Za-z -]{2,})[ \t\n\r\f]*\(([A-Za-z0-9-]{2,10})\)"
+    fixed = "[" + ", ".join(S.q(f"{a}\x01{b}") for a, b in K.ABBREVIATIONS.items()) + "]"
+    return f"""fa0 AS MATERIALIZED (SELECT {id_}, {S.txt(answer)} AS a, {S.claims(answer)} AS c, list_filter(coalesce(context, []::VARCHAR[]), lambda x: trim(coalesce(x, ''), ' ') <> '') AS x FROM {table}),
+ fa1 AS (SELECT *, list_concat({fixed}, list_transform(flatten(list_transform(list_concat([a], x), lambda t: regexp_extract_all(t, '{pat}'))), lambda m: lower(regexp_extract(m, '{pat}', 2)) || chr(1) || {S.squeeze(f"lower(regexp_extract(m, '{pat}', 1))")})) AS e FROM fa0),
+ fa2 AS MATERIALIZED (SELECT {id_}, c, x, list_transform({S.distinct("list_transform(e, lambda y: split_part(y, chr(1), 1))")}, lambda n: list_filter(e, lambda y: split_part(y, chr(1), 1) = n)[-1]) AS e FROM fa1),
+ fa3 AS (SELECT {id_}, i, side, {S.squeeze("list_reduce(list_prepend(t, e), lambda a, y: regexp_replace(a, '\\b' || split_part(y, chr(1), 1) || '\\b', split_part(y, chr(1), 2), 'g'))")} AS t
+   FROM (SELECT {id_}, i, 0 AS side, e, {S.answer('v')} AS t FROM (SELECT {id_}, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM fa2) UNION ALL SELECT {id_}, i, 1, e, {S.answer('v')} FROM (SELECT {id_}, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM fa2))),
+ fa4 AS MATERIALIZED (SELECT {id_}, i, side, {S.tokens('t')} AS w, {_numbers('t')} AS n, {S.has_any('t', K.POSITIVE_CUES)} AS p, {S.has_any('t', K.NEGATIVE_CUES)} AS m FROM fa3),
+ fa5 AS (SELECT DISTINCT c.{id_}, c.i FROM fa4 c JOIN fa4 x ON c.{id_} = x.{id_} AND c.side = 0 AND x.side = 1 WHERE len(c.w) > 0 AND ({S.overlap('c.w', 'x.w')}) >= {K.LEXICAL_SUPPORT} AND len(list_filter(c.n, lambda x1: len(list_filter(x.n, lambda y1: {_SAME.replace('x.', 'x1.').replace('y.', 'y1.')} AND {_CLOSE.replace('x.', 'x1.').replace('y.', 'y1.')})) = 0)) = 0
+   AND NOT (list_has_any(c.w, x.w) AND ((c.p AND x.m) OR (c.m AND x.p))) AND len(list_filter(c.n, lambda x1: len(list_filter(x.n, lambda y1: {_SAME.replace('x.', 'x1.').replace('y.', 'y1.')} AND NOT {_CLOSE.replace('x.', 'x1.').replace('y.', 'y1.')})) > 0)) = 0),
+ fa AS MATERIALIZED (SELECT fa2.{id_}, CASE WHEN len(c) = 0 THEN 1.0 WHEN len(x) = 0 THEN 0.0 ELSE coalesce(n, 0) / len(c)::DOUBLE END AS faithfulness FROM fa2 LEFT JOIN (SELECT {id_}, count(*) AS n FROM fa5 GROUP BY 1) USING ({id_}))"""
+
+
 def _decode_sql():
     grow = "".join(
         f""",
@@ -196,8 +211,6 @@ def _decode_sql():
 def oracle_sql():
     eid = f"list_filter(list_transform(coalesce(direct_edge_ids, []::VARCHAR[]), lambda x: {S.edge_id('x')}), lambda x: x IS NOT NULL)"
     named = f"list_filter(list_transform(regexp_extract_all(coalesce(reasoning, ''), 'E_[0-9]+[A-Za-z]?|(?:edge_id|edge):[A-Za-z0-9_:|.-]+'), lambda x: {S.edge_id('x')}), lambda x: x IS NOT NULL)"
-    clash_n = ["no benefit", "no evidence", "not recommended", "not effective", "did not", "does not", "fails to", "contraindicated", "avoid", "worsens", "increases risk"]
-    clash_p = ["recommended", "effective", "prevents", "reduces", "treats", "improves", "supports", "beneficial", "indicated"]
     jc = f"list_filter(list_transform({S.sentences('trim(' + S.txt('answer') + ', chr(32))')}, lambda s: trim(s, ' ')), lambda s: s <> '')"
     return {
         "exact_match": f"SELECT dataset_name, count(*) AS n, round(avg(({S.answer('answer')} = {S.answer('reasoning')})::INT), 6) AS exact_match FROM qa_records GROUP BY 1",
@@ -213,19 +226,15 @@ def oracle_sql():
         "triage_buckets": f"""WITH {_GP}, r AS (SELECT record_id, coalesce(n_gold, 0) AS named, length({S.normal('question')}) > 0 AS q, len({S.claims('answer')})::BIGINT AS labels FROM qa_records LEFT JOIN gp ON k = record_id),
           s AS (SELECT record_id AS sample_id, (named > 1)::INT + (named > 0)::INT + q::INT AS successes, 3 AS passes, named AS max_nodes, labels AS max_labels FROM r)
           SELECT sample_id, successes::BIGINT AS successes, passes::BIGINT AS passes, max_nodes, max_labels, CASE WHEN successes = 3 AND max_labels > 0 THEN 'stable_graph' WHEN successes >= 2 THEN 'threshold_a' WHEN successes = 1 OR max_nodes > 0 THEN 'threshold_b' ELSE 'hard_absent' END AS bucket FROM s""",
-        "answer_faithfulness": f"""WITH a AS (SELECT eval_id, {S.claims('gold_answer')} AS c, list_filter(coalesce(context, []::VARCHAR[]), lambda x: trim(coalesce(x, ''), ' ') <> '') AS x FROM eval_examples),
-          c AS (SELECT eval_id, i, {S.tokens('t')} AS ct, {_numbers('t')} AS cn FROM (SELECT eval_id, i, {S.answer('c')} AS t FROM (SELECT eval_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM a))),
-          x AS (SELECT eval_id, {S.tokens('t')} AS xt, {_numbers('t')} AS xn FROM (SELECT eval_id, {S.answer('x')} AS t FROM (SELECT eval_id, unnest(x) AS x FROM a))),
-          ok AS (SELECT DISTINCT c.eval_id, c.i FROM c JOIN x USING (eval_id) WHERE ({S.overlap('ct', 'xt')}) >= {K.LEXICAL_SUPPORT} AND len(list_filter(cn, lambda x: len(list_filter(xn, lambda y: {_SAME} AND {_CLOSE})) = 0)) = 0)
-          SELECT a.eval_id, round(CASE WHEN len(c) = 0 THEN 1.0 WHEN len(x) = 0 THEN 0.0 ELSE coalesce(n, 0) / len(c)::DOUBLE END, 6) AS faithfulness FROM a LEFT JOIN (SELECT eval_id, count(*) AS n FROM ok GROUP BY 1) USING (eval_id)""",
+        "answer_faithfulness": f"WITH {faithful('eval_examples', 'eval_id', 'gold_answer')} SELECT eval_id, round(faithfulness, 6) AS faithfulness FROM fa",
         "record_tiers": f"{_TIERS} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
         "tier_summary": f"{_TIERS} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(label_ratio), 6) AS mean_label_ratio FROM td GROUP BY ROLLUP (tier)",
         "top_failure_reasons": f"{_TIERS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
         "decoded_paths": _decode_sql(),
-        "passage_contradictions": f"""WITH {BUNDLE}, ed AS (SELECT k, head, tail, relation IN {S.values(K.NEGATIVE_RELATIONS)} AS neg, lower({S.humanized('head')}) AS h, lower({S.humanized('tail')}) AS t FROM be), ps AS (SELECT k, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS body FROM bp),
-          cl AS (SELECT ed.k, max(CASE WHEN (n AND NOT p AND NOT neg) OR (p AND NOT n AND neg) THEN 0.8 WHEN n AND p THEN 0.35 ELSE 0.0 END)::DOUBLE AS c FROM ed JOIN (SELECT *, {S.has_any('body', clash_n)} AS n, {S.has_any('body', clash_p)} AS p FROM ps) ps ON ed.k = ps.k AND (contains(body, h) OR contains(body, t)) GROUP BY 1),
+        "passage_contradictions": f"""WITH {BUNDLE}, ed AS (SELECT k, head, tail, relation IN {S.values(K.NEGATIVE_RELATIONS)} OR contains(lower(display_relation), 'contra') AS neg, lower({S.humanized('head')}) AS h, lower({S.humanized('tail')}) AS t FROM be), ps AS (SELECT k, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS body FROM bp),
+          cl AS (SELECT ed.k, max(CASE WHEN neg AND p THEN 0.8 WHEN NOT neg AND n THEN 0.8 WHEN neg = n THEN 0.0 ELSE 0.35 END)::DOUBLE AS c FROM ed JOIN (SELECT *, {S.has_any('body', K.CLASH_NEGATIVE)} AS n, {S.has_any('body', K.CLASH_POSITIVE)} AS p FROM ps) ps ON ed.k = ps.k AND (contains(body, h) OR contains(body, t)) GROUP BY 1),
           mx AS (SELECT k, max(n) AS n FROM (SELECT k, head, tail, count(DISTINCT neg) AS n FROM ed GROUP BY 1, 2, 3) GROUP BY 1)
-          SELECT mx.k, greatest(coalesce(c, 0.0), CASE WHEN n > 1 THEN 0.6 ELSE 0.0 END)::DOUBLE AS contradiction FROM mx LEFT JOIN cl USING (k)""",
+          SELECT mx.k, CASE WHEN mx.k IN (SELECT k FROM ps) THEN greatest(coalesce(c, 0.0), CASE WHEN n > 1 THEN 0.6 ELSE 0.0 END) ELSE 0.0 END::DOUBLE AS contradiction FROM mx LEFT JOIN cl USING (k)""",
         "enforced_answers": f"""WITH {BUNDLE}, tg AS (SELECT k, list(evidence_id) AS allowed FROM ev GROUP BY 1),
           s AS (SELECT record_id AS k, {S.distinct(jc)} AS l, coalesce(allowed, []::VARCHAR[]) AS allowed FROM qa_records LEFT JOIN tg ON k = record_id),
           f AS (SELECT k, list_transform(list_filter(l, lambda s: len({S.refs('s')}) > 0 AND len(list_filter({S.refs('s')}, lambda r: NOT list_contains(allowed, r))) = 0), lambda s: replace({S.squeeze('s')}, '[edge_id:', '[edge:')) AS l FROM s)

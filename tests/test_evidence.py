@@ -91,3 +91,30 @@ def test_buckets(spark):
     assert all(r["b"] == r["want"] for r in df.withColumn("b", quality.bucket(*[F.col(c) for c in "spnle"])).collect())
     man = spark.createDataFrame([("a", "stable_graph"), ("a", "stable_graph"), ("b", "odd")], "sample_id string, bucket string")
     assert {r["bucket"]: r["ok"] for r in quality.output_checks(man, man).collect()} == {"stable_graph": False, "odd": False}
+
+
+def test_contradiction_by_polarity(spark):
+    from graphloom.operators import reasoning as R
+
+    e = spark.createDataFrame(
+        [(1, "E1", "drug:warfarin", "disease:af", "indication", "indication"), (2, "E3", "drug:ibuprofen", "disease:bleeding", "contraindication", "contraindication"), (3, "E4", "drug:x", "disease:y", "drug_effect", "Contra effect"), (4, "E1", "drug:warfarin", "disease:af", "indication", "indication")],
+        "k int, edge_id string, head string, tail string, relation string, display_relation string",
+    )
+    p = spark.createDataFrame(
+        [(1, "w", "Warfarin is not effective and not recommended."), (2, "i", "Ibuprofen is seen with bleeding."), (3, "x", None), (3, "y", "X does not matter to y.")],
+        "k int, title string, abstract string",
+    )
+    got = {r["k"]: r["contradiction"] for r in R.contradiction_scores(e, p).collect()}
+    # mixed cues against a positive edge; no cue against a negative one; contra in the display relation agrees; no passage
+    assert got == {1: 0.8, 2: 0.35, 3: 0.0, 4: 0.0}
+
+
+def test_faithfulness_with_abbreviations_and_contradictions(spark):
+    from graphloom.operators import metrics as M
+
+    rows_ = [
+        (1, "AF requires anticoagulation.", ["Atrial fibrillation needs anticoagulation therapy."]), (2, "Drug unsafe in pregnancy.", ["Drug safe in pregnancy."]), (3, "Warfarin dose is 5.1 mg/day for AF.", ["In atrial fibrillation (AF) the warfarin dose is 5 mg/day."]),
+        (4, None, ["x"]), (5, "A claim.", None), (6, "The ZQ helps.", ["Zonal quirk (ZQ) helps."]), (7, "!!", ["x"]),
+    ]
+    got = {r["k"]: r["faithfulness"] for r in M.faithfulness(spark.createDataFrame(rows_, "k int, a string, c array<string>"), "a", "c").collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0, 6: 1.0, 7: 0.0}

@@ -1,10 +1,11 @@
 """References to records that are missing, deleted or late, from signed counts per key.
 
-Every change is a delta: a referring row adds +1 to the reference count of a key, a delivered target +1 to its
-existence count, a deletion -1.  The state holds, per key, both counts and the times at which existence rose first and
-fell first.  Deltas add up in any order and any number of batches, so the state is maintained by adding the deltas of
-a batch to the stored state.  Keys with positive references and zero existence are the current orphans; a reference
-made while existence was zero (before the first arrival, or after the first deletion) is an orphan of its period.
+Every change is a delta: a referring row adds +1 to the reference count of a key, its retraction -1; a delivered target
+adds +1 to the key's existence count, a deletion -1.  The state holds, per key, the counts and the times at which
+existence rose first and fell first.  Deltas add up in any order and any number of batches, so the state is maintained:
+``apply_deltas`` folds a batch into the stored state and writes its next version, once however often the batch is
+delivered.  Keys with positive references and zero existence are the current orphans; a reference made while existence
+was zero (before the first arrival, or after the first deletion) is an orphan of its period.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import edge_id, pmid
+from ..workspace import Workspace
 from .skew import heavy_light_join
 
 STATE = "target string, ref_key string, refs bigint, deliveries bigint, deletions bigint, first_in timestamp, first_out timestamp, first_ref timestamp, last_ref timestamp"
@@ -52,10 +54,11 @@ def target_deltas(articles: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def reference_deltas(refs: DataFrame) -> DataFrame:
+def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
+    """A delta for each reference; ``sign`` -1 retracts references (their times stay those of the period)."""
     none = F.lit(None).cast("timestamp")
     return refs.select(
-        "target", "ref_key", F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("deliveries"), F.lit(0).cast("bigint").alias("deletions"),
+        "target", "ref_key", F.lit(sign).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("deliveries"), F.lit(0).cast("bigint").alias("deletions"),
         none.alias("first_in"), none.alias("first_out"), F.col("at").alias("first_ref"), F.col("at").alias("last_ref"),
     )
 
@@ -70,10 +73,50 @@ def fold(deltas: DataFrame, state: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the complete versions of a stored state."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [x.getPath() for x in fs.listStatus(root)]
+    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def current_state(spark, path: str) -> DataFrame | None:
+    """The last complete version of the state at ``path``; None if nothing was applied yet."""
+    v = _versions(spark, path)
+    return spark.read.schema(STATE).parquet(f"{path}/v={v[-1]}") if v else None
+
+
+def apply_deltas(deltas: DataFrame, batch_id: int, path: str, keep: int = 2) -> DataFrame:
+    """The state after ``deltas``, written as version ``batch_id``; a batch that was applied before changes nothing.
+
+    Use as a ``foreachBatch`` function: batch numbers rise.  The last ``keep`` versions stay, so a reader or a failed
+    writer never meets a half-written state.
+    """
+    spark = deltas.sparkSession
+    have = _versions(spark, path)
+    if batch_id not in have and (not have or batch_id > have[-1]):
+        fold(deltas, current_state(spark, path)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/v={batch_id}")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for v in have[: max(0, len(have) + 1 - keep)]:
+            old = hadoop.Path(f"{path}/v={v}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return current_state(spark, path)
+
+
+def maintain_stream(deltas: DataFrame, path: str, checkpoint: str) -> None:
+    """Fold what has arrived on a stream of deltas into the state at ``path`` and stop; a later call resumes after it."""
+    q = deltas.writeStream.foreachBatch(lambda df, i: apply_deltas(df, i, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def current_orphans(state: DataFrame) -> DataFrame:
-    """Keys with positive references and zero existence now: never delivered, or deleted."""
-    exists = F.when(F.col("deliveries") == 0, 0).when(F.col("first_out").isNotNull(), 0).otherwise(1)
-    return state.where((F.col("refs") > 0) & (exists == 0)).select("target", "ref_key", "refs", F.when(F.col("deliveries") == 0, "missing").otherwise("deleted").alias("reason"))
+    """Keys with positive references and zero existence (deliveries less deletions): never delivered, or all deleted."""
+    gone = F.col("deliveries") - F.col("deletions") <= 0
+    return state.where((F.col("refs") > 0) & gone).select("target", "ref_key", "refs", F.when(F.col("deliveries") == 0, "missing").otherwise("deleted").alias("reason"))
 
 
 def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
@@ -96,11 +139,17 @@ def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
     return j.select("ref_table", "row_key", "ref_key", "at", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def maintained(edges: DataFrame, qa: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, state) with the targets' changes applied as one batch of deltas and the references as the next."""
+    path = Workspace(edges.sparkSession, "orphans").folder("state")
+    refs = reference_rows(edges, qa)
+    apply_deltas(target_deltas(articles, edges), 0, path)
+    return refs, apply_deltas(reference_deltas(refs), 1, path)
+
+
 def find_orphans(edges: DataFrame, qa: DataFrame, articles: DataFrame) -> DataFrame:
     """The orphan references of both tables; empty tables give no rows."""
-    refs = reference_rows(edges, qa)
-    state = fold(reference_deltas(refs).unionByName(target_deltas(articles, edges)))
-    return orphan_references(refs, state)
+    return orphan_references(*maintained(edges, qa, articles))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

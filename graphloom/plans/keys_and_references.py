@@ -36,9 +36,7 @@ def p4_report(spark, d):
 
 
 def p4_current(spark, d):
-    refs = references.reference_rows(read(spark, d, "kg_edges"), read(spark, d, "qa_records"))
-    targets = references.target_deltas(read(spark, d, "articles"), read(spark, d, "kg_edges"))
-    return references.current_orphans(references.fold(references.reference_deltas(refs), references.fold(targets)))
+    return references.current_orphans(references.maintained(read(spark, d, "kg_edges"), read(spark, d, "qa_records"), read(spark, d, "articles"))[1])
 
 
 _STRIP = "trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
@@ -53,10 +51,10 @@ _REFS = f"""
   FROM (SELECT record_id, created_at, unnest(direct_edge_ids) AS p FROM qa_records) WHERE {_ED.format(c='p')} IS NOT NULL),
  refs AS (SELECT DISTINCT * FROM raw),
  tgt AS (
-  SELECT 'articles' AS target, {_PM.format(c='pmid')} AS ref_key, min(received_at) AS first_in, min(withdrawn_at) AS first_out FROM articles
+  SELECT 'articles' AS target, {_PM.format(c='pmid')} AS ref_key, min(received_at) AS first_in, min(withdrawn_at) AS first_out, count(*) - count(withdrawn_at) AS existence FROM articles
   WHERE regexp_full_match({_PM.format(c='pmid')}, '[0-9]+') GROUP BY 1, 2
   UNION ALL
-  SELECT 'kg_edges', {_ED.format(c='edge_id')}, min(loaded_at), min(retired_at) FROM kg_edges WHERE {_ED.format(c='edge_id')} IS NOT NULL GROUP BY 1, 2),
+  SELECT 'kg_edges', {_ED.format(c='edge_id')}, min(loaded_at), min(retired_at), count(*) - count(retired_at) FROM kg_edges WHERE {_ED.format(c='edge_id')} IS NOT NULL GROUP BY 1, 2),
  orphans AS (
   SELECT ref_table, row_key, r.ref_key, ref_time,
    CASE WHEN t.ref_key IS NULL THEN 'missing' WHEN first_in > ref_time THEN 'late' WHEN first_out <= ref_time THEN 'deleted' END AS reason
@@ -78,5 +76,5 @@ def oracle_sql():
         "p4_report": f"""WITH {_REFS} SELECT ref_table, strftime(ref_time, '%Y-%m') AS month, reason, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys
           FROM orphans WHERE reason IS NOT NULL GROUP BY 1, 2, 3""",
         "p4_current": f"""WITH {_REFS} SELECT r.target, r.ref_key, count(*) AS refs, CASE WHEN any_value(t.ref_key) IS NULL THEN 'missing' ELSE 'deleted' END AS reason
-          FROM refs r LEFT JOIN tgt t ON r.target = t.target AND r.ref_key = t.ref_key GROUP BY 1, 2 HAVING any_value(t.ref_key) IS NULL OR any_value(t.first_out) IS NOT NULL""",
+          FROM refs r LEFT JOIN tgt t ON r.target = t.target AND r.ref_key = t.ref_key GROUP BY 1, 2 HAVING any_value(t.ref_key) IS NULL OR any_value(t.existence) <= 0""",
     }

@@ -101,7 +101,7 @@ def test_contradiction_by_polarity(spark):
         "k int, edge_id string, head string, tail string, relation string, display_relation string",
     )
     p = spark.createDataFrame(
-        [(1, "w", "Warfarin is not effective and not recommended."), (2, "i", "Ibuprofen is seen with bleeding."), (3, "x", None), (3, "y", "X does not matter to y.")],
+        [(1, "w", "Warfarin is not effective and not recommended."), (2, "i", "Ibuprofen is seen with bleeding."), (3, "z", None), (3, "y", "X does not matter to y.")],
         "k int, title string, abstract string",
     )
     got = {r["k"]: r["contradiction"] for r in R.contradiction_scores(e, p).collect()}

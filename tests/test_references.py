@@ -47,3 +47,37 @@ def test_report_and_empty(spark):
     assert got[("kg_edges", None, "missing")] == 1 and got[("kg_edges", "2024-01", "missing")] == 1
     assert R.find_orphans(edges.limit(0), qa.limit(0), articles.limit(0)).count() == 0
     assert R.find_orphans(edges.limit(0), qa, articles).where("reason = 'missing'").count() == 5
+
+
+def _delta(key, refs=0, deliveries=0, deletions=0):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    return ("articles", key, refs, deliveries, deletions, at if deliveries else None, at if deletions else None, at if refs else None, at if refs else None)
+
+
+def test_state_is_maintained_over_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    batch = lambda rows_: spark.createDataFrame(rows_, R.STATE)
+    now = lambda: sorted((r["ref_key"], r["refs"], r["reason"]) for r in R.current_orphans(R.current_state(spark, path)).collect())
+    assert R.current_state(spark, path) is None
+    R.apply_deltas(batch([_delta("1", refs=1), _delta("1", refs=1), _delta("2", refs=1), _delta("3", deliveries=1)]), 0, path)
+    assert now() == [("1", 2, "missing"), ("2", 1, "missing")]
+    R.apply_deltas(batch([_delta("1", deliveries=1), _delta("2", refs=-1), _delta("3", refs=1, deletions=1)]), 1, path)
+    assert now() == [("3", 1, "deleted")]  # 1 has arrived, the reference to 2 is retracted, 3 is deleted
+    R.apply_deltas(batch([_delta("1", deliveries=1)]), 1, path)  # delivered again: the batch is known
+    R.apply_deltas(batch([_delta("3", deliveries=1), _delta("1", deliveries=1), _delta("1", deletions=1)]), 2, path)
+    assert now() == []  # delivered again after the deletion; two deliveries less one deletion
+    R.apply_deltas(batch([_delta("1", deletions=1)]), 3, path)
+    assert now() == [("1", 2, "deleted")]
+    assert R._versions(spark, path) == [2, 3]
+
+
+def test_state_from_a_stream(spark, tmp_path):
+    src, path = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    spark.createDataFrame([_delta("1", refs=1), _delta("2", refs=1)], R.STATE).write.parquet(src)
+    stream = lambda: spark.readStream.schema(R.STATE).parquet(src)
+    R.maintain_stream(stream(), path, f"{tmp_path}/ck")
+    spark.createDataFrame([_delta("2", deliveries=1)], R.STATE).write.mode("append").parquet(src)
+    R.maintain_stream(stream(), path, f"{tmp_path}/ck")
+    assert [r["ref_key"] for r in R.current_orphans(R.current_state(spark, path)).collect()] == ["1"]

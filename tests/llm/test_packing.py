@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import packing as P
 from graphloom.llm import tokenize as K
 
@@ -43,3 +45,22 @@ def test_documents(spark, monkeypatch):
         assert sum(boxes.values()) / (cap * len(boxes)) > 0.93
     assert {x["pack_name"] for x in got} == {"s", "m"}
     assert P.pack_documents(df.limit(0), sizes).count() == 0 and P.pack_documents(df, sizes.limit(0)).count() == 0
+
+
+def test_every_row_is_placed_and_related_texts_meet(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 50)
+    r = random.Random(5)
+    docs = []
+    for i in range(400):
+        topic = i % 20
+        docs.append((None if i % 97 == 0 else i // 2, " ".join(f"t{topic}x{r.randrange(8)}" if r.random() < 0.6 else f"c{r.randrange(60)}" for _ in range(r.randrange(5, 40)))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")  # ids repeat and some are null
+    sizes = spark.createDataFrame([("m", 400)], SIZES)
+    got = P.pack_documents(df, sizes).cache()
+    assert sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in got.collect()) == sorted(-1 if d[0] is None else d[0] for d in docs)
+    assert got.count() == len(docs)
+    unique = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id bigint, text string")
+    packed = P.pack_documents(unique, sizes)
+    mixed = packed.withColumn("container_id", F.pmod(F.xxhash64("doc_id"), F.lit(packed.select("container_id").distinct().count())).cast("string"))
+    one, two = (P.relatedness(unique, x).first()["related"] for x in (packed, mixed))
+    assert one > two + 0.05

@@ -17,8 +17,10 @@ from ..workspace import Workspace
 #: Group ids that say nothing (fixed values).
 ABSENT = ("n/a", "unknown", "none")
 SHARES = (("train", 0.90), ("validation", 0.05), ("test", 0.05))
-#: A block with more than this share of the rows goes to the first split; the others' ranges are scaled to make up.
+#: Blocks with more than this share of the rows are placed one by one, as their hash alone would upset the shares.
 LARGE_BLOCK = 0.005
+#: Links beyond which the star steps look for heavy keys; fewer are joined as they come.
+SKEW_ROWS = 1_000_000
 
 
 def record_keys(records: DataFrame) -> DataFrame:
@@ -55,17 +57,18 @@ def components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> Data
     Self-loops and repeats do no harm; edges with a null end are ignored; no edges give no rows.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+        heavy = None if n > SKEW_ROWS else []
         if large:
             both = work.keep(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
             mins = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            j = heavy_light_join(both.where("v > u"), mins, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            j = heavy_light_join(both.where("v > u"), mins, ["u"], heavy=heavy).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             out = work.keep(j.distinct(), "large")
             work.drop(both)
             return out
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         mins = down.groupBy("u").agg(F.min("v").alias("m"))
-        j = heavy_light_join(down, mins, ["u"])
+        j = heavy_light_join(down, mins, ["u"], heavy=heavy)
         links = j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v")))
         return work.keep(links.distinct(), "small")
 
@@ -74,8 +77,8 @@ def components(edges: DataFrame, work: Workspace, most_rounds: int = 60) -> Data
     for _ in range(most_rounds):
         if not before[0]:
             break
-        large = star(e, True)
-        small = star(large, False)
+        large = star(e, True, before[0])
+        small = star(large, False, before[0])
         now = _state(small)
         work.drop(e)
         work.drop(large)
@@ -123,25 +126,48 @@ def unit_hash(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def grouped_splits(records: DataFrame, shares=SHARES) -> DataFrame:
+def place_large(blocks_: list[tuple[str, int, float]], n: int, shares) -> tuple[dict[str, str], dict[str, float]]:
+    """(split of each large block; rows left for each split's other blocks).
+
+    ``blocks_`` has block id, rows and hash in [0, 1).  Each block, in the order of its hash, goes to the split in whose
+    range its hash falls if that split has room for it, else to the one with most room.
+    """
+    room = {name: share * n for name, share in shares}
+    out = {}
+    for block, rows, u in sorted(blocks_, key=lambda b: (b[2], b[0])):
+        at, own = 0.0, shares[-1][0]
+        for name, share in shares:
+            if at <= u < at + share:
+                own = name
+            at += share
+        split = own if room[own] >= rows else max(room, key=lambda k: room[k])
+        out[block] = split
+        room[split] -= rows
+    return out, {k: max(v, 0.0) for k, v in room.items()}
+
+
+def grouped_splits(records: DataFrame, shares=SHARES, large: float = LARGE_BLOCK) -> DataFrame:
     """record_id, block_id, split: one of ``shares``' names, the same for all records of a block.
 
-    Blocks with more than ``LARGE_BLOCK`` of the rows (at most 1 / LARGE_BLOCK of them) go to the first split, as their
-    hash alone would upset the shares; the ranges of the others are then scaled so that all shares come out.
+    A block's id is hashed into ranges proportional to the shares.  Blocks with more than ``large`` of the rows (at most
+    1 / large of them) go by their hash too, but only where a split has room for them; the ranges of all other blocks then
+    share out what room is left.  Without such blocks the hash alone decides.
     """
     work = Workspace(records.sparkSession, "splits")
     members, sized = blocks(records, work)
     sized = work.keep(sized, "sized")
     n = members.count()
-    big = sized.where(F.col("n") > LARGE_BLOCK * n).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    left = max(n - big, 1)
-    split, low = F.lit(shares[0][0]), 0.0
-    bounds = []
-    for name, share in shares[1:]:
-        low_next = min(1.0, low + share * n / left)
-        bounds.append((name, low, low_next))
-        low = low_next
     u = unit_hash(F.col("block_id"))
+    big = [(r["block_id"], r["n"], r["u"]) for r in sized.where(F.col("n") > large * n).select("block_id", "n", u.alias("u")).collect()]
+    placed, room = place_large(big, n, shares)
+    left = max(sum(room.values()), 1e-9)
+    split, low = F.lit(shares[-1][0]), 0.0
+    bounds = []
+    for name, _ in shares:
+        bounds.append((name, low, low + room[name] / left))
+        low += room[name] / left
     for name, a, b in reversed(bounds):
-        split = F.when((F.col("n") <= LARGE_BLOCK * n) & (u >= a) & (u < b), name).otherwise(split)
+        split = F.when((u >= a) & (u < b), name).otherwise(split)
+    for block, name in placed.items():
+        split = F.when(F.col("block_id") == block, name).otherwise(split)
     return heavy_light_join(members, sized.select("comp", "block_id", split.alias("split")), ["comp"]).select("record_id", "block_id", "split")

@@ -62,3 +62,11 @@ def test_components_on_chains_and_stars(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert splits.related_records(df).count() == 0 and splits.grouped_splits(df).count() == 0
+
+
+def test_large_blocks_go_where_there_is_room():
+    shares = splits.SHARES
+    out, room = splits.place_large([("a", 300, 0.5), ("b", 40, 0.92), ("c", 20, 0.93), ("d", 600, 0.97)], 1000, shares)
+    # b fits into validation by its hash, c finds it full, d is larger than any split has room for but the first
+    assert out == {"a": "train", "b": "validation", "c": "train", "d": "train"} and room == {"train": 0.0, "validation": 10.0, "test": 50.0}
+    assert splits.place_large([], 1000, shares)[1] == {"train": 900.0, "validation": 50.0, "test": 50.0}

@@ -81,21 +81,33 @@ class Retriever:
         stop = np.append(start[1:], len(term_s)).astype(np.int64)
         which = np.searchsorted(uniq, term)
         # the lists of each document's terms; lists of one entry lead to no neighbour
-        useful = (stop - start)[which] > 1
+        size = stop - start
+        self.n = len(parts)
+        # lists that many texts are on are columns of a matrix, the others are posting lists
+        wide = size > max(16, self.n // 16)
+        column = np.cumsum(wide) - 1
+        mine = wide[which]
+        self.matrix = np.zeros((self.n, int(wide.sum())), np.float32)
+        self.matrix[doc[mine], column[which[mine]]] = weight[mine]
+        self.columns, self.columns_at = column[which[mine]], np.searchsorted(doc[mine], np.arange(self.n + 1))
+        useful = (size[which] > 1) & ~mine
         self.lists_doc, self.lists = doc[useful], which[useful]
         self.start, self.stop = start, stop
-        self.at = np.searchsorted(self.lists_doc, np.arange(len(parts) + 1))
-        self.n = len(parts)
+        self.at = np.searchsorted(self.lists_doc, np.arange(self.n + 1))
 
     def scores(self, d: int):
         import numpy as np
 
+        c = self.columns[self.columns_at[d] : self.columns_at[d + 1]]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[c] = 1.0
+        out = (self.matrix @ asked).astype(float)
         w = self.lists[self.at[d] : self.at[d + 1]]
-        if not len(w):
-            return None
-        size = self.stop[w] - self.start[w]
-        idx = np.repeat(self.start[w] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.posted[idx], self.weight[idx], minlength=self.n)
+        if len(w):
+            size = self.stop[w] - self.start[w]
+            idx = np.repeat(self.start[w] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            out += np.bincount(self.posted[idx], self.weight[idx], minlength=self.n)
+        return out if len(w) or len(c) else None
 
 
 def fill(sizes, capacity: int, neighbours, closing: float = CLOSING) -> list[list[int]]:
@@ -127,22 +139,16 @@ def fill(sizes, capacity: int, neighbours, closing: float = CLOSING) -> list[lis
             if score is not None:
                 ok = np.flatnonzero(unused & (score > 0) & (sizes <= room))
                 near = ok[np.argsort(-score[ok], kind="stable")]
-                kept = 0
-                for i in near.tolist():
-                    if room <= closing * capacity:
-                        break
-                    kept += 1
-                    if sizes[i] <= room:
-                        take(bisect.bisect_left(free, (int(sizes[i]), i)))
-                        box.append(i)
-                        room -= int(sizes[i])
-                rest = near[kept:]
-                rest = rest[sizes[rest] <= room]
-                for i in rest[np.argsort(-sizes[rest], kind="stable")].tolist():
-                    if sizes[i] <= room:
+                for by_score in (True, False):
+                    if not by_score:
+                        near = near[np.argsort(-sizes[near], kind="stable")]
+                    while len(near) and room and not (by_score and room <= closing * capacity):
+                        i = int(near[0])
                         take(bisect.bisect_left(free, (int(sizes[i]), i)))
                         box.append(i)
                         room -= int(sizes[i])
+                        near = near[1:]
+                        near = near[sizes[near] <= room]
             while room and free and free[0][0] <= room:
                 k = bisect.bisect_right(free, (room, 1 << 60)) - 1
                 room -= free[k][0]

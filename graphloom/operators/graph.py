@@ -6,6 +6,8 @@ skew-aware join: hub nodes own a large share of the edges.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,27 @@ def alias_keys(relations: DataFrame, column: str = "relation") -> DataFrame:
     return relations.select(column, F.explode(joined).alias("key")).where("key <> ''")
 
 
+def relation_resolution(relations: DataFrame, overrides: dict[str, list[str]] | None = None, explicit: list[str] | None = None) -> DataFrame:
+    """question_type, override_source, requested, matched, missing (sorted, joined by commas) for each type of question.
+
+    ``relations`` are those the graph has.  What is requested is ``explicit``, else the type's override, else its route.  A
+    family stands for its members; what matches no relation of the graph is missing.
+    """
+    spark, rows = relations.sparkSession, []
+    for t, route in K.ROUTES.items():
+        source = "explicit_override" if explicit is not None else "type_override" if t in (overrides or {}) else "question_type_default"
+        for r in sorted(set(explicit if explicit is not None else (overrides or {}).get(t, route))):
+            words = " ".join(re.findall("[a-z0-9]+", r.lower()))
+            rows += [(t, source, r, x) for x in K.FAMILIES.get(words, [r])]
+    wanted = spark.createDataFrame(rows, "question_type string, override_source string, requested string, name string")
+    match = alias_keys(wanted.select("name").distinct(), "name").join(alias_keys(relations.distinct()), "key").select("name", "relation").distinct()
+    j = wanted.join(match, "name", "left").groupBy("question_type", "override_source", "requested").agg(F.collect_set("relation").alias("m"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return j.groupBy("question_type", "override_source").agg(
+        joined(F.collect_list("requested")).alias("requested"), joined(F.flatten(F.collect_list("m"))).alias("matched"), joined(F.collect_list(F.when(F.size("m") == 0, F.col("requested")))).alias("missing")
+    )
+
+
 def routed_relations(types: DataFrame, edges: DataFrame) -> DataFrame:
     """question_type, relation: the graph's relations that match those requested for each type by an alias key.
 

@@ -21,6 +21,14 @@ JUDGE_POSITIVE = "safe effective recommended beneficial indicated improves reduc
 AUDIT_LIFE_CRITICAL = "dose dosage mg mcg contraindication contraindicated interaction ddi bleeding hemorrhage safe unsafe avoid".split()
 AUDIT_NEGATIVE = "no not never without avoid unsafe contraindicated risk adverse".split()
 AUDIT_POSITIVE = "safe recommended effective beneficial indicated reduces prevents treats".split()
+AUDIT_TYPES = {
+    "sourceattribution": ["pmid:", "edge:", "edgeid", "edge_id:"],
+    "lifecritical": ["dose", "dosage", "mg", "mcg", "contraindication", "contraindicated", "interaction", "ddi"],
+    "logical": ["because", "therefore", "thus", "hence", "so "],
+    "temporal": ["today", "tomorrow", "week", "month", "year", "acute", "chronic"],
+    "population": ["adult", "child", "children", "pediatric", "pregnant", "elderly", "female", "male"],
+    "contextual": ["for ", "in ", "with ", "without "],
+}
 NEGATIVE_RELATIONS = ["contraindication", "disease_phenotype_negative", "anatomy_protein_absent"]
 NEGATIVE_DISPLAY = ["contra", "risk", "adverse", "avoid"]
 

@@ -223,6 +223,34 @@ def claim_type(c: Column) -> Column:
     )
 
 
+#: References as an audit reads them (fixed patterns).
+AUDIT_EDGE = r"(?i)(?:edge:|edge_id:)\s*([A-Za-z0-9_.:-]+)|edgeid\s*([A-Za-z0-9_.:-]+)"
+AUDIT_PMID = r"(?i)PMID:\s*([0-9]+)"
+
+
+def audit_refs(c: Column) -> Column:
+    """Distinct ``edge:`` and ``PMID:`` references of a claim, spaces behind the prefix and any case allowed."""
+    e = F.transform(F.regexp_extract_all(text(c), F.lit(AUDIT_EDGE), F.lit(0)), lambda m: F.concat(F.regexp_extract(m, AUDIT_EDGE, 1), F.regexp_extract(m, AUDIT_EDGE, 2)))
+    e = F.filter(F.transform(e, lambda x: F.regexp_replace(x, "[.,;:]+$", "")), lambda x: x != "")
+    p = F.regexp_extract_all(text(c), F.lit(AUDIT_PMID), F.lit(1))
+    return F.array_distinct(F.concat(F.transform(e, lambda x: F.concat(F.lit("edge:"), x)), F.transform(p, lambda x: F.concat(F.lit("PMID:"), x))))
+
+
+def audit_type(c: Column) -> Column:
+    """The type of a claim by the rules of an audit; each rule is a substring test."""
+    out = F.lit("factual")
+    for kind, cues in reversed(K.AUDIT_TYPES.items()):
+        out = F.when(has_any(c, cues), kind).otherwise(out)
+    return out
+
+
+def audit_severity(kind: Column, verdict: Column, critical: Column) -> Column:
+    return (
+        F.when(verdict.isin("supported", "out_of_scope"), 0).when((kind == "lifecritical") | critical, 3).when((kind == "sourceattribution") | (verdict == "contradicted"), 2)
+        .when(kind.isin("logical", "temporal", "population"), 2).otherwise(1)
+    )
+
+
 def severity(kind: Column, verdict: Column) -> Column:
     return (
         F.when(verdict.isin("supported", "out_of_scope"), 0)

@@ -97,53 +97,66 @@ def grounding_rollup(questions: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.withColumn("faithfulness", F.round(faith, 6)).withColumn("recommendation", F.when(F.col("h5"), "ABSTAIN").when(F.col("n_bad") > 0, "REVISE").otherwise("ACCEPT"))
 
 
-def audit_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """k, claim_pos, verdict, evidence_id, severity, score by the post-hoc rules.
-
-    Every claim is held against all evidence of its question.  Support is the overlap, at least .9 for a cited source;
-    contradiction the overlap plus .2 where polarities differ.  The last of equally good evidence counts; support from
-    .30, contradiction from .35 if not below the support.  Claims without words are out of scope.
+def audit_claims(claims: DataFrame, evidence: DataFrame, questions: DataFrame) -> DataFrame:
+    """k, claim_pos, claim_type, verdict, evidence_id, severity, score, unknown by the post-hoc rules.
+
+    ``questions`` has k and text: a question with a life-critical word makes every claim that fails severe.  A claim that
+    cites something its question's evidence lacks (``unknown``) is unsupported.  A claim that cites is held against what it
+    cites, others against all evidence.  Support is the overlap, at least .9 for a cited source; contradiction the overlap
+    plus .2 where polarities differ.  The last of equally good evidence counts; support from .30, contradiction from .35 if
+    not below the support.  Claims without words are out of scope; without any evidence every claim is unsupported.
     """
-    c = claims.select("k", "claim_pos", "claim", T.evidence_refs(F.col("claim")).alias("cited"), T.tokens(F.col("claim"), K.STOPWORDS, 1).alias("ct"), T.polarity(F.col("claim"), K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE).alias("own"))
-    e = evidence.select("k", F.col("pos").alias("ev_pos"), "evidence_id", F.col("polarity").alias("ev_polarity"), T.tokens(F.col("text"), K.STOPWORDS, 1).alias("et"))
-    p = c.where(F.size("ct") > 0).join(e.where(F.size("et") > 0), "k")
+    c = claims.select("k", "claim_pos", "claim", T.audit_refs(F.col("claim")).alias("cited"), T.tokens(F.col("claim"), K.STOPWORDS, 1).alias("ct"), T.polarity(F.col("claim"), K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE).alias("own"), T.audit_type(F.col("claim")).alias("kind"))
+    have = evidence.groupBy("k").agg(F.collect_set("evidence_id").alias("have"))
+    empty = F.array().cast("array<string>")
+    critical = questions.select("k", T.has_any(F.col("text"), K.AUDIT_LIFE_CRITICAL).alias("critical")).dropDuplicates(["k"])
+    c = c.join(have, "k", "left").join(critical, "k", "left").withColumn("have", F.coalesce("have", empty)).withColumn("unknown", F.array_sort(F.array_except("cited", "have"))).withColumn("critical", F.coalesce("critical", F.lit(False)))
+    e = evidence.select("k", F.col("pos").alias("ev_pos"), "evidence_id", T.polarity(F.col("text"), K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE).alias("ev_polarity"), T.tokens(F.col("text"), K.STOPWORDS, 1).alias("et"))
+    p = c.where((F.size("ct") > 0) & (F.size("unknown") == 0)).select("k", "claim_pos", "cited", "ct", "own", "kind").join(e.where(F.size("et") > 0), "k")
+    p = p.where((F.size("cited") == 0) | F.array_contains("cited", F.col("evidence_id")))
     over = F.size(F.array_intersect("ct", "et")) / F.size("ct")
     differ = (F.col("own") != "neutral") & (F.col("ev_polarity") != "neutral") & (F.col("own") != F.col("ev_polarity"))
-    support = F.when(F.array_contains("cited", F.col("evidence_id")), F.greatest(over, F.lit(CITED_FLOOR))).otherwise(over)
+    support = F.when((F.col("kind") == "sourceattribution") & F.array_contains("cited", F.col("evidence_id")), F.greatest(over, F.lit(CITED_FLOOR))).otherwise(over)
     against = F.when(differ, F.least(over + 0.2, F.lit(1.0))).otherwise(0.0)
     s = p.select("k", "claim_pos", "ev_pos", "evidence_id", F.round(support, 9).alias("support"), F.round(against, 9).alias("against"))
     top = s.groupBy("k", "claim_pos").agg(F.max(F.struct(F.greatest("support", "against").alias("b"), "ev_pos", "evidence_id", "support", "against")).alias("t"))
-    out = c.select("k", "claim_pos", "claim", F.size("ct").alias("words")).join(top, ["k", "claim_pos"], "left").select("k", "claim_pos", "claim", "words", "t.evidence_id", "t.support", "t.against")
+    out = c.select("k", "claim_pos", "kind", "critical", "unknown", F.size("ct").alias("words"), F.size("have").alias("n")).join(top, ["k", "claim_pos"], "left").select("*", "t.evidence_id", "t.support", "t.against").drop("t")
     verdict = (
-        F.when(F.col("words") == 0, "out_of_scope")
+        F.when((F.size("unknown") > 0) | (F.col("n") == 0), "unsupported")
+        .when(F.col("words") == 0, "out_of_scope")
         .when((F.col("against") >= AUDIT_CONTRADICTION) & (F.col("against") >= F.col("support")), "contradicted")
         .when(F.col("support") >= AUDIT_SUPPORT, "supported")
         .otherwise("unsupported")
     )
-    low = F.lower("claim")
-    cites = low.contains("edge:") | low.contains("pmid:") | low.contains("edge_id:")
-    severity = (
-        F.when(verdict.isin("supported", "out_of_scope"), 0)
-        .when(~cites & T.has_any(F.col("claim"), K.AUDIT_LIFE_CRITICAL), 3)
-        .when(cites | (verdict == "contradicted") | T.has_any(F.col("claim"), K.TEMPORAL + K.POPULATION + K.LOGICAL), 2)
-        .otherwise(1)
-    )
+    severity = F.when(F.size("unknown") > 0, F.when((F.col("kind") == "lifecritical") | F.col("critical"), 3).otherwise(2)).otherwise(T.audit_severity(F.col("kind"), verdict, F.col("critical")))
     return out.select(
-        "k", "claim_pos", verdict.alias("verdict"), F.when(verdict.isin("unsupported", "out_of_scope"), "none").otherwise(F.col("evidence_id")).alias("evidence_id"),
-        severity.alias("severity"), F.coalesce(F.greatest("support", "against"), F.lit(0.0)).alias("score"),
+        "k", "claim_pos", F.when(F.size("unknown") > 0, "sourceattribution").otherwise(F.col("kind")).alias("claim_type"), verdict.alias("verdict"), F.when(verdict.isin("unsupported", "out_of_scope"), "none").otherwise(F.col("evidence_id")).alias("evidence_id"),
+        severity.alias("severity"), F.coalesce(F.greatest("support", "against"), F.lit(0.0)).alias("score"), "unknown",
     )
 
 
-def audit_rollup(audited: DataFrame) -> DataFrame:
-    """k, faithfulness, label of each audited answer.
+def audit_rollup(questions: DataFrame, audited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """k, n_claims, faithfulness, h5, recommendation, gaps, unknown, label of each question's answer.
 
-    Faithfulness: supported share less .25 a contradicted and .10 an unsupported claim.  reject with a claim of
-    severity 3; golden from .8 if no claim is unsupported or contradicted; else partial.
+    Faithfulness: supported share less .25 a contradicted and .10 an unsupported claim.  gaps name what is wrong, in
+    order: no evidence, no claim (one out-of-scope claim stands in), unknown references, unsupported and contradicted
+    claims.  h5: a claim of severity 3.  ABSTAIN with h5 (label reject); REVISE with a bad claim, without evidence and
+    support, or with a gap (partial); golden from .8 without a gap, else partial.
     """
     v = F.col("verdict")
-    a = audited.groupBy("k").agg(F.count("*").alias("n"), F.count_if(v == "supported").alias("s"), F.count_if(v == "contradicted").alias("c"), F.count_if(v == "unsupported").alias("u"), F.max("severity").alias("worst"))
-    f = F.round(clamp(F.col("s") / F.col("n") - 0.25 * F.col("c") - 0.10 * F.col("u")), 6)
-    return a.select("k", f.alias("faithfulness"), F.when(F.col("worst") == 3, "reject").when((F.col("c") + F.col("u") == 0) & (f >= 0.8), "golden").otherwise("partial").alias("label"))
+    a = audited.groupBy("k").agg(F.count("*").alias("n"), F.count_if(v == "supported").alias("s"), F.count_if(v == "contradicted").alias("c"), F.count_if(v == "unsupported").alias("u"), F.max("severity").alias("worst"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("unknown")))).alias("unknown"))
+    some = evidence.select("k").distinct().withColumn("some", F.lit(True))
+    j = questions.select("k").distinct().join(a, "k", "left").join(some, "k", "left").fillna(0, ["n", "s", "c", "u", "worst"]).fillna(False, ["some"]).withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>")))
+    f = F.round(clamp(F.col("s") / F.greatest("n", F.lit(1)) - 0.25 * F.col("c") - 0.10 * F.col("u")), 6)
+    gaps = F.array_compact(F.array(
+        F.when(~F.col("some"), F.lit("no_evidence")), F.when(F.col("n") == 0, F.lit("no_claims")), F.when(F.size("unknown") > 0, F.lit("unknown_references")),
+        F.when(F.col("u") > 0, F.lit("unsupported_claims")), F.when(F.col("c") > 0, F.lit("contradicted_claims")),
+    ))
+    h5 = F.col("worst") == 3
+    label = F.when(h5, "reject").when((F.size("gaps") == 0) & (F.col("faithfulness") >= 0.8), "golden").otherwise("partial")
+    rec = F.when(h5, "ABSTAIN").when(label == "golden", "ACCEPT").otherwise("REVISE")
+    x = j.select("k", F.col("n").alias("n_claims"), f.alias("faithfulness"), h5.alias("h5"), gaps.alias("gaps"), "unknown", "worst")
+    return x.select("k", "n_claims", "faithfulness", "h5", rec.alias("recommendation"), "gaps", "unknown", label.alias("label"))
 
 
 def guardian(rollup: DataFrame, entity_confidence: Column, entities_valid: Column, soundness: Column, sound: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from .skew import heavy_light_join
 LABEL_TOKENS, IGNORE = 256, -100
 MIN_NODE_COVERAGE, MIN_LABEL_RATIO, MIN_EDGE_COVERAGE = 0.8, 0.8, 1.0
 BACKENDS = ["direct", "llm_*"]
+BAD_GRAPHS = ["", "empty", "missing"]
 
 
 def node_path(edges: Column) -> Column:
@@ -22,12 +23,12 @@ def node_path(edges: Column) -> Column:
     first, second = F.element_at(edges, 1), F.try_element_at(edges, F.lit(2))
     joins = lambda x: (x == second["head"]) | (x == second["tail"])
     turned = F.when(F.size(edges) > 1, joins(first["head"]) & ~joins(first["tail"])).otherwise(False)
-    start = F.when(turned, F.array(first["tail"], first["head"])).otherwise(F.array(first["head"], first["tail"]))
+    start = F.array_distinct(F.when(turned, F.array(first["tail"], first["head"])).otherwise(F.array(first["head"], first["tail"])))
 
     def step(path, e):
         last = F.element_at(path, -1)
         more = F.when(e["head"] == last, F.array(e["tail"])).when(e["tail"] == last, F.array(e["head"])).otherwise(F.array(e["head"], e["tail"]))
-        kept = F.filter(more, lambda n, i: (i > 0) | (n != last))
+        kept = F.filter(F.array_distinct(more), lambda n, i: (i > 0) | (n != last))
         return F.concat(path, kept)
 
     walked = F.aggregate(F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1))), start, step)
@@ -56,41 +57,44 @@ def gold_paths(records: DataFrame, edges: DataFrame, named: DataFrame | None = N
     )
 
 
-def label_row(tokens: Column) -> Column:
-    """A gold path's tokens as a row of LABEL_TOKENS labels, filled with IGNORE."""
-    return F.slice(F.concat(tokens, F.array_repeat(F.lit(IGNORE).cast("bigint"), LABEL_TOKENS)), 1, LABEL_TOKENS)
+def coverage(paths: DataFrame, selected: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Adds edge_coverage, n_nodes, n_present, n_labelled, node_coverage, label_ratio.
 
-
-def coverage(paths: DataFrame, selected: DataFrame) -> DataFrame:
-    """Adds edge_coverage, n_nodes, n_labelled, label_ratio; ``selected`` (k, node) are the nodes kept for the record."""
+    ``selected`` (k, node) are the nodes kept for the record, ``present`` those of its evidence (None: all of the path).
+    """
     nodes = paths.select("k", F.explode(F.array_distinct("path")).alias("node"))
-    kept = selected.select("k", "node").distinct().withColumn("in", F.lit(1))
-    n = nodes.join(kept, ["k", "node"], "left").groupBy("k").agg(F.count("*").alias("n_nodes"), F.count("in").alias("n_labelled"))
+    j = nodes.join(selected.select("k", "node").distinct().withColumn("in", F.lit(1)), ["k", "node"], "left")
+    j = j.withColumn("here", F.lit(1)) if present is None else j.join(present.select("k", "node").distinct().withColumn("here", F.lit(1)), ["k", "node"], "left")
+    n = j.groupBy("k").agg(F.count("*").alias("n_nodes"), F.count("here").alias("n_present"), F.count("in").alias("n_labelled"), F.count_if(F.col("here").isNotNull() & F.col("in").isNull()).alias("n_pruned"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    j = paths.join(n, "k", "left").fillna(0, ["n_nodes", "n_labelled"])
-    return j.withColumn("edge_coverage", ratio(F.col("n_covered"), F.col("n_gold"))).withColumn("label_ratio", ratio(F.col("n_labelled"), F.col("n_nodes")))
+    j = paths.join(n, "k", "left").fillna(0, ["n_nodes", "n_present", "n_labelled", "n_pruned"])
+    return (
+        j.withColumn("edge_coverage", ratio(F.col("n_covered"), F.col("n_gold"))).withColumn("node_coverage", ratio(F.col("n_present"), F.col("n_nodes"))).withColumn("label_ratio", ratio(F.col("n_labelled"), F.col("n_nodes")))
+    )
 
 
-def tiers(c: DataFrame, n_evidence: Column, edge_backend: Column, linker: Column, graph_backend: Column) -> DataFrame:
+def tiers(c: DataFrame, n_evidence: Column, edge_backend: Column, linker: Column, graph_backend: Column, has_seeds: Column | None = None) -> DataFrame:
     """Adds reasons and tier: reject, silver or goldish; reasons are distinct and in order.
 
-    The cause of poor coverage is the first of: no gold path, an edge that is missing, a node that was not kept, else
-    too little coverage.
+    The cause of poor coverage is the first of: no gold path, an edge that is missing, a node of the evidence that was
+    not kept, a node that is not in the evidence or a question without linked nodes, else too little coverage.
     """
+    seeds = F.lit(True) if has_seeds is None else has_seeds
     cause = (
-        F.when(F.col("n_gold") == 0, "empty_gold_path").when(F.size("missing") > 0, "missing_edge_mapping").when(F.col("n_labelled") < F.col("n_nodes"), "missing_due_to_ppr_pruning").otherwise("insufficient_gold_path_coverage")
-    )
+        F.when(F.col("n_gold") == 0, "empty_gold_path").when(F.size("missing") > 0, "missing_edge_mapping").when(F.col("n_pruned") > 0, "missing_due_to_ppr_pruning")
+        .when((F.col("n_present") < F.col("n_nodes")) | ~seeds, "missing_entity_link").otherwise("insufficient_gold_path_coverage")
+    )
     when = lambda cond, x: F.when(cond, x)
-    bad_graph = T.text(graph_backend).isin("", "empty", "missing")
+    bad_graph = T.text(graph_backend).isin(BAD_GRAPHS)
     rejects = F.array(
         when(F.col("n_gold") < 1, F.lit("empty_gold_path")), when(n_evidence == 0, F.lit("missing_evidence_edges")),
         when(bad_graph, F.concat(F.lit("primekg_backend:"), T.text(graph_backend))), when(F.col("n_labelled") == 0, cause),
     )
-    low_e, low_l = F.col("edge_coverage") < MIN_EDGE_COVERAGE, F.col("label_ratio") < MIN_LABEL_RATIO
+    low_e, low_n, low_l = F.col("edge_coverage") < MIN_EDGE_COVERAGE, F.col("node_coverage") < MIN_NODE_COVERAGE, F.col("label_ratio") < MIN_LABEL_RATIO
     silvers = F.array(
         when(~T.matches_pattern(edge_backend, BACKENDS), F.concat(F.lit("edge_mapper_backend:"), edge_backend)), when(linker != "scispacy_umls", F.concat(F.lit("entity_linker_backend:"), linker)),
         when(graph_backend == "unknown", F.lit("primekg_backend:unknown")), when(low_e, cause), when(low_e, F.lit("gold_edge_coverage_below_threshold")),
-        when(low_l, cause), when(low_l, F.lit("labeled_token_ratio_below_threshold")),
+        when(low_n, cause), when(low_n, F.lit("gold_node_coverage_below_threshold")), when(low_l, cause), when(low_l, F.lit("labeled_token_ratio_below_threshold")),
     )
     tidy = lambda a: F.array_distinct(F.array_compact(a))
     r, s = tidy(rejects), tidy(silvers)
@@ -98,9 +102,14 @@ def tiers(c: DataFrame, n_evidence: Column, edge_backend: Column, linker: Column
     return c.withColumn("reasons", reasons).withColumn("tier", F.when(F.size(r) > 0, "reject").when(F.size(s) > 0, "silver").otherwise("goldish"))
 
 
+def tier_reasons(tiered: DataFrame) -> DataFrame:
+    """tier, reason, n."""
+    return tiered.select("tier", F.explode("reasons").alias("reason")).groupBy("tier", "reason").agg(F.count("*").alias("n"))
+
+
 def tier_summary(tiered: DataFrame) -> DataFrame:
-    """tier (``all`` for every record), n, mean_edge_coverage, mean_label_ratio."""
-    s = tiered.rollup("tier").agg(F.count("*").alias("n"), F.round(F.avg("edge_coverage"), 6).alias("mean_edge_coverage"), F.round(F.avg("label_ratio"), 6).alias("mean_label_ratio"))
+    """tier (``all`` for every record), n, means of the coverages, labelled nodes in all."""
+    s = tiered.rollup("tier").agg(F.count("*").alias("n"), F.round(F.avg("edge_coverage"), 6).alias("mean_edge_coverage"), F.round(F.avg("node_coverage"), 6).alias("mean_node_coverage"), F.round(F.avg("label_ratio"), 6).alias("mean_label_ratio"), F.sum("n_labelled").alias("n_labelled"))
     return s.withColumn("tier", F.coalesce("tier", F.lit("all")))
 
 

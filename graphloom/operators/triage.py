@@ -103,7 +103,10 @@ def record_coverage(records: DataFrame, seeds: DataFrame, evidence: DataFrame, w
     gold = work.keep(named.unionByName(found.join(named.select("k").distinct(), "k", "left_anti")), "gold")
     paths = work.keep(Q.gold_paths(records, evidence, gold), "paths")
     n = evidence.groupBy("k").agg(F.count("*").alias("n_evidence"))
-    return Q.coverage(paths, G.selected_nodes(evidence, seeds, work)).join(n, "k", "left").fillna(0, ["n_evidence"])
+    ends = evidence.select("k", F.explode(F.array("head", "tail")).alias("node"))
+    seeded = seeds.select("k").distinct().withColumn("has_seeds", F.lit(True))
+    c = Q.coverage(paths, G.selected_nodes(evidence, seeds, work), ends).join(n, "k", "left").fillna(0, ["n_evidence"])
+    return c.join(seeded, "k", "left").fillna(False, ["has_seeds"])
 
 
 def triage_passes(records: DataFrame, nodes: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:

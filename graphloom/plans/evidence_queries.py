@@ -67,23 +67,18 @@ def grounding_rollup(spark, d):
     return _rollup(_Bundles(spark, d, "rollup"))
 
 
-def guardian_decision(spark, d):
-    x = _Bundles(spark, d, "guardian")
-    named = B.named_edges(x.records).groupBy("k").agg(F.count("*").alias("named"))
-    have = x.edges.groupBy("k").agg(F.countDistinct("edge_id").alias("have"))
-    r = _rollup(x).join(named, "k", "left").join(have, "k", "left").fillna(0, ["named", "have"])
-    conf = F.when(F.col("named") > 0, F.col("have") / F.col("named")).otherwise(1.0)
-    return grounding.guardian(r, conf, F.col("have") == F.col("named"), conf, conf >= 0.5).select("k", "confidence", "decision")
+def _audited(x):
+    return grounding.audit_claims(x.claims(), x.evidence(), x.records.select(F.col("record_id").alias("k"), F.col("question").alias("text")))
 
 
 def audit_claims(spark, d):
-    x = _Bundles(spark, d, "audit")
-    return grounding.audit_claims(x.claims(), x.evidence()).select("k", "claim_pos", "verdict", "evidence_id", "severity", F.round("score", 6).alias("score"))
+    return _audited(_Bundles(spark, d, "audit")).select("k", "claim_pos", "claim_type", "verdict", "evidence_id", "severity", F.round("score", 6).alias("score"), F.array_join("unknown", ",").alias("unknown"))
 
 
 def audit_labels(spark, d):
     x = _Bundles(spark, d, "labels")
-    return grounding.audit_rollup(grounding.audit_claims(x.claims(), x.evidence()))
+    r = grounding.audit_rollup(x.records.select(F.col("record_id").alias("k")), x.work.keep(_audited(x), "audited"), x.evidence())
+    return r.select("k", "n_claims", "faithfulness", "h5", "recommendation", F.array_join("gaps", ",").alias("gaps"), F.array_join("unknown", ",").alias("unknown"), "label")
 
 
 def claim_self_contradictions(spark, d):
@@ -117,7 +112,7 @@ def hash_embeddings(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (record_evidence, bm25, passage_fusion_topk, grounding_claims, grounding_rollup, guardian_decision, audit_claims, audit_labels, claim_self_contradictions, vector_topk, vector_quantize, codebook_usage, hash_embeddings)}
+    return {f.__name__: f for f in (record_evidence, bm25, passage_fusion_topk, grounding_claims, grounding_rollup, audit_claims, audit_labels, claim_self_contradictions, vector_topk, vector_quantize, codebook_usage, hash_embeddings)}
 
 
 _P = f"regexp_replace({S.STRIP.format(c='pmid')}, '(?i)^pmid:\\s*', '')"
@@ -143,14 +138,22 @@ _ROLL = f"""{GROUND}, ag AS (SELECT k, count(*) AS n_claims, count(*) FILTER (ve
    bool_or({S.severity('claim_type', 'verdict')} = 3 OR (claim_type = 'life_critical' AND verdict <> 'supported')) AS h5 FROM vd GROUP BY 1),
  ru AS (SELECT record_id AS k, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, coalesce(n_contradicted, 0) AS n_contradicted, coalesce(n_bad, 0) AS n_bad, coalesce(h5, false) AS h5 FROM (SELECT DISTINCT record_id FROM qa_records) LEFT JOIN ag ON k = record_id),
  rf AS (SELECT *, round(greatest(0.0, least(1.0, n_supported / greatest(n_claims, 1)::DOUBLE - 0.25 * n_contradicted)), 6) AS faithfulness, CASE WHEN h5 THEN 'ABSTAIN' WHEN n_bad > 0 THEN 'REVISE' ELSE 'ACCEPT' END AS recommendation FROM ru)"""
+_AE, _AP = T.AUDIT_EDGE, T.AUDIT_PMID
+_AREFS = f"list_distinct(list_concat(list_transform(list_filter(list_transform(regexp_extract_all(claim, '{_AE}'), lambda m: regexp_replace(regexp_extract(m, '{_AE}', 1) || regexp_extract(m, '{_AE}', 2), '[.,;:]+$', '')), lambda x: x <> ''), lambda x: 'edge:' || x), list_transform(regexp_extract_all(claim, '{_AP}', 1), lambda x: 'PMID:' || x)))"
+_AKIND = "CASE " + " ".join(f"WHEN {S.has_any('claim', v)} THEN '{k}'" for k, v in K.AUDIT_TYPES.items()) + " ELSE 'factual' END"
 _AUDIT = f"""{BUNDLE}, {CLAIMS},
- c AS (SELECT k, claim_pos, claim, {S.refs('claim')} AS cited, {S.tokens('claim', K.STOPWORDS, 1)} AS ct, {S.polarity('claim', K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE)} AS own FROM cl), v AS (SELECT *, {S.tokens('text', K.STOPWORDS, 1)} AS et FROM ev),
- sc AS (SELECT c.k, claim_pos, kind, pos, evidence_id, round(CASE WHEN list_contains(cited, evidence_id) THEN greatest(o, 0.9) ELSE o END, 9) AS support, round(CASE WHEN own <> 'neutral' AND polarity <> 'neutral' AND own <> polarity THEN least(o + 0.2, 1.0) ELSE 0.0 END, 9)::DOUBLE AS against
-   FROM (SELECT c.*, kind, pos, evidence_id, polarity, len(list_intersect(ct, et)) / len(ct)::DOUBLE AS o FROM c JOIN v USING (k) WHERE len(ct) > 0 AND len(et) > 0) c),
- tp AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY k, claim_pos ORDER BY greatest(support, against) DESC, kind DESC, pos DESC, evidence_id DESC) = 1),
- vd AS (SELECT c.k, c.claim_pos, claim, evidence_id AS ev, support, against, CASE WHEN len(ct) = 0 THEN 'out_of_scope' WHEN against >= 0.35 AND against >= support THEN 'contradicted' WHEN support >= 0.3 THEN 'supported' ELSE 'unsupported' END AS verdict FROM c LEFT JOIN tp USING (k, claim_pos)),
- au AS (SELECT *, CASE WHEN verdict IN ('supported', 'out_of_scope') THEN 0 WHEN NOT cites AND {S.has_any('claim', K.AUDIT_LIFE_CRITICAL)} THEN 3 WHEN cites OR verdict = 'contradicted' OR {S.has_any('claim', K.TEMPORAL + K.POPULATION + K.LOGICAL)} THEN 2 ELSE 1 END AS severity
-   FROM (SELECT *, {S.has_any('claim', ['edge:', 'pmid:', 'edge_id:'])} AS cites FROM vd))"""
+ hv AS (SELECT k, list(evidence_id) AS have FROM ev GROUP BY 1), qc AS (SELECT record_id AS k, {S.has_any('question', K.AUDIT_LIFE_CRITICAL)} AS critical FROM qa_records),
+ c AS MATERIALIZED (SELECT *, list_sort(list_filter(cited, lambda x: NOT list_contains(have, x))) AS unknown FROM (SELECT cl.k, claim_pos, claim, {_AREFS} AS cited, {S.tokens('claim', K.STOPWORDS, 1)} AS ct, {S.polarity('claim', K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE)} AS own, {_AKIND} AS kind, coalesce(have, []::VARCHAR[]) AS have, critical FROM cl LEFT JOIN hv USING (k) JOIN qc USING (k))),
+ v AS (SELECT *, {S.tokens('text', K.STOPWORDS, 1)} AS et, {S.polarity('text', K.AUDIT_NEGATIVE, K.AUDIT_POSITIVE)} AS evp FROM ev),
+ sc AS (SELECT c.k, claim_pos, ek, pos, evidence_id, round(CASE WHEN kind = 'sourceattribution' AND list_contains(cited, evidence_id) THEN greatest(o, 0.9) ELSE o END, 9) AS support, round(CASE WHEN own <> 'neutral' AND evp <> 'neutral' AND own <> evp THEN least(o + 0.2, 1.0) ELSE 0.0 END, 9)::DOUBLE AS against
+   FROM (SELECT c.k, claim_pos, cited, own, c.kind, v.kind AS ek, pos, evidence_id, evp, len(list_intersect(ct, et)) / len(ct)::DOUBLE AS o FROM c JOIN v USING (k) WHERE len(ct) > 0 AND len(et) > 0 AND len(unknown) = 0 AND (len(cited) = 0 OR list_contains(cited, evidence_id))) c),
+ tp AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY k, claim_pos ORDER BY greatest(support, against) DESC, ek DESC, pos DESC, evidence_id DESC) = 1),
+ vd AS (SELECT c.k, c.claim_pos, kind, critical, unknown, evidence_id AS ev, support, against, CASE WHEN len(unknown) > 0 OR len(have) = 0 THEN 'unsupported' WHEN len(ct) = 0 THEN 'out_of_scope' WHEN against >= 0.35 AND against >= support THEN 'contradicted' WHEN support >= 0.3 THEN 'supported' ELSE 'unsupported' END AS verdict FROM c LEFT JOIN tp USING (k, claim_pos)),
+ au AS MATERIALIZED (SELECT *, CASE WHEN len(unknown) > 0 THEN CASE WHEN kind = 'lifecritical' OR critical THEN 3 ELSE 2 END WHEN verdict IN ('supported', 'out_of_scope') THEN 0 WHEN kind = 'lifecritical' OR critical THEN 3 WHEN kind = 'sourceattribution' OR verdict = 'contradicted' OR kind IN ('logical', 'temporal', 'population') THEN 2 ELSE 1 END AS severity FROM vd)"""
+AUDIT_LABELS = f"""{_AUDIT}, ag AS (SELECT k, count(*) AS n, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'contradicted') AS c, count(*) FILTER (verdict = 'unsupported') AS u, max(severity) AS worst, list_sort(list_distinct(flatten(list(unknown)))) AS unknown FROM au GROUP BY 1),
+ ar1 AS (SELECT record_id AS k, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(c, 0) AS c, coalesce(u, 0) AS u, coalesce(worst, 0) AS worst, coalesce(unknown, []::VARCHAR[]) AS unknown, record_id IN (SELECT k FROM ev) AS hasev FROM (SELECT DISTINCT record_id FROM qa_records) LEFT JOIN ag ON ag.k = record_id),
+ ar2 AS (SELECT *, round(greatest(0.0, least(1.0, s / greatest(n, 1)::DOUBLE - 0.25 * c - 0.10 * u)), 6) AS faithfulness, list_filter([CASE WHEN NOT hasev THEN 'no_evidence' END, CASE WHEN n = 0 THEN 'no_claims' END, CASE WHEN len(unknown) > 0 THEN 'unknown_references' END, CASE WHEN u > 0 THEN 'unsupported_claims' END, CASE WHEN c > 0 THEN 'contradicted_claims' END], lambda x: x IS NOT NULL) AS gaps FROM ar1),
+ al AS MATERIALIZED (SELECT k, n AS n_claims, faithfulness, worst = 3 AS h5, gaps, unknown, CASE WHEN worst = 3 THEN 'reject' WHEN len(gaps) = 0 AND faithfulness >= 0.8 THEN 'golden' ELSE 'partial' END AS label FROM ar2)"""
 _BM = f"""{BUNDLE}, wd AS MATERIALIZED (SELECT k, pmid AS doc, list_transform(regexp_extract_all({_BODY}, '[A-Za-z0-9-]+'), lambda w: lower(w)) AS w, {_BODY} AS text FROM bp),
  sz AS (SELECT k, doc, len(w) AS len FROM wd), cp AS (SELECT k, count(*) AS n, avg(len) AS mean FROM sz GROUP BY 1), tf AS MATERIALIZED (SELECT k, doc, term, count(*) AS tf FROM (SELECT k, doc, unnest(w) AS term FROM wd) GROUP BY 1, 2, 3),
  rw AS (SELECT k, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN cp USING (k) GROUP BY k, term, n), idf AS MATERIALIZED (SELECT k, term, CASE WHEN idf < 0 THEN {K.BM25_EPSILON} * avg(idf) OVER (PARTITION BY k) ELSE idf END AS idf FROM rw),
@@ -175,13 +178,8 @@ def oracle_sql():
           SELECT k, doc, round(s, 6) AS score FROM (SELECT k, doc, round(score, 8) AS s FROM f) QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, doc) <= {K.TOP_PASSAGES}""",
         "grounding_claims": f"WITH {GROUND} SELECT k, claim_pos, claim_type, verdict, CASE WHEN verdict = 'unsupported' THEN 'none' ELSE ev END AS evidence_id, {S.severity('claim_type', 'verdict')} AS severity, round(coalesce(greatest(support, against), 0.0), 6) AS score FROM vd",
         "grounding_rollup": f"WITH {_ROLL} SELECT k, n_claims, n_supported, n_contradicted, n_bad, h5, faithfulness, recommendation FROM rf",
-        "guardian_decision": f"""WITH {_ROLL}, g AS (SELECT rf.*, coalesce(named, 0) AS named, coalesce(have, 0) AS have FROM rf LEFT JOIN (SELECT k, count(*) AS named FROM nm GROUP BY 1) USING (k) LEFT JOIN (SELECT k, count(DISTINCT edge_id) AS have FROM be GROUP BY 1) USING (k)),
-          h AS (SELECT *, CASE WHEN named > 0 THEN have / named::DOUBLE ELSE 1.0 END AS conf, have = named AS valid FROM g),
-          i AS (SELECT *, conf >= 0.5 AS sound, round(greatest(0.0, least(1.0, 0.25 * CASE WHEN valid THEN conf ELSE conf * 0.5 END + 0.45 * greatest(0.0, faithfulness - 0.05 * n_bad) + 0.30 * CASE WHEN conf >= 0.5 THEN conf ELSE conf * 0.75 END)), 6) AS confidence FROM h)
-          SELECT k, confidence, CASE WHEN h5 OR confidence < 0.4 THEN 'ABSTAIN' WHEN NOT valid OR NOT sound OR n_bad > 0 OR confidence < 0.75 THEN 'REVISE' ELSE 'ACCEPT' END AS decision FROM i""",
-        "audit_claims": f"WITH {_AUDIT} SELECT k, claim_pos, verdict, CASE WHEN verdict IN ('unsupported', 'out_of_scope') THEN 'none' ELSE ev END AS evidence_id, severity, round(coalesce(greatest(support, against), 0.0), 6) AS score FROM au",
-        "audit_labels": f"""WITH {_AUDIT}, a AS (SELECT k, count(*) AS n, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'contradicted') AS c, count(*) FILTER (verdict = 'unsupported') AS u, max(severity) AS worst FROM au GROUP BY 1),
-          f AS (SELECT *, round(greatest(0.0, least(1.0, s / n::DOUBLE - 0.25 * c - 0.10 * u)), 6) AS faithfulness FROM a) SELECT k, faithfulness, CASE WHEN worst = 3 THEN 'reject' WHEN c + u = 0 AND faithfulness >= 0.8 THEN 'golden' ELSE 'partial' END AS label FROM f""",
+        "audit_claims": f"WITH {_AUDIT} SELECT k, claim_pos, CASE WHEN len(unknown) > 0 THEN 'sourceattribution' ELSE kind END AS claim_type, verdict, CASE WHEN verdict IN ('unsupported', 'out_of_scope') THEN 'none' ELSE ev END AS evidence_id, severity, round(coalesce(greatest(support, against), 0.0), 6) AS score, array_to_string(unknown, ',') AS unknown FROM au",
+        "audit_labels": f"WITH {AUDIT_LABELS} SELECT k, n_claims, faithfulness, h5, CASE WHEN h5 THEN 'ABSTAIN' WHEN label = 'golden' THEN 'ACCEPT' ELSE 'REVISE' END AS recommendation, array_to_string(gaps, ',') AS gaps, array_to_string(unknown, ',') AS unknown, label FROM al",
         "claim_self_contradictions": f"""WITH c AS (SELECT k, claim, i, {_numbers('claim')} AS n, {S.tokens('claim')} AS t, {S.has_any('claim', K.POSITIVE_CUES)} AS p, {S.has_any('claim', K.NEGATIVE_CUES)} AS m FROM (SELECT record_id AS k, unnest(l) AS claim, unnest(range(len(l))) AS i FROM (SELECT record_id, {S.claims('answer')} AS l FROM qa_records))),
           j AS (SELECT a.k, list_has_any(a.t, b.t) AND (((a.p AND b.m) OR (a.m AND b.p)) OR len(list_filter(a.n, lambda x: len(list_filter(b.n, lambda y: {_SAME} AND NOT {_CLOSE})) > 0)) > 0) AS bad FROM c a JOIN c b ON a.k = b.k AND a.i < b.i)
           SELECT k, count(*) AS n_pairs, count(*) FILTER (bad) AS n_conflicts, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS rate FROM j GROUP BY 1""",

@@ -60,7 +60,7 @@ def mcnemar(spark, d):
 
 def mcnemar_p(spark, d):
     x = read(spark, d, "qa_records").select((F.length(T.text(F.col("answer"))) > 20).alias("a"), (F.size(T.claims(F.col("reasoning"))) > 3).alias("b"))
-    return metrics.mcnemar(x, "a", "b")
+    return metrics.mcnemar(x, "a", "b").select("only_a", "only_b", F.round("chi_square", 6).alias("chi_square"), F.round("p_value", 6).alias("p_value"))
 
 
 def bootstrap_interval(spark, d):
@@ -165,6 +165,31 @@ _GP = f"""{EDGES},
 _AL = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+def _erfc(z):
+    """The complementary error function by its continued fraction for z above 2, by its series below."""
+    series = f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: pow(-1, n) * pow({z}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))))"
+    frac = z
+    for n in range(40, 0, -1):
+        frac = f"({z} + {n / 2} / {frac})"
+    return f"CASE WHEN {z} < 2 THEN {series} ELSE exp(-{z} * {z}) / sqrt(pi()) / {frac} END"
+
+
+def node_path_sql(edges):
+    """The nodes along a list of [head, tail] lists, as ``quality.node_path`` walks them."""
+    touches = lambda n: f"coalesce({edges}[2][1] = {n} OR {edges}[2][2] = {n}, false)"
+    start = f"CASE WHEN len({edges}) > 1 AND {touches(f'{edges}[1][1]')} AND NOT {touches(f'{edges}[1][2]')} THEN [{edges}[1][2], {edges}[1][1]] ELSE {edges}[1] END"
+    once = lambda l: f"CASE WHEN {l}[1] = {l}[2] THEN [{l}[1]] ELSE {l} END"
+    step = f"list_concat(p, list_filter(CASE WHEN x[1] = p[-1] THEN [x[2]] WHEN x[2] = p[-1] THEN [x[1]] ELSE {once('x')} END, lambda n, i: i > 1 OR n <> p[-1]))"
+    return f"CASE WHEN len({edges}) = 0 THEN []::VARCHAR[] ELSE list_reduce(list_prepend({once(f'({start})')}, {edges}[2:]), lambda p, x: {step}) END"
+
+
+def gold_ctes():
+    """CTEs up to gpath: k, n_gold, n_covered, missing, path of each record by the edges it names."""
+    return f"""{_GP}, gfound AS (SELECT nm.k, list([e.head, e.tail] ORDER BY pos) AS l FROM nm JOIN e USING (edge_id) GROUP BY 1),
+ gpath AS MATERIALIZED (SELECT r.k, coalesce(n_gold, 0) AS n_gold, coalesce(n_covered, 0) AS n_covered, coalesce(missing, []::VARCHAR[]) AS missing, CASE WHEN l IS NULL THEN []::VARCHAR[] ELSE {node_path_sql('l')} END AS path
+   FROM (SELECT DISTINCT record_id AS k FROM qa_records) r LEFT JOIN gp ON gp.k = r.k LEFT JOIN gfound ON gfound.k = r.k)"""
+
+
 _TIERS = f"""WITH {_GP}, be AS (SELECT nm.k, e.head, e.tail FROM nm JOIN e USING (edge_id)), nd AS (SELECT DISTINCT k, node FROM (SELECT k, unnest([head, tail]) AS node FROM be)),
  tx AS (SELECT record_id AS k, {_AL("concat_ws(' ', question, reasoning)")} AS t FROM qa_records),
  nl AS (SELECT k, count(*) AS n_nodes, count(*) FILTER (contains(t, {_AL(S.humanized('node'))})) AS n_labelled FROM nd JOIN tx USING (k) GROUP BY 1),
@@ -191,7 +216,8 @@ def faithful(table, id_, answer):
  fa AS MATERIALIZED (SELECT fa2.{id_}, CASE WHEN len(c) = 0 THEN 1.0 WHEN len(x) = 0 THEN 0.0 ELSE coalesce(n, 0) / len(c)::DOUBLE END AS faithfulness FROM fa2 LEFT JOIN (SELECT {id_}, count(*) AS n FROM fa5 GROUP BY 1) USING ({id_}))"""
 
 
-def _decode_sql():
+def decoded_ctes():
+    """CTEs up to rk: k, rank, nodes, edges, confidence, ranking of the best paths."""
     grow = "".join(
         f""",
  g{i} AS (SELECT b.k, list_append(b.nodes, s.tail) AS nodes, list_append(b.edges, s.edge_id) AS edges, list_append(b.weights, s.weight) AS weights, s.end_score FROM b{i - 1} b JOIN st s ON s.k = b.k AND s.head = b.nodes[-1] WHERE NOT list_contains(b.nodes, s.tail)),
@@ -200,12 +226,11 @@ def _decode_sql():
         for i in range(1, reasoning.EDGES_MOST + 1)
     )
     every = " UNION ALL ".join(f"SELECT k, nodes, edges, confidence, ranking FROM {t}" for t in ("b0", "p1", "p2", "p3"))
-    return f"""WITH {BUNDLE}, n AS (SELECT k, node, count(*) AS n FROM (SELECT k, unnest([head, tail]) AS node FROM be) GROUP BY 1, 2), sc AS (SELECT k, node, n / (max(n) OVER (PARTITION BY k))::DOUBLE AS score FROM n),
+    return f"""{BUNDLE}, n AS (SELECT k, node, count(*) AS n FROM (SELECT k, unnest([head, tail]) AS node FROM be) GROUP BY 1, 2), sc AS (SELECT k, node, n / (max(n) OVER (PARTITION BY k))::DOUBLE AS score FROM n),
  ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, node) AS r FROM sc QUALIFY r <= {reasoning.CANDIDATES}),
  st AS MATERIALIZED (SELECT be.k, be.edge_id, be.head, be.tail, reliability * confidence AS weight, ca.score AS end_score FROM be JOIN ca ON ca.k = be.k AND ca.node = be.tail),
  b0 AS (SELECT k, [node] AS nodes, []::VARCHAR[] AS edges, []::DOUBLE[] AS weights, score AS ranking, score AS confidence FROM ca WHERE r <= {reasoning.BEAM}){grow},
- al AS ({every}), rk AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY len(edges) DESC, ranking DESC, confidence DESC, nodes, edges))::INT AS rank FROM al)
- SELECT k, rank, array_to_string(nodes, '>') AS nodes, array_to_string(edges, ',') AS edges, round(confidence, 6) AS confidence, round(ranking, 6) AS ranking FROM rk WHERE rank <= {reasoning.TOP_PATHS}"""
+ al AS ({every}), rk AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY len(edges) DESC, ranking DESC, confidence DESC, nodes, edges))::INT AS rank FROM al QUALIFY rank <= {reasoning.TOP_PATHS})"""
 
 
 def oracle_sql():
@@ -230,7 +255,13 @@ def oracle_sql():
         "record_tiers": f"{_TIERS} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
         "tier_summary": f"{_TIERS} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(label_ratio), 6) AS mean_label_ratio FROM td GROUP BY ROLLUP (tier)",
         "top_failure_reasons": f"{_TIERS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
-        "decoded_paths": _decode_sql(),
+        "decoded_paths": f"WITH {decoded_ctes()} SELECT k, rank, array_to_string(nodes, '>') AS nodes, array_to_string(edges, ',') AS edges, round(confidence, 6) AS confidence, round(ranking, 6) AS ranking FROM rk",
+        "path_answers": f"""WITH {decoded_ctes()}, st1 AS (SELECT k, confidence, edges, unnest(edges) AS edge_id, unnest(range(len(edges))) AS i FROM rk WHERE rank = 1),
+          sy AS (SELECT k, string_agg({S.humanized('head')} || ' ' || display_relation || ' ' || {S.humanized('tail')} || ' [edge:' || edge_id || '].', ' ' ORDER BY i) AS said FROM st1 JOIN e USING (edge_id) GROUP BY 1)
+          SELECT k, CASE WHEN said IS NULL OR confidence < {reasoning.ABSTAIN_BELOW} THEN 'The evidence does not support an answer.' WHEN confidence < {reasoning.UNSURE_BELOW} THEN 'Evidence suggests: ' || said ELSE said END AS answer, round(confidence, 6) AS confidence FROM rk LEFT JOIN sy USING (k) WHERE rank = 1""",
+        "gold_paths": f"WITH {gold_ctes()} SELECT k, n_gold, n_covered, array_to_string(missing, ',') AS missing, array_to_string(path, '>') AS path FROM gpath",
+        "mcnemar_p": f"""WITH m AS (SELECT only_a, only_b, CASE WHEN only_a + only_b = 0 THEN 0.0 ELSE pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b) END AS x FROM (SELECT count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM (SELECT length(coalesce(answer, '')) > 20 AS a, len({S.claims('reasoning')}) > 3 AS b FROM qa_records)))
+          SELECT only_a, only_b, round(x, 6) AS chi_square, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE round({_erfc('sqrt(x / 2)')}, 6) END AS p_value FROM m""",
         "passage_contradictions": f"""WITH {BUNDLE}, ed AS (SELECT k, head, tail, relation IN {S.values(K.NEGATIVE_RELATIONS)} OR contains(lower(display_relation), 'contra') AS neg, lower({S.humanized('head')}) AS h, lower({S.humanized('tail')}) AS t FROM be), ps AS (SELECT k, lower(coalesce(title, '') || ' ' || coalesce(abstract, '')) AS body FROM bp),
           cl AS (SELECT ed.k, max(CASE WHEN neg AND p THEN 0.8 WHEN NOT neg AND n THEN 0.8 WHEN neg = n THEN 0.0 ELSE 0.35 END)::DOUBLE AS c FROM ed JOIN (SELECT *, {S.has_any('body', K.CLASH_NEGATIVE)} AS n, {S.has_any('body', K.CLASH_POSITIVE)} AS p FROM ps) ps ON ed.k = ps.k AND (contains(body, h) OR contains(body, t)) GROUP BY 1),
           mx AS (SELECT k, max(n) AS n FROM (SELECT k, head, tail, count(DISTINCT neg) AS n FROM ed GROUP BY 1, 2, 3) GROUP BY 1)

@@ -82,8 +82,15 @@ def question_phrases(spark, d):
     return read(spark, d, "eval_examples").select("eval_id", F.explode(T.phrases(F.col("question"))).alias("phrase"))
 
 
+#: A verb for the statements of some relations (fixed values).
+SAID = {"indication": "treats", "off-label use": "treats", "contraindication": "increases", "drug_effect": "causes", "disease_phenotype_positive": "causes", "drug_protein": "inhibits", "exposure_disease": "causes", "pathway_protein": "activates"}
+
+
 def verb_triples(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(T.triples(F.col("text"))).alias("pos", "triple"))
+    e = read(spark, d, "kg_edges")
+    verb = T.mapped(key(F.col("relation")), SAID, None)
+    said = F.concat(T.humanized(key(F.col("head"))), F.lit(" "), verb, F.lit(" "), T.humanized(key(F.col("tail"))), F.lit(". Source: "), T.text(F.col("source")), F.lit("."))
+    return e.select("row_index", F.posexplode(T.triples(said)).alias("pos", "triple"))
 
 
 def queries():
@@ -137,7 +144,7 @@ def oracle_sql():
         "text_evidence_refs": f"SELECT doc_id, array_to_string(list_sort(list_distinct({S.refs('text')})), ',') AS refs FROM documents",
         "question_types": f"SELECT eval_id, {S.question_type('question')} AS question_type, {S.has_any('question', K.AUDIT_LIFE_CRITICAL)} AS life_critical FROM eval_examples",
         "question_phrases": _phrases_sql(),
-        "verb_triples": f"""WITH s AS (SELECT doc_id, flatten(list_transform({sent}, lambda s: regexp_extract_all(s, '{T.TRIPLE}'))) AS s FROM documents),
-          p AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s)))::INT AS pos FROM s)
-          SELECT doc_id, pos, trim(regexp_extract(x, '{T.TRIPLE}', 1)) || '|' || trim(regexp_extract(x, '{T.TRIPLE}', 2)) || '|' || trim(regexp_extract(x, '{T.TRIPLE}', 3)) AS triple FROM p""",
+        "verb_triples": f"""WITH t AS (SELECT row_index, {S.humanized(S.key('head'))} || ' ' || {S.mapped(S.key('relation'), SAID, 'NULL')} || ' ' || {S.humanized(S.key('tail'))} || '. Source: ' || coalesce(source, '') || '.' AS text FROM kg_edges),
+          s AS (SELECT row_index, flatten(list_transform({sent}, lambda s: regexp_extract_all(s, '{T.TRIPLE}'))) AS s FROM t), p AS (SELECT row_index, unnest(s) AS x, unnest(range(len(s)))::INT AS pos FROM s)
+          SELECT row_index, pos, trim(regexp_extract(x, '{T.TRIPLE}', 1)) || '|' || trim(regexp_extract(x, '{T.TRIPLE}', 2)) || '|' || trim(regexp_extract(x, '{T.TRIPLE}', 3)) AS triple FROM p""",
     }

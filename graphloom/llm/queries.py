@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import read
-from . import contamination, near_duplicates, packing, pairs, splits, tokenize, truncation
+from . import contamination, near_duplicates, oracles, packing, pairs, splits, tokenize, truncation
 
 
 def p1_found(spark, d):
@@ -63,4 +63,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracles.oracle_sql()

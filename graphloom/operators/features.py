@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ def token_stability(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, text: str, encoder, width: int) -> DataFrame:
     """``df`` with ``embedding`` (array<float>) from ``encoder``: a function of a list of texts to a matrix, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(t: pd.Series) -> pd.Series:
         import numpy as np

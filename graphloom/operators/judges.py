@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +131,6 @@ def model_scores(pairs: DataFrame, premise: str, hypothesis: str, model: Callabl
     """
     if model is None:
         return pairs.withColumn("label", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
-    import pandas as pd
-
     def standard(x):
         if isinstance(x, dict):
             label, score = str(x.get("label", x.get("verdict", ""))).strip().lower(), float(x.get("score", x.get("confidence", 0.0)))
@@ -155,7 +155,7 @@ def model_scores(pairs: DataFrame, premise: str, hypothesis: str, model: Callabl
 
 def overlap_model(premises: list[str], hypotheses: list[str]) -> list[float]:
     """A stand-in for a scoring model: the share of the hypothesis's words that the premise has."""
-    words = lambda t: {w for w in t.lower().split() if len(w) > 1}
+    words = lambda t: {w for w in re.split(r"[ \t\n\r\f]+", t.lower()) if len(w) > 1}
     return [len(words(h) & words(p)) / max(len(words(h)), 1) for p, h in zip(premises, hypotheses)]
 
 

@@ -153,7 +153,7 @@ _AUDIT = f"""{BUNDLE}, {CLAIMS},
 AUDIT_LABELS = f"""{_AUDIT}, ag AS (SELECT k, count(*) AS n, count(*) FILTER (verdict = 'supported') AS s, count(*) FILTER (verdict = 'contradicted') AS c, count(*) FILTER (verdict = 'unsupported') AS u, max(severity) AS worst, list_sort(list_distinct(flatten(list(unknown)))) AS unknown FROM au GROUP BY 1),
  ar1 AS (SELECT record_id AS k, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(c, 0) AS c, coalesce(u, 0) AS u, coalesce(worst, 0) AS worst, coalesce(unknown, []::VARCHAR[]) AS unknown, record_id IN (SELECT k FROM ev) AS hasev FROM (SELECT DISTINCT record_id FROM qa_records) LEFT JOIN ag ON ag.k = record_id),
  ar2 AS (SELECT *, round(greatest(0.0, least(1.0, s / greatest(n, 1)::DOUBLE - 0.25 * c - 0.10 * u)), 6) AS faithfulness, list_filter([CASE WHEN NOT hasev THEN 'no_evidence' END, CASE WHEN n = 0 THEN 'no_claims' END, CASE WHEN len(unknown) > 0 THEN 'unknown_references' END, CASE WHEN u > 0 THEN 'unsupported_claims' END, CASE WHEN c > 0 THEN 'contradicted_claims' END], lambda x: x IS NOT NULL) AS gaps FROM ar1),
- al AS MATERIALIZED (SELECT k, n AS n_claims, faithfulness, worst = 3 AS h5, gaps, unknown, CASE WHEN worst = 3 THEN 'reject' WHEN len(gaps) = 0 AND faithfulness >= 0.8 THEN 'golden' ELSE 'partial' END AS label FROM ar2)"""
+ adl AS MATERIALIZED (SELECT k, n AS n_claims, faithfulness, worst = 3 AS h5, gaps, unknown, CASE WHEN worst = 3 THEN 'reject' WHEN len(gaps) = 0 AND faithfulness >= 0.8 THEN 'golden' ELSE 'partial' END AS label FROM ar2)"""
 _BM = f"""{BUNDLE}, wd AS MATERIALIZED (SELECT k, pmid AS doc, list_transform(regexp_extract_all({_BODY}, '[A-Za-z0-9-]+'), lambda w: lower(w)) AS w, {_BODY} AS text FROM bp),
  sz AS (SELECT k, doc, len(w) AS len FROM wd), cp AS (SELECT k, count(*) AS n, avg(len) AS mean FROM sz GROUP BY 1), tf AS MATERIALIZED (SELECT k, doc, term, count(*) AS tf FROM (SELECT k, doc, unnest(w) AS term FROM wd) GROUP BY 1, 2, 3),
  rw AS (SELECT k, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN cp USING (k) GROUP BY k, term, n), idf AS MATERIALIZED (SELECT k, term, CASE WHEN idf < 0 THEN {K.BM25_EPSILON} * avg(idf) OVER (PARTITION BY k) ELSE idf END AS idf FROM rw),
@@ -179,7 +179,7 @@ def oracle_sql():
         "grounding_claims": f"WITH {GROUND} SELECT k, claim_pos, claim_type, verdict, CASE WHEN verdict = 'unsupported' THEN 'none' ELSE ev END AS evidence_id, {S.severity('claim_type', 'verdict')} AS severity, round(coalesce(greatest(support, against), 0.0), 6) AS score FROM vd",
         "grounding_rollup": f"WITH {_ROLL} SELECT k, n_claims, n_supported, n_contradicted, n_bad, h5, faithfulness, recommendation FROM rf",
         "audit_claims": f"WITH {_AUDIT} SELECT k, claim_pos, CASE WHEN len(unknown) > 0 THEN 'sourceattribution' ELSE kind END AS claim_type, verdict, CASE WHEN verdict IN ('unsupported', 'out_of_scope') THEN 'none' ELSE ev END AS evidence_id, severity, round(coalesce(greatest(support, against), 0.0), 6) AS score, array_to_string(unknown, ',') AS unknown FROM au",
-        "audit_labels": f"WITH {AUDIT_LABELS} SELECT k, n_claims, faithfulness, h5, CASE WHEN h5 THEN 'ABSTAIN' WHEN label = 'golden' THEN 'ACCEPT' ELSE 'REVISE' END AS recommendation, array_to_string(gaps, ',') AS gaps, array_to_string(unknown, ',') AS unknown, label FROM al",
+        "audit_labels": f"WITH {AUDIT_LABELS} SELECT k, n_claims, faithfulness, h5, CASE WHEN h5 THEN 'ABSTAIN' WHEN label = 'golden' THEN 'ACCEPT' ELSE 'REVISE' END AS recommendation, array_to_string(gaps, ',') AS gaps, array_to_string(unknown, ',') AS unknown, label FROM adl",
         "claim_self_contradictions": f"""WITH c AS (SELECT k, claim, i, {_numbers('claim')} AS n, {S.tokens('claim')} AS t, {S.has_any('claim', K.POSITIVE_CUES)} AS p, {S.has_any('claim', K.NEGATIVE_CUES)} AS m FROM (SELECT record_id AS k, unnest(l) AS claim, unnest(range(len(l))) AS i FROM (SELECT record_id, {S.claims('answer')} AS l FROM qa_records))),
           j AS (SELECT a.k, list_has_any(a.t, b.t) AND (((a.p AND b.m) OR (a.m AND b.p)) OR len(list_filter(a.n, lambda x: len(list_filter(b.n, lambda y: {_SAME} AND NOT {_CLOSE})) > 0)) > 0) AS bad FROM c a JOIN c b ON a.k = b.k AND a.i < b.i)
           SELECT k, count(*) AS n_pairs, count(*) FILTER (bad) AS n_conflicts, round(count(*) FILTER (bad) / count(*)::DOUBLE, 6) AS rate FROM j GROUP BY 1""",

@@ -13,7 +13,7 @@ from ..session import read
 from ..workspace import Workspace
 from . import sql as S
 from .evidence_queries import BUNDLE, _Bundles
-from .graph_queries import EDGES
+from .graph_queries import EDGES, rank_ctes, record_evidence_ctes
 from .text_queries import _CLOSE, _SAME, _numbers
 
 
@@ -92,17 +92,21 @@ def _evidence(spark, d, name):
 def _tiered(spark, d):
     work, records, seeds, evidence = _evidence(spark, d, "tiers")
     c = triage.record_coverage(records, seeds, evidence, work)
-    return quality.tiers(c, F.col("n_evidence"), F.lit("direct"), F.lit("scispacy_umls"), F.lit("edge_node_csv"))
+    return quality.tiers(c, F.col("n_evidence"), F.lit("direct"), F.lit("scispacy_umls"), F.lit("edge_node_csv"), F.col("has_seeds"))
 
 
 def record_tiers(spark, d):
-    return _tiered(spark, d).select("k", F.round("edge_coverage", 6).alias("edge_coverage"), F.round("label_ratio", 6).alias("label_ratio"), "tier", F.array_join("reasons", ",").alias("reasons"))
+    return _tiered(spark, d).select("k", F.round("edge_coverage", 6).alias("edge_coverage"), F.round("node_coverage", 6).alias("node_coverage"), F.round("label_ratio", 6).alias("label_ratio"), "tier", F.array_join("reasons", ",").alias("reasons"))
 
 
 def tier_summary(spark, d):
     return quality.tier_summary(_tiered(spark, d))
 
 
+def tier_reasons(spark, d):
+    return quality.tier_reasons(_tiered(spark, d))
+
+
 def top_failure_reasons(spark, d):
     return quality.top_reasons(_tiered(spark, d))
 
@@ -153,7 +157,7 @@ def enforced_answers(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (exact_match, label_f1, macro_f1, edge_set_scores, hallucination_f1, answer_faithfulness, mcnemar, mcnemar_p, bootstrap_interval, latency_percentiles, gold_paths, record_tiers, tier_summary, top_failure_reasons, edge_mapping_scores, mapped_edges, triage_buckets, decoded_paths, path_answers, passage_contradictions, enforced_answers)}
+    return {f.__name__: f for f in (exact_match, label_f1, macro_f1, edge_set_scores, hallucination_f1, answer_faithfulness, mcnemar, mcnemar_p, bootstrap_interval, latency_percentiles, gold_paths, record_tiers, tier_summary, tier_reasons, top_failure_reasons, edge_mapping_scores, mapped_edges, triage_buckets, decoded_paths, path_answers, passage_contradictions, enforced_answers)}
 
 
 _LAB = f"lb AS (SELECT eval_id, {S.label('g')} AS gold, {S.label('p')} AS predicted FROM (SELECT eval_id, {S.answer('g')} AS g, {S.answer('p')} AS p FROM (SELECT eval_id, {S.decision('gold_answer')} AS g, {S.decision('gold_claims[1]')} AS p FROM eval_examples)))"
@@ -190,15 +194,40 @@ def gold_ctes():
    FROM (SELECT DISTINCT record_id AS k FROM qa_records) r LEFT JOIN gp ON gp.k = r.k LEFT JOIN gfound ON gfound.k = r.k)"""
 
 
-_TIERS = f"""WITH {_GP}, be AS (SELECT nm.k, e.head, e.tail FROM nm JOIN e USING (edge_id)), nd AS (SELECT DISTINCT k, node FROM (SELECT k, unnest([head, tail]) AS node FROM be)),
- tx AS (SELECT record_id AS k, {_AL("concat_ws(' ', question, reasoning)")} AS t FROM qa_records),
- nl AS (SELECT k, count(*) AS n_nodes, count(*) FILTER (contains(t, {_AL(S.humanized('node'))})) AS n_labelled FROM nd JOIN tx USING (k) GROUP BY 1),
- c AS (SELECT record_id AS k, coalesce(n_gold, 0) AS n_gold, coalesce(n_covered, 0) AS n_covered, coalesce(len(missing), 0) AS n_missing, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_labelled, 0) AS n_labelled FROM (SELECT DISTINCT record_id FROM qa_records) LEFT JOIN gp ON gp.k = record_id LEFT JOIN nl ON nl.k = record_id),
- d AS (SELECT *, CASE WHEN n_gold > 0 THEN n_covered / n_gold::DOUBLE ELSE 0.0 END AS edge_coverage, CASE WHEN n_nodes > 0 THEN n_labelled / n_nodes::DOUBLE ELSE 0.0 END AS label_ratio,
-   CASE WHEN n_gold = 0 THEN 'empty_gold_path' WHEN n_missing > 0 THEN 'missing_edge_mapping' WHEN n_labelled < n_nodes THEN 'missing_due_to_ppr_pruning' ELSE 'insufficient_gold_path_coverage' END AS cause FROM c),
- r0 AS (SELECT *, list_filter([CASE WHEN n_gold < 1 THEN 'empty_gold_path' END, CASE WHEN n_covered = 0 THEN 'missing_evidence_edges' END, CASE WHEN n_labelled = 0 THEN cause END], lambda x: x IS NOT NULL) AS r,
-   list_filter([CASE WHEN edge_coverage < 1.0 THEN cause END, CASE WHEN edge_coverage < 1.0 THEN 'gold_edge_coverage_below_threshold' END, CASE WHEN label_ratio < 0.8 THEN cause END, CASE WHEN label_ratio < 0.8 THEN 'labeled_token_ratio_below_threshold' END], lambda x: x IS NOT NULL) AS s FROM d),
- td AS (SELECT *, CASE WHEN len(r) > 0 THEN 'reject' WHEN len(s) > 0 THEN 'silver' ELSE 'goldish' END AS tier, CASE WHEN len(r) > 0 THEN {S.distinct('r')} WHEN len(s) > 0 THEN {S.distinct('s')} ELSE ['passed_goldish_gate'] END AS reasons FROM r0)"""
+def _score_sql():
+    """CTE es (k, edge_id, score, first_pos): each edge of the evidence against its record's text, behind ``record_evidence_ctes``."""
+    longer = lambda c: f"list_filter(string_split({c}, ' '), lambda w: length(w) > 2)"
+    got = lambda c: f"list_filter({longer(c)}, lambda w: contains(t, w))"
+    score = lambda c: f"CASE WHEN {c} = '' THEN 0.0 WHEN contains(t, {c}) THEN 1.0 WHEN len({longer(c)}) > 0 THEN len({got(c)}) / len({longer(c)})::DOUBLE ELSE 0.0 END"
+    pos = lambda c: f"CASE WHEN {c} = '' THEN length(t) WHEN contains(t, {c}) THEN strpos(t, {c}) - 1 ELSE coalesce(list_min(list_transform({got(c)}, lambda w: strpos(t, w) - 1)), length(t)) END"
+    lit = "id <> '' AND contains(t, id)"
+    cited = "list_filter(pmids, lambda p: contains(t, p))"
+    return f"""tx2 AS MATERIALIZED (SELECT record_id AS k, {_AL("concat_ws(' ', question, answer, reasoning)")} AS t FROM qa_records),
+ es0 AS (SELECT ev2.k, edge_id, {_AL('edge_id')} AS id, {_AL(S.humanized('head'))} AS h, {_AL(S.humanized('tail'))} AS ta, {_AL("CASE WHEN display_relation <> '' THEN display_relation ELSE relation END")} AS r, {_AL('relation')} AS rr, pmids, t FROM ev2 JOIN tx2 USING (k)),
+ es AS MATERIALIZED (SELECT k, edge_id, round(CASE WHEN {lit} THEN 100.0 ELSE 0.0 END + 2.0 * {score('h')} + 2.0 * {score('ta')} + {score('r')} + least(0.3 * len({got('rr')}), 1.2) + len({cited}), 6)::DOUBLE AS score,
+   least(length(t), {pos('h')}, {pos('ta')}, {pos('r')}, CASE WHEN {lit} THEN strpos(t, id) - 1 ELSE length(t) END, coalesce(list_min(list_transform({cited}, lambda p: strpos(t, p) - 1)), length(t)))::INT AS first_pos FROM es0)"""
+
+
+def _tiers_sql():
+    """CTEs up to td: the tier of each record by the evidence retrieved for its question."""
+    edges = "list([head, tail] ORDER BY pos)"
+    return f"""WITH RECURSIVE {record_evidence_ctes()}, {_score_sql()},
+ nm0 AS (SELECT record_id AS k, list_filter(list_transform(coalesce(direct_edge_ids, []::VARCHAR[]), lambda x: {S.edge_id('x')}), lambda x: x IS NOT NULL) AS l FROM qa_records),
+ nm AS MATERIALIZED (SELECT k, edge_id, min(i) AS pos FROM (SELECT k, unnest(l) AS edge_id, unnest(range(len(l))) AS i FROM nm0) GROUP BY 1, 2),
+ gd AS MATERIALIZED (SELECT k, edge_id, pos FROM nm UNION ALL SELECT k, edge_id, row_number() OVER (PARTITION BY k ORDER BY first_pos, -score, edge_id) FROM es ANTI JOIN nm USING (k) WHERE score >= 3.0),
+ gg AS (SELECT gd.k, count(*) AS n_gold, count(head) AS n_covered, count(*) - count(head) AS n_missing FROM gd LEFT JOIN ev2 ON ev2.k = gd.k AND ev2.edge_id = gd.edge_id GROUP BY 1),
+ gl AS (SELECT k, {node_path_sql('l')} AS path FROM (SELECT gd.k, {edges} AS l FROM gd JOIN ev2 ON ev2.k = gd.k AND ev2.edge_id = gd.edge_id GROUP BY 1)),
+ en AS MATERIALIZED (SELECT DISTINCT k, unnest([head, tail]) AS node FROM ev2), mk AS MATERIALIZED (SELECT k FROM en GROUP BY 1 HAVING count(*) > 256),
+ w2 AS MATERIALIZED (SELECT DISTINCT k, head, tail, 1 AS weight FROM ev2 SEMI JOIN mk USING (k)), {rank_ctes('z', 'w2', 'seeds')},
+ sl AS MATERIALIZED (SELECT k, node FROM en ANTI JOIN mk USING (k) UNION ALL SELECT k, node FROM (SELECT k, node FROM prz QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(score, 9) DESC, node) <= 256)),
+ gn2 AS (SELECT DISTINCT k, unnest(path) AS node FROM gl), nl AS (SELECT g.k, count(*) AS n_nodes, count(e.node) AS n_present, count(s.node) AS n_labelled, count(*) FILTER (e.node IS NOT NULL AND s.node IS NULL) AS n_pruned FROM gn2 g LEFT JOIN en e ON e.k = g.k AND e.node = g.node LEFT JOIN sl s ON s.k = g.k AND s.node = g.node GROUP BY 1),
+ c2 AS (SELECT r.k, coalesce(n_gold, 0) AS n_gold, coalesce(n_covered, 0) AS n_covered, coalesce(n_missing, 0) AS n_missing, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_present, 0) AS n_present, coalesce(n_labelled, 0) AS n_labelled, coalesce(n_pruned, 0) AS n_pruned, coalesce(ne, 0) AS n_ev, r.k IN (SELECT k FROM seeds) AS seeded
+   FROM (SELECT DISTINCT record_id AS k FROM qa_records) r LEFT JOIN gg ON gg.k = r.k LEFT JOIN nl ON nl.k = r.k LEFT JOIN (SELECT k, count(*) AS ne FROM ev2 GROUP BY 1) x ON x.k = r.k),
+ d2 AS (SELECT *, CASE WHEN n_gold > 0 THEN n_covered / n_gold::DOUBLE ELSE 0.0 END AS edge_coverage, CASE WHEN n_nodes > 0 THEN n_present / n_nodes::DOUBLE ELSE 0.0 END AS node_coverage, CASE WHEN n_nodes > 0 THEN n_labelled / n_nodes::DOUBLE ELSE 0.0 END AS label_ratio,
+   CASE WHEN n_gold = 0 THEN 'empty_gold_path' WHEN n_missing > 0 THEN 'missing_edge_mapping' WHEN n_pruned > 0 THEN 'missing_due_to_ppr_pruning' WHEN n_present < n_nodes OR NOT seeded THEN 'missing_entity_link' ELSE 'insufficient_gold_path_coverage' END AS cause FROM c2),
+ r2 AS (SELECT *, list_filter([CASE WHEN n_gold < 1 THEN 'empty_gold_path' END, CASE WHEN n_ev = 0 THEN 'missing_evidence_edges' END, CASE WHEN n_labelled = 0 THEN cause END], lambda x: x IS NOT NULL) AS r,
+   list_filter([CASE WHEN edge_coverage < 1.0 THEN cause END, CASE WHEN edge_coverage < 1.0 THEN 'gold_edge_coverage_below_threshold' END, CASE WHEN node_coverage < 0.8 THEN cause END, CASE WHEN node_coverage < 0.8 THEN 'gold_node_coverage_below_threshold' END, CASE WHEN label_ratio < 0.8 THEN cause END, CASE WHEN label_ratio < 0.8 THEN 'labeled_token_ratio_below_threshold' END], lambda x: x IS NOT NULL) AS s FROM d2),
+ td AS (SELECT *, CASE WHEN len(r) > 0 THEN 'reject' WHEN len(s) > 0 THEN 'silver' ELSE 'goldish' END AS tier, CASE WHEN len(r) > 0 THEN {S.distinct('r')} WHEN len(s) > 0 THEN {S.distinct('s')} ELSE ['passed_goldish_gate'] END AS reasons FROM r2)"""
 
 
 def faithful(table, id_, answer):
@@ -220,17 +249,17 @@ def decoded_ctes():
     """CTEs up to rk: k, rank, nodes, edges, confidence, ranking of the best paths."""
     grow = "".join(
         f""",
- g{i} AS (SELECT b.k, list_append(b.nodes, s.tail) AS nodes, list_append(b.edges, s.edge_id) AS edges, list_append(b.weights, s.weight) AS weights, s.end_score FROM b{i - 1} b JOIN st s ON s.k = b.k AND s.head = b.nodes[-1] WHERE NOT list_contains(b.nodes, s.tail)),
+ g{i} AS (SELECT b.k, list_append(b.nodes, s.tail) AS nodes, list_append(b.edges, s.edge_id) AS edges, list_append(b.weights, s.weight) AS weights, s.end_score FROM b{i - 1} b JOIN dst s ON s.k = b.k AND s.head = b.nodes[-1] WHERE NOT list_contains(b.nodes, s.tail)),
  p{i} AS MATERIALIZED (SELECT k, nodes, edges, weights, round(conf * end_score, 12) AS ranking, conf AS confidence FROM (SELECT *, round({'weights[1]' if i == 1 else 'weights[1] * weights[2]' if i == 2 else 'weights[1] * weights[2] * weights[3] * weights[1] * weights[3]'}, 12) AS conf FROM g{i})),
  b{i} AS (SELECT * FROM p{i} QUALIFY row_number() OVER (PARTITION BY k ORDER BY ranking DESC, nodes, edges) <= {reasoning.BEAM})"""
         for i in range(1, reasoning.EDGES_MOST + 1)
     )
     every = " UNION ALL ".join(f"SELECT k, nodes, edges, confidence, ranking FROM {t}" for t in ("b0", "p1", "p2", "p3"))
-    return f"""{BUNDLE}, n AS (SELECT k, node, count(*) AS n FROM (SELECT k, unnest([head, tail]) AS node FROM be) GROUP BY 1, 2), sc AS (SELECT k, node, n / (max(n) OVER (PARTITION BY k))::DOUBLE AS score FROM n),
- ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, node) AS r FROM sc QUALIFY r <= {reasoning.CANDIDATES}),
- st AS MATERIALIZED (SELECT be.k, be.edge_id, be.head, be.tail, reliability * confidence AS weight, ca.score AS end_score FROM be JOIN ca ON ca.k = be.k AND ca.node = be.tail),
+    return f"""{BUNDLE}, dn AS (SELECT k, node, count(*) AS n FROM (SELECT k, unnest([head, tail]) AS node FROM be) GROUP BY 1, 2), dsc AS (SELECT k, node, n / (max(n) OVER (PARTITION BY k))::DOUBLE AS score FROM dn),
+ ca AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, node) AS r FROM dsc QUALIFY r <= {reasoning.CANDIDATES}),
+ dst AS MATERIALIZED (SELECT be.k, be.edge_id, be.head, be.tail, reliability * confidence AS weight, ca.score AS end_score FROM be JOIN ca ON ca.k = be.k AND ca.node = be.tail),
  b0 AS (SELECT k, [node] AS nodes, []::VARCHAR[] AS edges, []::DOUBLE[] AS weights, score AS ranking, score AS confidence FROM ca WHERE r <= {reasoning.BEAM}){grow},
- al AS ({every}), rk AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY len(edges) DESC, ranking DESC, confidence DESC, nodes, edges))::INT AS rank FROM al QUALIFY rank <= {reasoning.TOP_PATHS})"""
+ dal AS ({every}), rk AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY len(edges) DESC, ranking DESC, confidence DESC, nodes, edges))::INT AS rank FROM dal QUALIFY rank <= {reasoning.TOP_PATHS})"""
 
 
 def oracle_sql():
@@ -248,13 +277,13 @@ def oracle_sql():
           SELECT round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1 FROM y""",
         "mcnemar": f"""SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 0.0 ELSE pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b) END, 6) AS chi_square FROM (SELECT count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM (SELECT length(coalesce(answer, '')) > 20 AS a, len({S.claims('reasoning')}) > 3 AS b FROM qa_records))""",
         "latency_percentiles": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
-        "triage_buckets": f"""WITH {_GP}, r AS (SELECT record_id, coalesce(n_gold, 0) AS named, length({S.normal('question')}) > 0 AS q, len({S.claims('answer')})::BIGINT AS labels FROM qa_records LEFT JOIN gp ON k = record_id),
-          s AS (SELECT record_id AS sample_id, (named > 1)::INT + (named > 0)::INT + q::INT AS successes, 3 AS passes, named AS max_nodes, labels AS max_labels FROM r)
-          SELECT sample_id, successes::BIGINT AS successes, passes::BIGINT AS passes, max_nodes, max_labels, CASE WHEN successes = 3 AND max_labels > 0 THEN 'stable_graph' WHEN successes >= 2 THEN 'threshold_a' WHEN successes = 1 OR max_nodes > 0 THEN 'threshold_b' ELSE 'hard_absent' END AS bucket FROM s""",
         "answer_faithfulness": f"WITH {faithful('eval_examples', 'eval_id', 'gold_answer')} SELECT eval_id, round(faithfulness, 6) AS faithfulness FROM fa",
-        "record_tiers": f"{_TIERS} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
-        "tier_summary": f"{_TIERS} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(label_ratio), 6) AS mean_label_ratio FROM td GROUP BY ROLLUP (tier)",
-        "top_failure_reasons": f"{_TIERS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
+        "record_tiers": f"{_tiers_sql()} SELECT k, round(edge_coverage, 6) AS edge_coverage, round(node_coverage, 6) AS node_coverage, round(label_ratio, 6) AS label_ratio, tier, array_to_string(reasons, ',') AS reasons FROM td",
+        "tier_summary": f"{_tiers_sql()} SELECT coalesce(tier, 'all') AS tier, count(*) AS n, round(avg(edge_coverage), 6) AS mean_edge_coverage, round(avg(node_coverage), 6) AS mean_node_coverage, round(avg(label_ratio), 6) AS mean_label_ratio, sum(n_labelled)::BIGINT AS n_labelled FROM td GROUP BY ROLLUP (tier)",
+        "tier_reasons": f"{_tiers_sql()} SELECT tier, reason, count(*) AS n FROM (SELECT tier, unnest(reasons) AS reason FROM td) GROUP BY 1, 2",
+        "top_failure_reasons": f"{_tiers_sql()} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM td WHERE tier <> 'goldish') GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",
+        "edge_mapping_scores": f"WITH RECURSIVE {record_evidence_ctes()}, {_score_sql()} SELECT k, edge_id, score, first_pos FROM es",
+        "mapped_edges": f"WITH RECURSIVE {record_evidence_ctes()}, {_score_sql()} SELECT k, string_agg(edge_id, ',' ORDER BY first_pos, -score, edge_id) AS edge_ids FROM es WHERE score >= 3.0 GROUP BY 1",
         "decoded_paths": f"WITH {decoded_ctes()} SELECT k, rank, array_to_string(nodes, '>') AS nodes, array_to_string(edges, ',') AS edges, round(confidence, 6) AS confidence, round(ranking, 6) AS ranking FROM rk",
         "path_answers": f"""WITH {decoded_ctes()}, st1 AS (SELECT k, confidence, edges, unnest(edges) AS edge_id, unnest(range(len(edges))) AS i FROM rk WHERE rank = 1),
           sy AS (SELECT k, string_agg({S.humanized('head')} || ' ' || display_relation || ' ' || {S.humanized('tail')} || ' [edge:' || edge_id || '].', ' ' ORDER BY i) AS said FROM st1 JOIN e USING (edge_id) GROUP BY 1)

@@ -21,15 +21,54 @@ def test_records(spark, tmp_path):
     assert rows(readers.read_folder(spark, str(tmp_path / "d"), "test")) == [(9,)]
 
 
-def test_layouts(spark):
-    one = spark.createDataFrame([("drug:a", "drug:b", "Drug_Drug", "x|7, 8;n"), ("", "b", "r", "")], "head_id string, target_id string, predicate string, pubmed_ids string")
-    r = readers.edges_from_table(one).collect()
-    assert len(r) == 1 and r[0]["relation"] == "drug_drug" and r[0]["supporting_pmids"] == ["7", "8"] and r[0]["edge_id"].startswith("drug:a|drug_drug|drug:b|")
+HEAD = "x_id,source_id,y_id,x_name,y_name,x_type,y_type,relation,display_relation,resource,pubmed_ids,x_cui\n"
+
+
+def test_layouts(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "one" / "primekg.csv").write_text(HEAD + "drug:a,zz,drug:b,A,,drug,,drug_drug,,DrugBank,x|7; 8 n, c0043031 \n,,drug:c,,,,,r_q,Shown,,,\nq,,w,,,,,odd,o,,,\n")
+    assert readers.graph_layout(spark, str(tmp_path / "one")) == ("one_table", [f"{tmp_path}/one/primekg.csv"])
+    r = readers.read_graph(spark, str(tmp_path / "one")).orderBy("row_index").collect()
+    assert [x["edge_id"] for x in r] == ["drug:a|drug_drug|drug:b|0", "node:1:head|r_q|drug:c|1", "q|odd|w|2"]  # x_id comes before source_id
+    assert r[0]["supporting_pmids"] == ["7", "8"] and r[0]["source_reliability"] == 0.95 and r[0]["display_relation"] == "drug drug" and r[1]["head_name"] == "node:1:head" and r[1]["source"] == "primekg" and r[1]["head_type"] == "other"
+    some = readers.read_graph(spark, str(tmp_path / "one"), ["r_q", "odd"], 1).collect()
+    assert len(some) == 1 and some[0]["row_index"] == 1  # the limit counts accepted rows, the number all rows
+    assert rows(readers.concept_index(readers.read_graph(spark, str(tmp_path / "one")))) == [("C0043031", "drug:a")]
     with pytest.raises(ValueError):
         readers.edges_from_table(spark.createDataFrame([("a",)], "x string"))
-    n = spark.createDataFrame([("0", "drug:a", ""), ("1", "drug:b", "go")], "node_index string, node_id string, node_source string")
-    e = spark.createDataFrame([("r", "d", "0", "1"), ("r", "d", "0", "5")], "relation string, display_relation string, x_index string, y_index string")
-    assert rows(readers.edges_from_two_tables(n, e).select("head", "tail", "source")) == [("drug:a", "drug:b", "go")]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "nodes.csv").write_text("node_index,node_id,node_name,node_type,node_source\n0,drug:a,A,drug,\n1,drug:b,B,drug,go\n")
+    (tmp_path / "two" / "edges.csv").write_text("relation,display_relation,x_index,y_index\nr,d,0,1\nr,d,0,5\n")
+    assert readers.graph_layout(spark, str(tmp_path / "two"))[0] == "two_tables"
+    assert rows(readers.read_graph(spark, str(tmp_path / "two")).select("edge_id", "head_name", "source", "source_reliability")) == [("drug:a|r|drug:b|0", "A", "go", 0.84)]
+    assert readers.graph_layout(spark, str(tmp_path / "none")) == ("missing", []) and readers.read_graph(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_row_numbers_do_not_depend_on_tasks(spark):
+    df = spark.range(0, 100, 1, 7).select(F.col("id").alias("x"))
+    assert all(r["x"] == r["row_index"] for r in readers.numbered(df).collect())
+
+
+def test_folders_and_traces(spark, tmp_path):
+    d = tmp_path / "set"
+    d.mkdir()
+    (d / "test_a.jsonl").write_text('{"id": 1}\n')
+    (d / "test_b.csv").write_text("id,q\n2,z\n")
+    (d / "train.jsonl").write_text('{"id": 3}\n')
+    (d / "dataset-metadata.json").write_text('{"title": "x"}')
+    assert sorted(int(r["id"]) for r in readers.read_folder(spark, str(d), "test").select(F.col("id").cast("int").alias("id")).collect()) == [1, 2]
+    assert readers.named_dataset(spark, str(tmp_path), "set") == f"{tmp_path}/set"
+    with pytest.raises(ValueError):
+        readers.named_dataset(spark, str(tmp_path), "other")
+    u = tmp_path / "unsplit"
+    u.mkdir()
+    (u / "all.jsonl").write_text("".join(f'{{"id": {i}}}\n' for i in range(20)))
+    assert readers.read_folder(spark, str(u), "dev", "id").count() == 1
+    t = {"sample_id": "q1", "question": "Why?", "gold_answer": "x", "question_type": {"predicted": "other"}, "primekg_retrieval": {"top_edges": [{"edge_id": "E1", "head": "a", "tail": "b", "relation": "r"}]}, "pubmed_retrieval": {"passages": [{"pmid": "1", "title": "t"}]}}
+    (tmp_path / "t.json").write_text(json.dumps(t, indent=1))
+    q, e, p = readers.read_traces(spark, str(tmp_path / "t.json"))
+    assert q.first()["question_type"] == "other" and e.first()["edge_id"] == "E1" and p.first()["pmid"] == "1"
 
 
 def test_positional_split(spark):
@@ -52,6 +91,22 @@ def test_xml_and_cache(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "goldish"), (2, "reject"), (3, "reject")], "id int, tier string")
     assert rows(sinks.write_tiers(df, str(tmp_path / "t"))) == [("goldish", 1), ("reject", 2)]
+    full = df.withColumn("edge_coverage", F.lit(0.5)).withColumn("reasons", F.array(F.lit("r")))
+    got = {r["tier"]: r for r in sinks.write_tiers(full, str(tmp_path / "t2")).collect()}
+    assert got["reject"]["mean_edge_coverage"] == 0.5 and got["reject"]["reasons"] == {"r": 2}
+    sinks.write_with_dead_letters(df, F.when(F.col("id") > 2, "late"), str(tmp_path / "d"), "id", 1)
+    assert rows(spark.read.json(str(tmp_path / "d/saved")).select("id")) == [(1,)]
+    v = sinks.write_codebook(spark.createDataFrame([(0, [1.0])], "code_id int, vec array<double>"), str(tmp_path / "cb"), {"size": 1})
+    assert v.startswith("cb-") and sinks.read_codebook(spark, str(tmp_path / "cb"), {"size": 1}).count() == 1
+    with pytest.raises(ValueError):
+        sinks.read_codebook(spark, str(tmp_path / "cb"), {"size": 2})
+    sinks.append_events(spark.sql("select timestamp'2024-01-01' timestamp, 'l' layer, 'e' event, '{}' data, 's' session_id"), str(tmp_path / "log"))
+    sinks.write_metrics(df.agg(F.count("*").alias("n")), str(tmp_path / "m"))
+    sinks.write_training_rows(df, str(tmp_path / "rows"), {"seq_len": 256})
+    assert spark.read.json(str(tmp_path / "log")).count() == 1 and spark.read.json(str(tmp_path / "m")).first()["n"] == 3 and spark.read.text(str(tmp_path / "rows/dataset")).count() == 1
+    one = lambda c: spark.createDataFrame([(1, 0, "x")], f"k int, pos int, {c} string")
+    sinks.write_trace(df.select(F.col("id").alias("k")), one("edge_id"), one("pmid"), str(tmp_path / "tr"))
+    assert spark.read.json(str(tmp_path / "tr")).count() == 3
     sinks.write_with_dead_letters(df, F.when(F.col("id") > 2, "late"), str(tmp_path / "d"))
     assert spark.read.json(str(tmp_path / "d/saved")).count() == 2 and spark.read.json(str(tmp_path / "d/skipped")).first()["skip_reason"] == "late"
     assert [r["value"] for r in sinks.markdown_report(df, "x").collect()][:2] == ["# x", "| id | tier |"]

@@ -1,4 +1,8 @@
-"""DuckDB SQL of the queries that SQL can express: exact components, trigram sets and overlaps, for small tables."""
+"""DuckDB SQL of the queries that SQL can express: exact components, trigram sets and overlaps, for small tables.
+
+DuckDB has canonical normalisation only; of the compatibility characters those of the full-width ASCII range and the micro
+sign are mapped.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,12 @@ def body(c: str) -> str:
     return f"regexp_extract(coalesce({c}, ''), '(?is)^(.*?)(?:(?:^|[\\n\\r])[ \\t]*options:.*)?$', 1)"
 
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("＇", "") + "\u00b5"
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "") + "\u03bc"
+
+
 def words(c: str) -> str:
-    return f"regexp_extract_all(lower(nfc_normalize({c})), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(lower(nfc_normalize(translate({c}, '{_WIDE}', '{_PLAIN}'))), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def grams(w: str) -> str:

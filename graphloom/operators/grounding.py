@@ -164,7 +164,7 @@ def guardian(rollup: DataFrame, entity_confidence: Column, entities_valid: Colum
     entity = F.when(entities_valid, entity_confidence).otherwise(entity_confidence * 0.5)
     ground = F.greatest(F.lit(0.0), F.col("faithfulness") - 0.05 * F.col("n_bad"))
     logic = F.when(sound, soundness).otherwise(soundness * 0.75)
-    conf = F.round(clamp(ENTITY_SHARE * entity + GROUNDING_SHARE * ground + SOUNDNESS_SHARE * logic), 6)
+    conf = F.round(clamp(ENTITY_SHARE * entity + GROUNDING_SHARE * ground + SOUNDNESS_SHARE * logic), 9)
     return rollup.withColumn("confidence", conf).withColumn(
         "decision",
         F.when(F.col("h5") | (F.col("confidence") < ABSTAIN), "ABSTAIN").when(~entities_valid | ~sound | (F.col("n_bad") > 0) | (F.col("confidence") < ACCEPT), "REVISE").otherwise("ACCEPT"),

@@ -57,7 +57,7 @@ def guardian_decision(spark, d):
     v = judges.validate_entities(_questions(x), entities).select("k", "valid", F.col("confidence").alias("entity_confidence"))
     r = grounding.grounding_rollup(_questions(x), grounding.ground_claims(x.claims(), x.evidence())).join(v, "k").join(sound, "k")
     score = (F.col("rcs") + F.col("rns") + F.col("cdr")) / 3
-    return grounding.guardian(r, F.col("entity_confidence"), F.col("valid"), score, F.col("sound")).select("k", F.round("confidence", 4).alias("confidence"), "decision")
+    return grounding.guardian(r, F.col("entity_confidence"), F.col("valid"), score, F.col("sound")).select("k", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "decision")
 
 
 def path_claims(spark, d):
@@ -282,8 +282,8 @@ def oracle_sql():
         "entity_validation": f"WITH {EDGES}{_ENT}, {_Q}, {_VALID} SELECT k, valid, array_to_string(missing, ',') AS missing, array_to_string(mislinked, ',') AS mislinked, round(econf, 6) AS confidence FROM va",
         "path_soundness": f"WITH {decoded_ctes()}{_ENT}, {_Q}, {_CLASH}, {_SOUND} SELECT k, sound, array_to_string(gaps, ',') AS gaps, round(rcs, 6) AS rcs, round(rns, 6) AS rns, round(cdr, 6) AS cdr FROM so",
         "guardian_decision": f"""WITH {decoded_ctes().replace(BUNDLE, BUNDLE + rollup.replace('rf AS (', 'rfz AS MATERIALIZED (').replace(' c AS (', ' gcx AS (').replace('FROM c ', 'FROM gcx c ').replace(' v AS (', ' gvx AS (').replace('JOIN v ', 'JOIN gvx v '))}{_ENT}, {_Q}, {_CLASH}, {_SOUND}, {_VALID},
-          gd AS (SELECT r.*, valid, sound, round(greatest(0.0, least(1.0, 0.25::DOUBLE * CASE WHEN valid THEN econf ELSE econf * 0.5::DOUBLE END + 0.45::DOUBLE * greatest(0.0::DOUBLE, faithfulness - 0.05::DOUBLE * n_bad) + 0.30::DOUBLE * CASE WHEN sound THEN (rcs + rns + cdr) / 3 ELSE (rcs + rns + cdr) / 3 * 0.75::DOUBLE END)), 6) AS confidence FROM rfz r JOIN so USING (k) JOIN va USING (k))
-          SELECT k, round(confidence, 4) AS confidence, CASE WHEN h5 OR confidence < 0.4 THEN 'ABSTAIN' WHEN NOT valid OR NOT sound OR n_bad > 0 OR confidence < 0.75 THEN 'REVISE' ELSE 'ACCEPT' END AS decision FROM gd""",
+          gd AS (SELECT r.*, valid, sound, round(greatest(0.0, least(1.0, 0.25::DOUBLE * CASE WHEN valid THEN econf ELSE econf * 0.5::DOUBLE END + 0.45::DOUBLE * greatest(0.0::DOUBLE, faithfulness - 0.05::DOUBLE * n_bad) + 0.30::DOUBLE * CASE WHEN sound THEN (rcs + rns + cdr) / 3 ELSE (rcs + rns + cdr) / 3 * 0.75::DOUBLE END)), 9) AS confidence FROM rfz r JOIN so USING (k) JOIN va USING (k))
+          SELECT k, round(confidence + 1e-9::DOUBLE, 6) AS confidence, CASE WHEN h5 OR confidence < 0.4 THEN 'ABSTAIN' WHEN NOT valid OR NOT sound OR n_bad > 0 OR confidence < 0.75 THEN 'REVISE' ELSE 'ACCEPT' END AS decision FROM gd""",
         "path_claims": f"""WITH {decoded_ctes()}, {_Q}, ps1 AS (SELECT k, rank, unnest(edges) AS edge_id, unnest(range(len(edges))) AS i FROM rk), ps2 AS (SELECT ps1.k, list({S.humanized('head')} || ' ' || lower(coalesce(display_relation, '')) || ' ' || {S.humanized('tail')} || '.' ORDER BY rank, i) AS l FROM ps1 JOIN be ON be.k = ps1.k AND be.edge_id = ps1.edge_id GROUP BY 1),
           ps3 AS (SELECT qq.k, coalesce(l, ['Retrieved evidence is relevant to ' || coalesce(text, '') || '.']) AS l FROM qq LEFT JOIN ps2 USING (k)) SELECT k, array_to_string(({S.distinct('l')})[1:5], ' ') AS claims FROM ps3""",
         "revised_answers": f"""WITH {GROUND}, rv AS (SELECT c.k, string_agg(CASE WHEN ev <> 'none' AND NOT contains(claim, ev) THEN claim || ' [' || ev || ']' ELSE claim END, ' ' ORDER BY vd.claim_pos) AS n FROM vd JOIN c ON c.k = vd.k AND c.claim_pos = vd.claim_pos WHERE verdict = 'supported' GROUP BY 1)

@@ -83,23 +83,36 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
 def bootstrap_mean(df: DataFrame, value: str, draws: int = 1000, seed: int = 13, level: float = 0.95) -> DataFrame:
     """n, mean, low, high: a percentile interval of the mean by the Poisson bootstrap.
 
-    Each row draws its weight in every replicate from its own key, in the partition that holds it; only the replicates'
-    sums leave a task, so any number of rows can be resampled.  Needs a column ``row_key`` that is unique.  No rows give
+    Each row's weight in every replicate is a function of its key, whatever task holds it; a block of rows draws them as one
+    matrix, and only the replicates' sums leave a task, so any number of rows can be resampled.  Needs a column ``row_key`` that is unique.  No rows give
     nulls.
     """
     def weigh(batches):
         import numpy as np
         import pyarrow as pa
 
-        s = np.zeros(draws)
-        w = np.zeros(draws)
+        u = np.uint64
+        s, w = np.zeros(draws), np.zeros(draws)
+        steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+        lane = np.arange(draws, dtype=u) * u(0x9E3779B97F4A7C15)
+
+        def mix(x):
+            x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+            return x ^ (x >> u(31))
+
         for b in batches:
-            for k, v in zip(b.column("row_key").to_pylist(), b.column("v").to_pylist()):
-                if v is None:
-                    continue
-                x = np.random.default_rng([seed, k & 0xFFFFFFFF, k >> 32 & 0xFFFFFFFF]).poisson(1.0, draws)
-                s += x * v
-                w += x
+            v = b.column("v").to_numpy(zero_copy_only=False)
+            k = b.column("row_key").to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero(~np.isnan(v))
+            for i in range(0, len(ok), 1024):
+                at = ok[i : i + 1024]
+                with np.errstate(over="ignore"):
+                    base = mix(k[at].astype(np.int64).view(u) + u(seed) * u(0xD1342543DE82EF95))
+                    x = (mix(base[:, None] + lane[None, :]) >> u(11)).astype(float) / 2.0**53
+                n = np.searchsorted(steps, x.ravel(), side="right").reshape(x.shape).astype(float)
+                s += v[at] @ n
+                w += n.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(s), pa.array(w)], ["draw", "s", "w"])
 
     src = df.select(F.col("row_key").cast("bigint").alias("row_key"), F.col(value).cast("double").alias("v"))

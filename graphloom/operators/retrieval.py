@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..workspace import Workspace
 
 
 def min_max(score: str, by: list[str]) -> Column:
@@ -16,12 +17,71 @@ def min_max(score: str, by: list[str]) -> Column:
     return F.when(high == low, F.when(high == 0, 0.0).otherwise(1.0)).otherwise((F.col(score) - low) / (high - low))
 
 
+#: A question with at most so many candidates is scored in one step of a task; larger corpora by joins, to the same scores.
+CORPUS_AT_ONCE = 2000
+
+
 def bm25(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """k, doc, bm25 of every candidate (k, doc, text) for its query (k, text); the corpus is the query's candidates.
 
     Okapi with k1 1.5, b .75; a negative idf becomes .25 of the mean idf of the corpus's terms.  A query term that
-    repeats counts each time.  Candidates without a query term score 0.  Null texts are empty.
+    repeats counts each time.  Candidates without a query term score 0.  Null texts are empty.  Candidates come
+    together with their query in one shuffle by k; a task holds one question's candidates at a time.
     """
+    work = Workspace(queries.sparkSession, "bm25")
+    c = work.keep(candidates.select("k", "doc", "text"), "candidates")
+    large = work.keep(c.groupBy("k").count().where(F.col("count") > CORPUS_AT_ONCE).select("k"), "large")
+    asked = queries.select("k", F.col("text").alias("asked"))
+    some = not large.isEmpty()
+    rows = (c.join(large, "k", "left_anti") if some else c).join(asked, "k", "left").repartition("k").sortWithinPartitions("k", "doc")
+    small = rows.mapInArrow(_score_groups, f"k {dict(c.dtypes)['k']}, doc {dict(c.dtypes)['doc']}, bm25 double")
+    return small.unionByName(_bm25_by_joins(queries, c.join(large, "k", "left_semi"))) if some else small
+
+
+def _score_groups(batches):
+    """Scores of rows sorted by k, a question at a time."""
+    import math
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    find = re.compile("[A-Za-z0-9-]+").findall
+    schema = None
+
+    def score(k, asked, docs):
+        tf = [Counter(w.lower() for w in find(t or "")) for _, t in docs]
+        size = [sum(f.values()) for f in tf]
+        n, mean = len(docs), sum(size) / len(docs)
+        df = Counter(w for f in tf for w in f)
+        idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+        floor = K.BM25_EPSILON * sum(idf.values()) / len(idf) if idf else 0.0
+        times = Counter(w.lower() for w in find(asked or ""))
+        weight = {w: m * (idf[w] if idf[w] >= 0 else floor) for w, m in times.items() if w in idf}
+        for (doc, _), f, length in zip(docs, tf, size):
+            norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * length / mean) if mean else 0.0
+            yield k, doc, sum(x * f[w] * (K.BM25_K1 + 1) / (f[w] + norm) for w, x in weight.items() if w in f)
+
+    at, asked, docs, out = None, None, [], []
+    for b in batches:
+        schema = pa.schema([b.schema.field("k"), b.schema.field("doc"), pa.field("bm25", pa.float64())])
+        for k, doc, text, q in zip(*(b.column(c).to_pylist() for c in ("k", "doc", "text", "asked"))):
+            if docs and k != at:
+                out += score(at, asked, docs)
+                docs = []
+            at, asked = k, q
+            docs.append((doc, text))
+        if len(out) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out = []
+    if docs:
+        out += score(at, asked, docs)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+def _bm25_by_joins(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``bm25`` for corpora of any size."""
     words = candidates.select("k", "doc", T.bm25_tokens(F.col("text")).alias("w"))
     sizes = words.select("k", "doc", F.size("w").alias("len"))
     corpus = sizes.groupBy("k").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -60,17 +120,17 @@ def top_passages(scored: DataFrame, most: int = K.TOP_PASSAGES) -> DataFrame:
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, most: int, block: int = 2048) -> DataFrame:
     """query_id, vec_id, cosine of the ``most`` most similar vectors of each query, the query itself left out.
 
-    ``queries`` (vec_id, embedding) is a stated set that is collected in blocks of ``block`` rows; each block meets all
-    vectors in one pass of matrix products, and every task keeps its best ``most`` a query, so the shuffle has at most
-    tasks x queries x ``most`` rows.  Null embeddings and zero vectors have no neighbours.
+    ``queries`` (vec_id, embedding) is a stated set that is collected in blocks of ``block`` rows, one after the other; each
+    block meets all vectors in one pass of matrix products, its rows are written, and its broadcast is dropped before the
+    next.  Every task keeps its best ``most`` a query, so a pass has at most tasks x ``block`` x ``most`` rows.  Null embeddings and zero vectors have no neighbours.
     """
     import numpy as np
 
     spark = vectors.sparkSession
-    ids = [r["vec_id"] for r in queries.where("embedding is not null").select("vec_id").orderBy("vec_id").collect()]
-    parts = None
-    for at in range(0, len(ids), block):
-        rows = queries.where(F.col("vec_id").between(ids[at], ids[min(at + block, len(ids)) - 1])).where("embedding is not null").orderBy("vec_id").select("vec_id", "embedding").collect()
+    work, parts, last = Workspace(spark, "nearest"), None, None
+    asked = queries.where("embedding is not null and vec_id is not null").select("vec_id", "embedding")
+    while rows := (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect():
+        last = rows[-1]["vec_id"]
         q = np.array([r["embedding"] for r in rows], np.float64)
         norm = np.linalg.norm(q, axis=1)
         keep = norm > 0
@@ -99,21 +159,29 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, most: int, block: in
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best_s.shape)[f]), pa.array(best_i[f]), pa.array(best_s[f])], ["query_id", "vec_id", "cosine"])
 
         got = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, cosine double")
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "vec_id")
+        got = work.keep(got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r"), "pass")
+        held.destroy()
         parts = got if parts is None else parts.unionByName(got)
     if parts is None:
         return spark.createDataFrame([], "query_id bigint, vec_id bigint, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "vec_id")
-    return parts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    return parts
+
+
+#: Codes of a code book.
+MOST_CODES = 65_536
 
 
 def quantize(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
     """vec_id, code_id, distance: the nearest codeword of each vector, the smaller id on a tie.
 
-    The code book (code_id, vec) is a fixed table of a few thousand rows; it is broadcast as one matrix.
+    The code book (code_id, vec) is a fixed table of at most MOST_CODES rows, or an error; it is broadcast as one matrix.
     """
     import numpy as np
 
-    rows = codebook.orderBy("code_id").select("code_id", "vec").collect()
+    rows = codebook.orderBy("code_id").select("code_id", "vec").limit(MOST_CODES + 1).collect()
+    if len(rows) > MOST_CODES:
+        raise ValueError(f"a code book has at most {MOST_CODES} codes")
     held = vectors.sparkSession.sparkContext.broadcast((np.array([r["code_id"] for r in rows]), np.array([r["vec"] for r in rows], np.float64)))
 
     def run(batches):

@@ -118,3 +118,26 @@ def test_faithfulness_with_abbreviations_and_contradictions(spark):
     ]
     got = {r["k"]: r["faithfulness"] for r in M.faithfulness(spark.createDataFrame(rows_, "k int, a string, c array<string>"), "a", "c").collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0, 6: 1.0, 7: 0.0}
+
+
+def test_bm25_by_task_and_by_joins(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import retrieval as R
+
+    r = random.Random(1)
+    q = spark.createDataFrame([(k, " ".join(r.choice("abcde") + "x" for _ in range(4)) if k else None) for k in range(6)], "k int, text string")
+    c = spark.createDataFrame([(k, f"d{i}", None if i == 3 else " ".join(r.choice("abcdefgh") + "X" for _ in range(r.randrange(12)))) for k in range(1, 7) for i in range(k + 1)] + [(0, "only", "")], "k int, doc string, text string")
+    one = {(x["k"], x["doc"]): x["bm25"] for x in R.bm25(q, c).collect()}
+    monkeypatch.setattr(R, "CORPUS_AT_ONCE", 2)
+    two = {(x["k"], x["doc"]): x["bm25"] for x in R.bm25(q, c).collect()}
+    assert one.keys() == two.keys() and len(one) == c.count() and max(abs(one[x] - two[x]) for x in one) < 1e-9 and max(one.values()) > 0
+    assert R.bm25(q, c.limit(0)).count() == 0
+
+
+def test_nearest_vectors_in_blocks(spark):
+    from graphloom.operators import retrieval as R
+
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(60)] + [(99, None), (98, [0.0, 0.0, 0.0])], "vec_id bigint, embedding array<float>")
+    q = v.where("vec_id % 3 = 0")
+    assert rows(R.nearest_vectors(v, q, 4)) == rows(R.nearest_vectors(v, q, 4, block=5)) and R.nearest_vectors(v, q.limit(0), 4).count() == 0

@@ -91,8 +91,13 @@ class Index:
         self.ids, self.vocabulary, self.lengths, self.sizes = z["ids"], z["vocabulary"], z["lengths"].astype(np.int64), z["sizes"]
         self.first = np.concatenate([[0], np.cumsum(z["tally"], dtype=np.int64)])
         self.psi = np.cumsum(z["steps"], dtype=np.int32)
-        self.sampled, self.sampled_text = np.cumsum(z["rows"], dtype=np.int32), z["texts"]
         self.docs, self.n = len(self.ids), len(self.psi)
+        # a bit for each suffix whose text is stored, and the number of such bits before each word of 64
+        bits = np.zeros((self.n // 64 + 1) * 64, np.uint8)
+        bits[np.cumsum(z["rows"], dtype=np.int32)] = len(z["rows"]) > 0
+        self.bits = np.packbits(bits, bitorder="little").view("<u8")
+        self.before = np.cumsum(np.bitwise_count(self.bits), dtype=np.int32) - np.bitwise_count(self.bits)
+        self.sampled_text = z["texts"]
 
     def symbols(self, hashes):
         """Symbol of each word, -1 if no text of the shard has it."""
@@ -149,11 +154,10 @@ class Index:
 
         out, at, row = np.empty(len(rows), np.int64), np.arange(len(rows)), np.asarray(rows, np.int64)
         while len(row):
-            k = np.searchsorted(self.sampled, row)
-            k[k == len(self.sampled)] = 0
-            known = self.sampled[k] == row
-            end = row < self.docs
-            out[at[known]] = self.sampled_text[k[known]]
+            word, bit = self.bits[row >> 6], np.uint64(1) << (row & 63).astype(np.uint64)
+            known, end = (word & bit) != 0, row < self.docs
+            k = self.before[row[known] >> 6] + np.bitwise_count(word[known] & (bit[known] - np.uint64(1)))
+            out[at[known]] = self.sampled_text[k]
             out[at[end]] = row[end]
             go = ~(known | end)
             at, row = at[go], self.psi[row[go]].astype(np.int64)

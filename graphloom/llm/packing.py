@@ -24,6 +24,8 @@ CELLS = 1 << 20
 K1, B = 1.2, 0.75
 #: Share of the capacity, the last to be filled, in which size goes before score.
 CLOSING = 0.4
+#: Neighbours that are put in order at a time.
+PORTION = 64
 #: A container with less than this share filled is packed again.
 FULL = 0.985
 
@@ -83,12 +85,12 @@ class Retriever:
         # the lists of each document's terms; lists of one entry lead to no neighbour
         size = stop - start
         self.n = len(parts)
-        # lists that many texts are on are columns of a matrix, the others are posting lists
+        # lists that many texts are on are rows of a matrix, the others are posting lists
         wide = size > max(16, self.n // 16)
         column = np.cumsum(wide) - 1
         mine = wide[which]
-        self.matrix = np.zeros((self.n, int(wide.sum())), np.float32)
-        self.matrix[doc[mine], column[which[mine]]] = weight[mine]
+        self.matrix = np.zeros((int(wide.sum()), self.n), np.float32)
+        self.matrix[column[which[mine]], doc[mine]] = weight[mine]
         self.columns, self.columns_at = column[which[mine]], np.searchsorted(doc[mine], np.arange(self.n + 1))
         useful = (size[which] > 1) & ~mine
         self.lists_doc, self.lists = doc[useful], which[useful]
@@ -99,9 +101,7 @@ class Retriever:
         import numpy as np
 
         c = self.columns[self.columns_at[d] : self.columns_at[d + 1]]
-        asked = np.zeros(self.matrix.shape[1], np.float32)
-        asked[c] = 1.0
-        out = (self.matrix @ asked).astype(float)
+        out = self.matrix[c].sum(axis=0, dtype=float)
         w = self.lists[self.at[d] : self.at[d + 1]]
         if len(w):
             size = self.stop[w] - self.start[w]
@@ -137,18 +137,21 @@ def fill(sizes, capacity: int, neighbours, closing: float = CLOSING) -> list[lis
         if room and free and free[0][0] <= room:
             score = neighbours(seed)
             if score is not None:
-                ok = np.flatnonzero(unused & (score > 0) & (sizes <= room))
-                near = ok[np.argsort(-score[ok], kind="stable")]
+                left = np.flatnonzero(unused & (score > 0) & (sizes <= room))
                 for by_score in (True, False):
-                    if not by_score:
-                        near = near[np.argsort(-sizes[near], kind="stable")]
-                    while len(near) and room and not (by_score and room <= closing * capacity):
-                        i = int(near[0])
-                        take(bisect.bisect_left(free, (int(sizes[i]), i)))
-                        box.append(i)
-                        room -= int(sizes[i])
-                        near = near[1:]
-                        near = near[sizes[near] <= room]
+                    order = score if by_score else sizes
+                    while len(left) and room and not (by_score and room <= closing * capacity):
+                        # the best are sorted out in portions, until the room is filled or no neighbour is left
+                        part = left if len(left) <= PORTION else left[np.argpartition(-order[left], PORTION)[:PORTION]]
+                        near = part[np.lexsort((part, -order[part]))]
+                        while len(near) and room and not (by_score and room <= closing * capacity):
+                            i = int(near[0])
+                            take(bisect.bisect_left(free, (int(sizes[i]), i)))
+                            box.append(i)
+                            room -= int(sizes[i])
+                            near = near[1:]
+                            near = near[sizes[near] <= room]
+                        left = left[unused[left] & (sizes[left] <= room)]
             while room and free and free[0][0] <= room:
                 k = bisect.bisect_right(free, (room, 1 << 60)) - 1
                 room -= free[k][0]

@@ -197,6 +197,17 @@ def evidence_refs(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda m: F.regexp_replace(F.regexp_replace(m, "^edge_id:", "edge:"), "[.,;:]+$", "")))
 
 
+def answer_tags(c: Column) -> Column:
+    """Distinct bracketed references of an answer, in order; ``edge_id:`` reads as ``edge:``."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text(c), F.lit(TAG), F.lit(1)), lambda m: F.regexp_replace(m, "^edge_id:", "edge:")))
+
+
+def audit_claims_of(answer: Column, steps: Column) -> Column:
+    """Distinct sentences of an answer, then its steps (array), trimmed, in order."""
+    more = F.filter(F.transform(F.coalesce(steps, F.array().cast("array<string>")), lambda s: F.trim(text(s))), lambda s: s != "")
+    return F.array_distinct(F.concat(judge_claims(answer), more))
+
+
 def evidence_id(c: Column) -> Column:
     """A canonical evidence id: aliases of nothing become ``none``; the prefix's case is repaired; else the trimmed text."""
     t = F.trim(text(c))

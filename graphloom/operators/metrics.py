@@ -150,3 +150,13 @@ def faithfulness(df: DataFrame, answer: str, context: str) -> DataFrame:
     ok = F.size(F.filter("_c", lambda c: (F.size(c["w"]) > 0) & F.exists("_x", lambda e: supports(c, e))))
     score = F.when(F.size("_c") == 0, 1.0).when(F.size("_x") == 0, 0.0).otherwise(ok / F.size("_c"))
     return x.withColumn("faithfulness", score).select(*df.columns, "faithfulness")
+
+
+def contradiction_score(claim: Column, context: Column) -> Column:
+    """.8 for opposite cues in texts that share a word, else .7 for numbers that clash, else 0."""
+    return F.when(T.polarity_conflict(claim, context), 0.8).when(T.numeric_conflict(T.numbers(claim), T.numbers(context)), 0.7).otherwise(0.0)
+
+
+def entailment_score(claim: Column, context: Column) -> Column:
+    """The share of the claim's words that the context has."""
+    return T.overlap(T.tokens(claim), T.tokens(context))

@@ -48,3 +48,18 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, write) -> None:
     """Process what is there and stop; a later call resumes after it.  ``write`` is a foreachBatch function."""
     q = stream.writeStream.foreachBatch(lambda df, i: write(df, i, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def check_run(spark, path: str, config: dict) -> None:
+    """Store what a resumable run was started with, or raise if it is resumed with something else."""
+    import json
+
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = fs.Path(f"{path}/run_config")
+    text = json.dumps(config, sort_keys=True)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        had = spark.read.text(f"{path}/run_config").first()["value"]
+        if had != text:
+            raise ValueError(f"the run was started with {had}, not with {text}")
+    else:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/run_config")

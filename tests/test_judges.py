@@ -121,3 +121,28 @@ def test_vectors(spark):
     assert tuple(V.token_stability(q, q).first()) == (2, 2, 1.0)
     assert V.encode(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda xs: [[len(x), 1.0] for x in xs], 2).select("embedding").collect()[0][0] in ([2.0, 1.0], [0.0, 1.0])
     assert spark.sql("select array(5L, -1L) x").select(V.remapped(F.col("x"), 4)).first()[0] == [1, 3]
+
+
+def test_entities_resolved_and_mapped(spark):
+    from graphloom.operators import entities as E
+
+    n = spark.createDataFrame([("drug:w", "drug", "Warfarin"), ("disease:w", "disease", "warfarin "), ("disease:s", "disease", "stroke"), ("drug:c", "drug", "coded")], "node_id string, node_type string, node_name string")
+    deg = spark.createDataFrame([("disease:w", 9), ("drug:w", 1)], "node string, degree bigint")
+    con = spark.createDataFrame([("C0000001", "drug:c")], "cui string, node string")
+    e = spark.createDataFrame([(1, 0, "WARFARIN", None, None, "drug"), (1, 1, "warfarin", None, None, "other"), (1, 2, "x", "c0000001", None, "drug"), (1, 3, "x", None, "disease:s", "drug"), (1, 4, "zz", None, "gone:1", "other")], "k int, pos int, surface string, cui string, node string, entity_type string")
+    assert [r["node"] for r in E.resolve_entities(e, n, deg, con).orderBy("pos").collect()] == ["drug:w", "disease:w", "drug:c", "disease:s", None]
+    t = spark.createDataFrame([("Aspirin",), ("xmab",), ("pain",), ("q",), (None,)], "s string").select(E.entity_type(F.col("s")))
+    assert [r[0] for r in t.collect()] == ["drug", "drug", "symptom", "other", "other"]
+    m = spark.createDataFrame([(1, 9, " Zz ", None, "x", "other"), (1, 8, "new", None, None, "drug")], e.schema)
+    assert sorted(r["pos"] for r in E.merged_entities(e, m).collect()) == [0, 1, 2, 3, 4, 8]
+    c = spark.createDataFrame([(1, "s", 0, "A", 0.5, 0.9), (1, "s", 1, "B", 0.9, 0.1), (2, "s", 0, "A", 0.5, 0.2), (2, "s", 1, "B", 0.5, 0.2)], "k int, surface string, pos int, cui string, score double, context double")
+    assert rows(E.best_candidates(c)) == [(1, "s", "B"), (2, "s", "A")]
+    assert [E.mapper_backend(*x) for x in (("auto", ""), ("AUTO", "m"), ("direct", "m"))] == ["heuristic", "llm", "direct"]
+    r = spark.createDataFrame([(1, ["edge:E1", "E9"]), (2, None)], "record_id bigint, direct_edge_ids array<string>")
+    ev = spark.createDataFrame([(1, "E1"), (1, "E2"), (2, "E3")], "k bigint, edge_id string")
+    sc = spark.createDataFrame([(1, "E2", 4.0, 5), (1, "E1", 2.0, 1), (2, "E3", 3.0, 0)], "k bigint, edge_id string, score double, first_pos int")
+    got = {x["k"]: (x["direct"], x["missing"], x["selected"]) for x in E.map_edges(r, ev, sc).collect()}
+    assert got == {1: (["E1", "E9"], ["E9"], ["E1", "E2"]), 2: ([], [], ["E3"])}
+    assert {x["k"]: x["selected"] for x in E.map_edges(r, ev, sc, "direct").collect()} == {1: ["E1"], 2: []}
+    pick = lambda d: d.select("k", F.array(F.lit("E2"), F.lit("E8")).alias("edge_ids"))
+    assert {x["k"]: x["selected"] for x in E.map_edges(r, ev, sc, "llm", pick).collect()} == {1: ["E2"], 2: ["E3"]}

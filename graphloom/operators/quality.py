@@ -177,8 +177,14 @@ def bucket(successes: Column, passes: Column, max_nodes: Column, max_labels: Col
 
 
 def sample_summary(passes: DataFrame) -> DataFrame:
-    """sample_id, successes, passes, max_nodes, max_labels, bucket from pass rows (sample_id, success, nodes, labels)."""
-    g = passes.groupBy("sample_id").agg(F.count_if("success").alias("successes"), F.count("*").alias("passes"), F.max("nodes").alias("max_nodes"), F.max("labels").alias("max_labels"))
+    """sample_id, successes, passes, support_rate, max_nodes, max_labels, errors, bucket from pass rows.
+
+    Pass rows: sample_id, success, nodes, labels, and, where the table has them, edges (max_edges comes with it) and error.
+    """
+    more = [F.max("edges").alias("max_edges")] if "edges" in passes.columns else []
+    errors = F.count_if(F.col("error").isNotNull()) if "error" in passes.columns else F.lit(0).cast("bigint")
+    g = passes.groupBy("sample_id").agg(F.count_if("success").alias("successes"), F.count("*").alias("passes"), F.max("nodes").alias("max_nodes"), F.max("labels").alias("max_labels"), *more, errors.alias("errors"))
+    g = g.withColumn("support_rate", F.round(F.col("successes") / F.col("passes"), 6))
     return g.withColumn("bucket", bucket(F.col("successes"), F.col("passes"), F.col("max_nodes"), F.col("max_labels"), F.lit(None).cast("boolean")))
 
 

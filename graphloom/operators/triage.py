@@ -110,7 +110,7 @@ def record_coverage(records: DataFrame, seeds: DataFrame, evidence: DataFrame, w
 
 
 def triage_passes(records: DataFrame, nodes: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:
-    """sample_id, pass_name, success, nodes, labels: three rows a record.
+    """sample_id, pass_name, success, entities, edges, nodes, labels: three rows a record.
 
     Each pass links its text, expands by the relations of its question type (broad: those of ``other``) with fallback,
     ranks by PageRank and keeps 200 edges (broad 400).  The broad pass also matches names that no node has.  nodes are
@@ -129,5 +129,6 @@ def triage_passes(records: DataFrame, nodes: DataFrame, edges: DataFrame, work:
     gold = gold_order(evidence, texts.withColumn("record_id", F.col("k"))).select("k", F.explode(Q.node_path(F.col("edges"))).alias("node"))
     labels = gold.join(G.selected_nodes(evidence, seeds, work), ["k", "node"]).groupBy("k").agg(F.least(F.count("*"), F.lit(Q.LABEL_TOKENS)).alias("labels"))
     ends = seeds.unionByName(evidence.select("k", F.explode(F.array("head", "tail")).alias("node"))).distinct()
-    j = texts.select("k", F.col("record_id").alias("sample_id"), "pass_name").join(ends.groupBy("k").agg(F.count("*").alias("nodes")), "k", "left").join(labels, "k", "left").fillna(0, ["nodes", "labels"])
-    return j.select("sample_id", "pass_name", (F.col("nodes") > 0).alias("success"), "nodes", F.col("labels").cast("bigint").alias("labels"))
+    j = texts.select("k", F.col("record_id").alias("sample_id"), "pass_name").join(ends.groupBy("k").agg(F.count("*").alias("nodes")), "k", "left").join(labels, "k", "left")
+    j = j.join(evidence.groupBy("k").agg(F.count("*").alias("edges")), "k", "left").join(seeds.groupBy("k").agg(F.count("*").alias("entities")), "k", "left").fillna(0, ["nodes", "labels", "edges", "entities"])
+    return j.select("sample_id", "pass_name", (F.col("nodes") > 0).alias("success"), "entities", "edges", "nodes", F.col("labels").cast("bigint").alias("labels"))

@@ -55,3 +55,37 @@ def test_node_names(spark):
     e = spark.createDataFrame([(1, "N:a", "n:b"), (2, None, "zz")], "row_index bigint, head string, tail string")
     n = spark.createDataFrame([("n:a", "A"), ("n:b", "B2"), ("N:B ", "B1")], "node_id string, node_name string")
     assert rows(edge_keys.edges_with_node_names(e, n)) == [(1, "A", "B1"), (2, None, None)]
+
+
+def test_heavy_keys_miss_none(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.skew import heavy_keys
+
+    r = random.Random(8)
+    light = [f"l{r.randrange(6000)}" for _ in range(12_000)]
+    for shares in ([0.33], [0.05, 0.02, 0.011], [0.012] * 20):
+        keys = light + [f"h{i}" for i, s in enumerate(shares) for _ in range(int(s / (1 - sum(shares)) * len(light)) + 2)]
+        r.shuffle(keys)
+        df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(7)
+        got = heavy_keys(df, ["k"], 0.01)
+        true = {x["k"] for x in df.groupBy("k").count().where(F.col("count") >= 0.01 * len(keys)).collect()}
+        assert true <= set(got) and len(got) <= 200 and len(true) == len(shares)
+    two = spark.createDataFrame([("a", 1)] * 60 + [("a", None)] * 60 + [("b", i) for i in range(40)], "x string, y int")
+    assert heavy_keys(two, ["x", "y"], 0.3) == ["1:a1:1"]
+
+
+def test_hub_on_the_right(spark, monkeypatch):
+    from graphloom.operators import skew
+
+    from .conftest import rows
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 50)
+    left = spark.createDataFrame([(i, "hub" if i < 3 else f"n{i}") for i in range(40)], "i int, k string")
+    right = spark.createDataFrame([("hub", j) for j in range(200)] + [(f"n{j}", j) for j in range(60)], "k string, j int")
+    got = skew.heavy_light_join(left, right, ["k"], heavy=["hub"])
+    assert rows(got.select("k", "i", "j")) == rows(left.join(right, "k").select("k", "i", "j"))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)  # neither side may be broadcast: salted
+    assert rows(skew.heavy_light_join(left, right, ["k"], heavy=["hub"]).select("k", "i", "j")) == rows(left.join(right, "k").select("k", "i", "j"))

@@ -13,6 +13,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from .grounding import clamp, ground_claims, grounding_rollup
 
+#: Words of questions that ask for two steps (fixed values).
 COMPLEX = ["how", "why", "interaction", "interact", "mechanism", "cause", "contraind"]
 
 

@@ -11,6 +11,7 @@ from .skew import heavy_light_join
 
 LABEL_TOKENS, IGNORE = 256, -100
 MIN_NODE_COVERAGE, MIN_LABEL_RATIO, MIN_EDGE_COVERAGE = 0.8, 0.8, 1.0
+#: Accepted edge mappers and refused graphs (fixed values).
 BACKENDS = ["direct", "llm_*"]
 BAD_GRAPHS = ["", "empty", "missing"]
 

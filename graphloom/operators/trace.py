@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of the stages, in order (fixed values).
 STAGES = ["sample_load", "question_type", "entity_extraction", "primekg_retrieval", "pubmed_retrieval", "gold_mapping", "tensorization_preview", "seed_quality", "posthoc_audit"]
 HINTS = {
     "sample_load": "Check the source, its split and the record's id.",

@@ -81,6 +81,17 @@ def abstentions(spark, d):
     return j.select("k", reasoning.should_abstain(F.col("validity"), F.col("contradiction"), F.col("h5"), F.col("recommendation"), F.col("faithfulness")).alias("abstain"))
 
 
+def provenance_tags(spark, d):
+    x, paths = _decoded(spark, d, "tags")
+    best = x.work.keep(paths, "paths").where("rank = 1").select("k", F.col("edges").alias("path"))
+    e = x.edges.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "edge_id"))), lambda s: s["edge_id"]).alias("own"))
+    on = best.select("k", F.posexplode("path").alias("i", "edge_id")).join(x.edges.select("k", "edge_id", "pmids"), ["k", "edge_id"])
+    m = on.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "pmids"))), lambda s: s["pmids"])).alias("cited"))
+    p = x.passages.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pmid"))), lambda s: s["pmid"]).alias("read"))
+    j = x.records.select(F.col("record_id").alias("k")).join(best, "k", "left").join(m, "k", "left").join(e, "k", "left").join(p, "k", "left")
+    return j.select("k", F.array_join(reasoning.provenance_tags(F.col("path"), F.col("cited"), F.col("own"), F.col("read")), " ").alias("tags"))
+
+
 def _items(spark, d, x):
     """k, pos, item, token: nodes by their number of edges and passages in one order, with a token of each."""
     n = x.edges.select("k", F.explode(F.array("head", "tail")).alias("node")).groupBy("k", "node").agg(F.count("*").alias("n"))
@@ -238,7 +249,7 @@ def trace_verdicts(spark, d):
 def queries():
     return {
         f.__name__: f
-        for f in (entity_validation, path_soundness, guardian_decision, path_claims, revised_answers, abstentions, ranked_items, token_rows, token_types, reduced_tokens, gold_path_labels, training_graph_stats, training_label_stats, label_accuracies, node_features, edge_features, neighbour_means, initial_codebook, codebook_summary, top_codes, token_stability, passage_rerank, skip_summary, filter_benchmark, trace_verdicts)
+        for f in (entity_validation, path_soundness, guardian_decision, path_claims, revised_answers, abstentions, provenance_tags, ranked_items, token_rows, token_types, reduced_tokens, gold_path_labels, training_graph_stats, training_label_stats, label_accuracies, node_features, edge_features, neighbour_means, initial_codebook, codebook_summary, top_codes, token_stability, passage_rerank, skip_summary, filter_benchmark, trace_verdicts)
     }
 
 
@@ -290,6 +301,10 @@ def oracle_sql():
           SELECT record_id AS k, coalesce(n, answer, '') AS answer FROM qa_records LEFT JOIN rv ON rv.k = record_id""",
         "abstentions": f"""WITH {decoded_ctes().replace(BUNDLE, BUNDLE + rollup.replace('rf AS (', 'rfz AS MATERIALIZED (').replace(' c AS (', ' gcx AS (').replace('FROM c ', 'FROM gcx c ').replace(' v AS (', ' gvx AS (').replace('JOIN v ', 'JOIN gvx v '))}, {_CLASH}, vv AS (SELECT k, max(confidence) AS validity FROM rk GROUP BY 1)
           SELECT rfz.k, coalesce(validity, 0) < 0.4 OR coalesce(contradiction, 0) >= 0.5 OR h5 OR recommendation = 'ABSTAIN' OR faithfulness < 0.4 AS abstain FROM rfz LEFT JOIN vv ON vv.k = rfz.k LEFT JOIN cscore ON cscore.k = rfz.k""",
+        "provenance_tags": f"""WITH {decoded_ctes()}, bst AS (SELECT k, edges FROM rk WHERE rank = 1), oe AS (SELECT k, list(edge_id ORDER BY pos, edge_id) AS own FROM be GROUP BY 1), rp AS (SELECT k, list(pmid ORDER BY pos, pmid) AS rd FROM bp GROUP BY 1),
+          ct AS (SELECT u.k, flatten(list(pmids ORDER BY i)) AS cited FROM (SELECT k, unnest(edges) AS edge_id, unnest(range(len(edges))) AS i FROM bst) u JOIN be ON be.k = u.k AND be.edge_id = u.edge_id GROUP BY 1),
+          tg AS (SELECT record_id AS k, list_concat(list_transform(coalesce(edges, []::VARCHAR[]), lambda x: 'edge:' || x), list_transform(coalesce(cited, []::VARCHAR[]), lambda x: 'PMID:' || x), list_transform(coalesce(own, []::VARCHAR[]), lambda x: 'edge:' || x), list_transform(coalesce(rd, []::VARCHAR[]), lambda x: 'PMID:' || x)) AS l FROM qa_records LEFT JOIN bst ON bst.k = record_id LEFT JOIN ct ON ct.k = record_id LEFT JOIN oe ON oe.k = record_id LEFT JOIN rp ON rp.k = record_id)
+          SELECT k, array_to_string(({S.distinct('l')})[1:3], ' ') AS tags FROM tg""",
         "ranked_items": f"WITH {BUNDLE}, {_IT} SELECT k, pos, item, round(score, 6) AS score, token FROM it",
         "token_rows": f"WITH {BUNDLE}, {_IT} SELECT k, {WIDTH} AS width, array_to_string((list_concat(list(token ORDER BY pos), list_transform(range({WIDTH}), lambda i: {PAD}::BIGINT)))[1:24], ',') AS inputs, min_by(item, pos) AS first, count(*)::INT AS real FROM it GROUP BY k",
         "token_types": f"WITH {BUNDLE}, {_IT} SELECT k, count(*) FILTER (NOT starts_with(item, 'PMID:')) AS nodes, count(*) FILTER (starts_with(item, 'PMID:')) AS passages, {WIDTH} - count(*) AS pads, 0::BIGINT AS others FROM it GROUP BY k",

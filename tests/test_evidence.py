@@ -143,3 +143,32 @@ def test_nearest_vectors_in_blocks(spark):
     v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(60)] + [(99, None), (98, [0.0, 0.0, 0.0])], "vec_id bigint, embedding array<float>")
     q = v.where("vec_id % 3 = 0")
     assert rows(R.nearest_vectors(v, q, 4)) == rows(R.nearest_vectors(v, q, 4, block=5)) and R.nearest_vectors(v, q.limit(0), 4).count() == 0
+
+
+def test_cosine_and_running_counts(spark):
+    from graphloom.operators import retrieval as R
+    from graphloom.streaming import events as E
+
+    v = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([2.0, 2.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in v.select(R.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 1.0]
+    assert rows(E.bucket_counts(spark.createDataFrame([("x",), ("x",), (None,)], "bucket string"))) == [("x", 2), (None, 1)]
+
+
+def test_run_config(spark, tmp_path):
+    import pytest
+
+    from graphloom.streaming import events as E
+
+    E.check_run(spark, str(tmp_path), {"a": 1})
+    E.check_run(spark, str(tmp_path), {"a": 1})
+    with pytest.raises(ValueError):
+        E.check_run(spark, str(tmp_path), {"a": 2})
+
+
+def test_scores_of_claims_and_steps(spark):
+    from graphloom.functions import text as T
+
+    x = spark.createDataFrame([("Drug is safe.", "Drug is harmful.", ["s ", "", None]), ("Dose 5 mg.", "Dose 50 mg.", None), ("a b", None, None)], "c string, t string, s array<string>")
+    got = x.select(metrics.contradiction_score(F.col("c"), F.col("t")), metrics.entailment_score(F.col("c"), F.col("t")), T.audit_claims_of(F.col("c"), F.col("s"))).collect()
+    assert [r[0] for r in got] == [0.8, 0.7, 0.0] and got[0][1] == 0.5 and got[0][2] == ["Drug is safe.", "s"]
+    assert spark.sql("select 'x [edge_id:E1] [PMID:2] [edge:E1]' t").select(T.answer_tags(F.col("t"))).first()[0] == ["edge:E1", "PMID:2"]

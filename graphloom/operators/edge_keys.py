@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import key
+from ..workspace import Workspace
 from .skew import heavy_keys, heavy_light_aggregate, heavy_light_join
 
 FIELDS = ("head", "tail", "relation")
@@ -51,5 +52,6 @@ def edges_with_node_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     names = nodes.select(key(F.col("node_id")).alias("id"), "node_name").groupBy("id").agg(F.min("node_name").alias("name"))
     rows = edges.select("row_index", key(F.col("head")).alias("head_key"), key(F.col("tail")).alias("tail_key"))
     one = heavy_light_join(rows, names.select(F.col("id").alias("head_key"), F.col("name").alias("head_name")), ["head_key"], "left")
+    one = Workspace(edges.sparkSession, "named").keep(one, "heads")  # read more than once below
     two = heavy_light_join(one, names.select(F.col("id").alias("tail_key"), F.col("name").alias("tail_name")), ["tail_key"], "left", heavy_keys(rows, ["tail_key"]))
     return two.select("row_index", "head_name", "tail_name")

@@ -27,6 +27,10 @@ def test_two_hop_counts(spark, monkeypatch):
     _both(spark, monkeypatch, "two_hop_counts")
 
 
+def test_relation_fallback(spark, monkeypatch):
+    _both(spark, monkeypatch, "relation_fallback")
+
+
 def test_reach_by_bits_and_by_rows_agree():
     np = pytest.importorskip("numpy")
     r = np.random.default_rng(5)

@@ -62,9 +62,16 @@ def filter_benchmark(without: DataFrame, with_: DataFrame, stages: DataFrame, go
 
     ``without`` and ``with_`` have k and edge_id, ``stages`` k and stage, ``gold`` k and edge_id.  Edges count up to ``most``.
     """
-    n = lambda d, name: d.groupBy("k").agg(F.least(F.count("*"), F.lit(most)).alias(name))
+    n = lambda d, name: d.groupBy("k").agg(F.count("*").alias(name))
     kept = lambda d, name: gold.distinct().join(d.select("k", "edge_id").distinct(), ["k", "edge_id"], "left_semi").groupBy("k").agg(F.count("*").alias(name))
-    j = stages.select("k", "stage").join(n(without, "a"), "k", "left").join(n(with_, "b"), "k", "left").join(gold.distinct().groupBy("k").agg(F.count("*").alias("g")), "k", "left").join(kept(without, "ka"), "k", "left").join(kept(with_, "kb"), "k", "left").fillna(0)
+    j = stages.select("k", "stage").join(n(without, "a"), "k", "left").join(n(with_, "b"), "k", "left").join(kept(without, "ka"), "k", "left").join(kept(with_, "kb"), "k", "left")
+    return filter_summary(j, gold, most)
+
+
+def filter_summary(counts: DataFrame, gold: DataFrame, most: int = 200) -> DataFrame:
+    """``filter_benchmark`` of k, stage, a, b (edges before and after the filter), ka, kb (gold edges among them; null: none)."""
+    j = counts.join(gold.distinct().groupBy("k").agg(F.count("*").alias("g")), "k", "left").fillna(0)
+    j = j.withColumn("a", F.least("a", F.lit(most))).withColumn("b", F.least("b", F.lit(most)))
     share = lambda c: F.when(F.col("g") > 0, F.col(c) / F.col("g")).otherwise(0.0)
     g = j.rollup("stage").agg(
         F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean_before"), F.round(F.avg("b"), 6).alias("mean_after"), F.count_if(F.col("a") > 0).alias("any_before"), F.count_if(F.col("b") > 0).alias("any_after"),

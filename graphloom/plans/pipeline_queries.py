@@ -226,6 +226,11 @@ def skip_summary(spark, d):
 def filter_benchmark(spark, d):
     x = _Inputs(spark, d, "benchmark")
     seeds = x.seeds()
+    gold = read(spark, d, "eval_examples").select(F.col("eval_id").alias("k"), F.explode("gold_edges").alias("edge_id")).select("k", F.regexp_replace(F.trim("edge_id"), "^(edge_id|edge):", "").alias("edge_id"))
+    if (g := x.graph()) is not None:
+        asked, _, routes = graph.compact_questions(x.questions, seeds, g, x.edges, x.work, gold.distinct().join(g.ids, "edge_id").select("k", "e"))
+        one = lambda r, n, kept: graph.compact_counts(g, asked, r).select("k", *(["stage"] if r else []), F.col("candidate_edges").alias(n), F.col("kept").alias(kept))
+        return trace.filter_summary(one(routes, "b", "kb").join(one(None, "a", "ka"), "k"), gold)
     whole = x.work.keep(graph.expand(seeds, x.work.keep(graph.incidence(x.edges), "incidence")), "whole")
     found, stages = graph.routed_expansion(x.questions, seeds, x.edges, x.work)
     gold = read(spark, d, "eval_examples").select(F.col("eval_id").alias("k"), F.explode("gold_edges").alias("edge_id")).select("k", F.regexp_replace(F.trim("edge_id"), "^(edge_id|edge):", "").alias("edge_id"))

@@ -31,6 +31,10 @@ def test_relation_fallback(spark, monkeypatch):
     _both(spark, monkeypatch, "relation_fallback")
 
 
+def test_filter_benchmark(spark, monkeypatch):
+    _both(spark, monkeypatch, "filter_benchmark")
+
+
 def test_reach_by_bits_and_by_rows_agree():
     np = pytest.importorskip("numpy")
     r = np.random.default_rng(5)

@@ -35,6 +35,10 @@ def test_filter_benchmark(spark, monkeypatch):
     _both(spark, monkeypatch, "filter_benchmark")
 
 
+def test_edge_topk(spark, monkeypatch):
+    _both(spark, monkeypatch, "edge_topk")
+
+
 def test_reach_by_bits_and_by_rows_agree():
     np = pytest.importorskip("numpy")
     r = np.random.default_rng(5)
@@ -51,3 +55,26 @@ def test_reach_by_bits_and_by_rows_agree():
             want = (near, ends, sum(a in seeds or b in seeds for a, b in zip(h, t)), sum(a in near or b in near for a, b in zip(h, t)))
             for x in (fast, slow):
                 assert (set(np.flatnonzero(x[0])), set(np.flatnonzero(x[1])), *x[2:]) == want
+
+
+def test_best_edges_with_and_without_pruning():
+    np = pytest.importorskip("numpy")
+    r, n, m = np.random.default_rng(6), 25, 400
+    g = object.__new__(compact.Graph)
+    g.n, g.h, g.t, g.reliability = n, r.integers(0, n, m), r.integers(0, n, m), np.sort(r.choice([0.4, 0.7, 0.9], m))[::-1].copy()
+    g.most = 0.9
+    side = compact.Side(n, g.h, g.t, np.arange(m))
+    s = np.round(r.dirichlet(np.full(n, 0.1)), 9)
+    for seeds in (np.array([2]), np.array([4, 7, 11])):
+        a = side.reach(seeds)[0]
+        found = [e for e in range(m) if a[g.h[e]] or a[g.t[e]]]
+        value = {e: compact._rounded(np.array([0.45 * s[g.h[e]] + 0.45 * s[g.t[e]] + 0.1 * g.reliability[e] + (0.05 if g.h[e] in seeds or g.t[e] in seeds else 0.0)]), 8)[0] for e in found}
+        want = sorted(found, key=lambda e: (-value[e], e))
+        for most in (5, 20, 1000):
+            e, v = g.best(side, a, seeds, s, most)
+            assert e.tolist() == want[:most] and v.tolist() == [value[x] for x in want[:most]]
+
+
+def test_rounding_is_half_up_by_the_shortest_decimal():
+    np = pytest.importorskip("numpy")
+    assert compact._rounded(np.array([0.123456785, 0.05555555505, 0.1, 0.000000005]), 8).tolist() == [0.12345679, 0.05555556, 0.1, 0.00000001]

@@ -39,6 +39,10 @@ def test_edge_topk(spark, monkeypatch):
     _both(spark, monkeypatch, "edge_topk")
 
 
+def test_personalized_pagerank(spark, monkeypatch):
+    _both(spark, monkeypatch, "personalized_pagerank")
+
+
 def test_reach_by_bits_and_by_rows_agree():
     np = pytest.importorskip("numpy")
     r = np.random.default_rng(5)

@@ -35,6 +35,10 @@ def test_filter_benchmark(spark, monkeypatch):
     _both(spark, monkeypatch, "filter_benchmark")
 
 
+def test_two_hop(spark, monkeypatch):
+    _both(spark, monkeypatch, "two_hop")
+
+
 def test_edge_topk(spark, monkeypatch):
     _both(spark, monkeypatch, "edge_topk")
 

@@ -25,6 +25,22 @@ def token_rows(items: DataFrame, pad: int, width: int = LABEL_TOKENS) -> DataFra
     return g.select("k", fill(F.transform("l", lambda x: x["token"].cast("bigint")), pad, "bigint").alias("inputs"), fill(F.transform("l", lambda x: x["item"]), PAD, "string").alias("items"))
 
 
+def filled(c: Column, value, kind: str, width: int | Column = LABEL_TOKENS) -> Column:
+    """The array's first ``width`` entries, with ``value`` for those that it lacks (``width`` at most LABEL_TOKENS)."""
+    return F.slice(F.concat(c, F.array_repeat(F.lit(value).cast(kind), LABEL_TOKENS)), F.lit(1), width if isinstance(width, Column) else F.lit(width))
+
+
+def tokens_in_order(items: DataFrame) -> DataFrame:
+    """k, tokens (array<bigint>) by position, not filled.  ``items``: k, pos, token, positions from 0 without a gap."""
+    g = items.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").cast("bigint").alias("token")))).alias("l"))
+    return g.select("k", F.transform("l", lambda x: x["token"]).alias("tokens"))
+
+
+def unfilled(rows: DataFrame) -> DataFrame:
+    """k, labels without IGNORE."""
+    return rows.select("k", F.filter("labels", lambda x: x != IGNORE).alias("labels"))
+
+
 def path_labels(paths: DataFrame, items: DataFrame, width: int = LABEL_TOKENS) -> DataFrame:
     """k, labels, source_positions, labelled, missing of each gold path.
 

@@ -154,8 +154,8 @@ def training_label_stats(spark, d):
 def label_accuracies(spark, d):
     """The labels against the first tokens of the input rows, as a prediction."""
     x, _, items, lab = _labelled(spark, d, "accuracy")
-    rows = labels.token_rows(items, PAD)
-    return labels.accuracies(lab.join(rows.select("k", F.col("inputs").alias("predicted")), "k"))
+    rows = labels.unfilled(lab).hint("merge").join(labels.tokens_in_order(items), "k")
+    return labels.accuracies(rows.select(labels.filled(F.col("tokens"), PAD, "bigint", F.size("labels")).alias("predicted"), "labels"))
 
 
 def node_features(spark, d):
@@ -234,7 +234,6 @@ def filter_benchmark(spark, d):
         return trace.filter_summary(one(routes, "b", "kb").join(one(None, "a", "ka"), "k"), gold)
     whole = x.work.keep(graph.expand(seeds, x.work.keep(graph.incidence(x.edges), "incidence")), "whole")
     found, stages = graph.routed_expansion(x.questions, seeds, x.edges, x.work)
-    gold = read(spark, d, "eval_examples").select(F.col("eval_id").alias("k"), F.explode("gold_edges").alias("edge_id")).select("k", F.regexp_replace(F.trim("edge_id"), "^(edge_id|edge):", "").alias("edge_id"))
     return trace.filter_benchmark(whole, x.work.keep(found, "found"), stages, gold)
 
 

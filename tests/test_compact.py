@@ -86,3 +86,10 @@ def test_best_edges_with_and_without_pruning():
 def test_rounding_is_half_up_by_the_shortest_decimal():
     np = pytest.importorskip("numpy")
     assert compact._rounded(np.array([0.123456785, 0.05555555505, 0.1, 0.000000005]), 8).tolist() == [0.12345679, 0.05555556, 0.1, 0.00000001]
+
+
+def test_filled_labels_are_not_broadcast(spark):
+    # their files are so small that Spark takes the filled rows for small enough to send to the driver
+    for name in ("training_label_stats", "label_accuracies"):
+        plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan

@@ -3,14 +3,23 @@
 The evaluation texts are cut into shards of fixed size; each shard is a compressed full-text index, a self-index over
 the words of its texts: the successor array of their suffixes (the inverse of the Burrows-Wheeler transform's
 last-to-first mapping), which rises within each word and is stored as its differences, and the text numbers of every
-eighth suffix.  No text is kept beside it.  Training texts stream through backward search: every trigram gets the
-interval of evaluation suffixes that begin with it.  A training text that has too many trigrams without any occurrence
+eighth suffix.  No text is kept beside it.
+
+A training text meets only the shards where it may have a partner.  Trigrams are ordered from rare to frequent, by counts
+kept in a sketch of fixed size (any order is right).  Of two similar texts each has, among so many of its rarest trigrams
+as the two may differ in and a few more, those few in common; the rarest trigrams of the evaluation texts are postings,
+in tables of a few shards, and a training text goes to the shard of every evaluation text with which it has enough in
+common at ranks and sizes that similar texts can have.  This only leaves out shards without a partner.  Evaluation rows
+of the same text are one text of the index, and training rows of the same text that meet in a task are searched once.
+
+There training texts go through backward search: every trigram gets the interval of evaluation suffixes that begin with
+it.  A training text that has too many trigrams without any occurrence
 has no partner and ends there.  Of the others, the rarest trigrams, a few more than a partner may lack, are located;
 for an evaluation text that is found often enough for its length, the words' suffixes are read off the index and all
 occurrences are extended to maximal matches; the matches are merged into spans, and the trigrams in them are the
 trigrams that both texts share.  No partner is lost and none is capped.
 
-Tasks read the shards from the shared folder, one at a time, so an index is never at the driver nor broadcast.
+Tasks read the shards and the postings from the shared folder, one at a time, so neither is at the driver nor broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +35,15 @@ from ..workspace import Workspace, spread
 
 #: Evaluation rows of a shard; bounds the index that a worker holds.
 SHARD_ROWS = 20_000
-#: Words of training texts that a task holds while the shards pass by.
+#: Shards whose postings are one table; bounds the postings that a worker holds.
+GROUP = 8
+#: Cells of the sketch of trigram counts, 4 bytes each.
+CELLS = 1 << 22
+#: Rare trigrams that two texts must share before one is sent to the other's shard.
+AGREED = 4
+#: Tasks over which the training texts of a shard are dealt.
+SALTS = 8
+#: Words of training texts that a task holds while the postings, or the shards, pass by.
 HELD_WORDS = 4_000_000
 #: Where workers cannot read the shared folder themselves: bytes of shards that one pass may broadcast.
 PASS_BYTES = 32_000_000
@@ -43,7 +60,7 @@ class Index:
     """Backward search, location and extraction over the word sequences of a shard's texts."""
 
     @staticmethod
-    def build(ids, texts: list[str]) -> bytes:
+    def build(ids, texts: list[str], sizes=None) -> bytes:
         import numpy as np
         import zstandard
 
@@ -75,7 +92,7 @@ class Index:
         doc = np.searchsorted(ends, order)
         first_of = np.concatenate([[0], ends[:-1] + 1]) if docs else ends
         sampled = np.flatnonzero((order - first_of[doc]) % SAMPLED == 0) if n else np.zeros(0, np.int64)
-        _, _, sizes = T.trigram_sets(texts)
+        sizes = T.trigram_sets(texts)[2] if sizes is None else sizes
         buf = io.BytesIO()
         np.savez(
             buf, ids=np.asarray(ids, np.int64), vocabulary=vocabulary, lengths=counts.astype(np.int32), sizes=sizes.astype(np.int32), tally=np.bincount(seq, minlength=docs + len(vocabulary)).astype(np.int32),
@@ -286,37 +303,258 @@ def _text(q, a, answers: bool) -> str:
     return f"{body(q)} {a or ''}" if answers else body(q)
 
 
+def _texts(table, answers: bool) -> list[str]:
+    return [_text(q, a, answers) for q, a in zip(table.column("q").to_pylist(), table.column("a").to_pylist())]
+
+
+def _in_shards(evaluation: DataFrame, shards: int) -> DataFrame:
+    return evaluation.select("id", "q", "a", F.pmod(F.xxhash64("id"), F.lit(max(shards, 1))).cast("int").alias("shard"))
+
+
 def build_shards(evaluation: DataFrame, answers: bool, work: Workspace) -> tuple[str, int]:
     """(folder of the indexes in the shared folder, a file a shard; their number)."""
     n = evaluation.count()
     shards = -(-n // SHARD_ROWS)
 
     def build(table):
+        import numpy as np
         import pyarrow as pa
 
-        texts = [_text(q, a, answers) for q, a in zip(table.column("q").to_pylist(), table.column("a").to_pylist())]
-        return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([Index.build(table.column("id").to_pylist(), texts)], pa.binary())})
+        from . import text as T
+
+        texts = _texts(table, answers)
+        g, _, sizes = T.trigram_sets(texts)
+        cells = np.stack(np.unique((g & T.U(CELLS - 1)).astype(np.int64), return_counts=True)).astype("<u4")
+        return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([Index.build(table.column("id").to_pylist(), texts, sizes)], pa.binary()), "cells": pa.array([cells.tobytes()], pa.binary())})
 
-    rows = evaluation.select("id", "q", "a", F.pmod(F.xxhash64("id"), F.lit(max(shards, 1))).cast("int").alias("shard"))
     path = work.folder("shards")
-    rows.groupBy("shard").applyInArrow(build, "shard int, blob binary").write.option("compression", "none").partitionBy("shard").parquet(path)
+    _in_shards(evaluation, shards).groupBy("shard").applyInArrow(build, "shard int, blob binary, cells binary").write.option("compression", "none").partitionBy("shard").parquet(path)
     return path, shards
 
 
-def read_shard(path: str, shard: int) -> Index | None:
-    """A shard's index, read from the shared folder by the process that needs it; None if no row fell into the shard."""
+def _stored(path: str, column: str):
+    """The one value of a folder of the shared folder, read by the process that needs it; None if there is none."""
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
 
-    where, at = fs.FileSystem.from_uri(f"{path}/shard={shard}")
+    where, at = fs.FileSystem.from_uri(path)
     if where.get_file_info(at).type == fs.FileType.NotFound:
         return None
     for f in where.get_file_info(fs.FileSelector(at)):
         if f.base_name.endswith(".parquet"):
-            return Index(pq.read_table(f.path, filesystem=where, columns=["blob"], partitioning=None).column("blob")[0].as_py())
+            got = pq.read_table(f.path, filesystem=where, columns=[column], partitioning=None).column(column)
+            if len(got):
+                return got[0].as_buffer()
     return None
 
 
+def read_shard(path: str, shard: int) -> Index | None:
+    """A shard's index; None if no row fell into the shard."""
+    blob = _stored(f"{path}/shard={shard}", "blob")
+    return None if blob is None else Index(blob)
+
+
+def build_sketch(spark, path: str, shards: int, work: Workspace) -> str:
+    """Folder of the sketch: in how many evaluation texts the trigrams of each cell are, summed over the shards."""
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                if (x := _stored(f"{path}/shard={k}", "cells")) is not None:
+                    cell, n = np.frombuffer(x, "<u4").reshape(2, -1)
+                    total[cell] += n
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["counts"])
+
+    folder = work.folder("sketch")
+    spark.range(0, shards, 1, 1).mapInArrow(add, "counts binary").write.option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def _read_sketch(folder: str):
+    import numpy as np
+
+    return np.frombuffer(_stored(folder, "counts"), "<u4")
+
+
+def _rarest(texts: list[str], counts, num: int, den: int):
+    """(trigram, text, rank in its text) of the trigrams of which two similar texts share AGREED, or all; set sizes."""
+    import numpy as np
+
+    from . import text as T
+
+    g, doc, n = T.trigram_sets(texts)
+    # by text, then from rare to frequent, then by hash: g is sorted within a text and the sort is stable
+    o = np.argsort((doc.astype(T.U) << T.U(32)) | counts[(g & T.U(CELLS - 1)).astype(np.int64)].astype(T.U), kind="stable")
+    rank = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+    keep = rank < (n - (num * n + den - 1) // den + AGREED)[doc]
+    return g[o][keep], doc[keep], rank[keep], n
+
+
+def _furthest(n, rank, num: int, den: int):
+    """The largest size of a text of which a partner of size n has a trigram at this rank among those that count."""
+    return (num + den) * (n - rank + AGREED - 1) // num - n
+
+
+class Postings:
+    """The rarest trigrams of some shards' texts: texts are numbered by size, so a range of sizes is a range of a list."""
+
+    @staticmethod
+    def build(shard, size, g, text, furthest) -> bytes:
+        import numpy as np
+
+        by_size = np.argsort(size, kind="stable")
+        number = np.empty(len(size), np.int64)
+        number[by_size] = np.arange(len(size))
+        names, k = np.unique(g, return_inverse=True)
+        key = (k.astype(np.int64) << 32) | number[text]
+        o = np.argsort(key)
+        buf = io.BytesIO()
+        np.savez(buf, names=names, key=key[o], furthest=furthest[o].astype(np.int32), size=size[by_size].astype(np.int32), shard=shard[by_size].astype(np.int32))
+        return buf.getvalue()
+
+    def __init__(self, blob):
+        import numpy as np
+        import pyarrow as pa
+
+        z = np.load(pa.BufferReader(blob))
+        self.names, self.key, self.furthest, self.size, self.shard = (z[c] for c in ("names", "key", "furthest", "size", "shard"))
+        # texts of fewer trigrams than each number
+        self.below = np.searchsorted(self.size, np.arange(int(self.size[-1]) + 2)) if len(self.size) else np.zeros(1, np.int64)
+
+    def shards_of(self, g, x, rank, n, num: int, den: int):
+        """(text, shard) of all texts x that may have a partner in a shard; g, x, rank of their rarest trigrams, n their sizes.
+
+        Tokens are given in the order of x.
+        """
+        import numpy as np
+
+        none = np.zeros((0, 2), np.int64)
+        if not len(g) or not len(self.names):
+            return none
+        # lists are looked up in their order
+        o = np.argsort(g, kind="stable")
+        new = np.append(True, g[o][1:] != g[o][:-1])
+        mine = g[o][new]
+        k = np.minimum(np.searchsorted(self.names, mine), len(self.names) - 1)
+        here = (self.names[k] == mine)[of := np.cumsum(new) - 1]
+        o, k = o[here], k[of[here]].astype(np.int64) << 32
+        nx, last = n[x[o]], len(self.below) - 1
+        low = self.below[np.minimum((num * nx + den - 1) // den, last)]
+        high = self.below[np.clip(np.minimum(den * nx // num, _furthest(nx, rank[o], num, den)) + 1, 0, last)]
+        lo, hi = np.searchsorted(self.key, k | low), np.searchsorted(self.key, k | high)
+        some = hi > lo
+        o, lo, m = o[some], lo[some], (hi - lo)[some]
+        back = np.argsort(o)
+        x, lo, m = x[o][back], lo[back], m[back]
+        run, texts, out = np.concatenate([[0], np.cumsum(m)]), len(self.size), [none]
+        starts = np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x))
+        i = 0
+        while i < len(starts) - 1:
+            # texts whose postings fill a block; a single text never has more than its trigrams times the texts
+            j = max(i + 1, int(np.searchsorted(run[starts], run[starts[i]] + LOCATED, side="right")) - 1)
+            s0, s1 = starts[i], starts[j]
+            i = j
+            at = np.repeat(lo[s0:s1] - (run[s0:s1] - run[s0]), m[s0:s1]) + np.arange(run[s1] - run[s0])
+            whose = np.repeat(x[s0:s1], m[s0:s1])
+            ok = self.furthest[at] >= n[whose]
+            pair, hits = np.unique(whose[ok] * texts + (self.key[at[ok]] & 0xFFFFFFFF), return_counts=True)
+            a, b = pair // texts, pair % texts
+            ok = hits >= np.minimum((num * (n[a] + self.size[b]) + num + den - 1) // (num + den), AGREED)
+            out.append(np.unique(np.stack([a[ok], self.shard[b[ok]]], axis=1), axis=0))
+        return np.concatenate(out)
+
+
+def build_postings(evaluation: DataFrame, shards: int, answers: bool, sketch: str, work: Workspace, num: int, den: int) -> tuple[str, int]:
+    """(folder of the postings, a file for each GROUP shards; their number)."""
+    group = GROUP
+
+    def rare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from . import text as T
+
+        counts = _read_sketch(sketch)
+        for b in batches:
+            texts, shard = _texts(b, answers), b.column("shard").to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in T.slices([len(x) + 1 for x in texts]):
+                g, doc, rank, n = _rarest(texts[i:j], counts, num, den)
+                top, to, rows = _furthest(n[doc], rank, num, den), shard[i:j] // group, []
+                for k in np.unique(to):
+                    mine = (to == k) & (n > 0)
+                    use = mine[doc]
+                    parts = shard[i:j][mine], n[mine], g[use], (np.cumsum(mine) - 1)[doc[use]], top[use]
+                    rows.append((int(k), *(np.ascontiguousarray(v).astype(t).tobytes() for v, t in zip(parts, _PACKED.values()))))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * len(_PACKED))], ["part", *_PACKED])
+
+    def merge(table):
+        import numpy as np
+        import pyarrow as pa
+
+        cols = {c: [np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in _PACKED.items()}
+        first = np.cumsum([0] + [len(v) for v in cols["shard"]])
+        cols["text"] = [v.astype(np.int64) + at for v, at in zip(cols["text"], first)]
+        return pa.table({"part": table.column("part").slice(0, 1), "blob": pa.array([Postings.build(*(np.concatenate(cols[c]) for c in _PACKED))], pa.binary())})
+
+    path = work.folder("postings")
+    packed = spread(_in_shards(evaluation, shards)).mapInArrow(rare, "part int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    packed.groupBy("part").applyInArrow(merge, "part int, blob binary").write.option("compression", "none").partitionBy("part").parquet(path)
+    return path, -(-shards // group)
+
+
+#: Columns of packed postings.
+_PACKED = {"shard": "<i4", "size": "<i4", "g": "<u8", "text": "<u4", "furthest": "<i4"}
+ROUTED = "shard int, id bigint, q string, a string"
+
+
+def _route(batches, answers: bool, num: int, den: int, sketch: str, postings: str, parts: int):
+    """Rows of ROUTED: each text once for every shard where it may have a partner."""
+    import numpy as np
+    import pyarrow as pa
+
+    from . import text as T
+
+    counts = _read_sketch(sketch)
+
+    def send(rows, found, weights):
+        table = pa.Table.from_batches(rows)
+        sizes = np.concatenate([f[3] for f in found])
+        first = np.cumsum([0] + [len(f[3]) for f in found])
+        g, rank = (np.concatenate([f[c] for f in found]) for c in (0, 2))
+        x = np.concatenate([f[1] + at for f, at in zip(found, first)])
+        for k in range(parts):
+            if (blob := _stored(f"{postings}/part={k}", "blob")) is None:
+                continue
+            to = Postings(blob).shards_of(g, x, rank, sizes, num, den)
+            for i, j in T.slices([weights[v] for v in to[:, 0].tolist()]):
+                got = table.take(pa.array(to[i:j, 0])).combine_chunks()
+                yield from got.add_column(0, "shard", pa.array(to[i:j, 1].astype(np.int32))).to_batches()
+
+    rows, found, weights = [], [], []
+    for b in batches:
+        texts = _texts(b, answers)
+        weights += [len(x) + 8 for x in texts]
+        for i, j in T.slices(weights[-len(texts) :]):
+            found.append(_rarest(texts[i:j], counts, num, den))
+        rows.append(b)
+        if sum(weights) > 8 * HELD_WORDS:  # characters of a word, and bytes of an empty text
+            yield from send(rows, found, weights)
+            rows, found, weights = [], [], []
+    if rows:
+        yield from send(rows, found, weights)
+
+
+def routed_texts(evaluation: DataFrame, training: DataFrame, path: str, shards: int, answers: bool, work: Workspace, num: int, den: int) -> DataFrame:
+    """shard, id, q, a: each training text once for every shard of ``build_shards`` where it may have a partner."""
+    sketch = build_sketch(training.sparkSession, path, shards, work)
+    postings, parts = build_postings(evaluation, shards, answers, sketch, work, num, den)
+    return training.mapInArrow(lambda batches: _route(batches, answers, num, den, sketch, postings, parts), ROUTED)
+
+
 SCHEMA = "eval_id bigint, train_key bigint, shared int, all_trigrams int, spans int, longest_match int"
 
 
@@ -356,29 +594,77 @@ def _search(batches, answers: bool, num: int, den: int, indexes):
         yield from look(ids, hs, cs)
 
 
+def _search_once(batch, answers: bool, num: int, den: int, index):
+    """The same for one batch and one shard; texts that are alike are searched once."""
+    import numpy as np
+    import pyarrow as pa
+
+    alike: dict[tuple, int] = {}
+    which = np.array([alike.setdefault(t, len(alike)) for t in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist())], np.int64)
+    ids = batch.column("id").take(pa.array(np.argsort(which, kind="stable")))
+    n = np.bincount(which, minlength=len(alike))
+    first = np.cumsum(n) - n
+    distinct = pa.RecordBatch.from_arrays([pa.array(range(len(alike)), pa.int64()), *(pa.array([t[c] for t in alike], pa.string()) for c in (0, 1))], ["id", "q", "a"])
+    for found in _search([distinct], answers, num, den, lambda: [index]):
+        t = found.column("train_key").to_numpy()
+        m = n[t]
+        at = np.repeat(first[t] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        rows = found.take(pa.array(np.repeat(np.arange(len(t)), m)))
+        yield rows.set_column(1, "train_key", ids.take(pa.array(at)))
+
+
+def _search_routed(batches, answers: bool, num: int, den: int, path: str):
+    """The same for rows of ROUTED in the order of their shards, each searched in its own shard."""
+    import numpy as np
+
+    known, index = None, None
+    for b in batches:
+        shard = b.column("shard").to_numpy(zero_copy_only=False)
+        edges = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]])
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if shard[i] != known:
+                index = None  # one at a time
+                known, index = shard[i], read_shard(path, int(shard[i]))
+            yield from _search_once(b.slice(i, j - i), answers, num, den, index)
+
+
 def find_overlaps(evaluation: DataFrame, training: DataFrame, answers: bool, work: Workspace, num: int = NUM, den: int = DEN, by_file: bool | None = None) -> DataFrame:
     """eval_id, train_key, shared, all_trigrams, spans, longest_match of all pairs of similarity num/den or more.
 
     Both tables have id, q (question) and a (answer).  With ``answers`` a text is the question body, a space and the
     answer, else the body.  Null texts are empty; texts of fewer than three words have no partner.  Repeated rows
     each count.  Empty tables give no rows.  ``spans`` counts the training text's merged matches, ``longest_match`` is the
-    longest maximal match in words.  Workers read the shards from the shared folder; where they cannot (``by_file``
-    False, or no Python file system for its scheme) shards are broadcast in passes, one at a time, each pass's rows
-    written before its broadcast is dropped.
+    longest maximal match in words.  Workers read shards and postings from the shared folder; where they cannot
+    (``by_file`` False, or no Python file system for its scheme) shards are broadcast in passes, one at a time, each
+    pass's rows written before its broadcast is dropped; all training texts then go through all shards.
     """
+    texts, members = _distinct(evaluation, work)
+    pairs = work.keep(_text_overlaps(texts, training, answers, work, num, den, by_file), "pairs")
+    return heavy_light_join(pairs.withColumnRenamed("eval_id", "text"), members, ["text"]).select("eval_id", *pairs.columns[1:])
+
+
+def _distinct(evaluation: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(id, q, a of the distinct texts; eval_id and the id of its text of every row)."""
+    q, a = F.coalesce("q", F.lit("")), F.coalesce("a", F.lit(""))
+    named = evaluation.select(F.col("id").alias("eval_id"), "q", "a", F.md5(F.concat(F.length(q), F.lit(":"), q, a)).alias("digest"))
+    texts = work.keep(named.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("id"), "q", "a", "digest"), "texts")
+    return texts.drop("digest"), work.keep(heavy_light_join(named.select("eval_id", "digest"), texts.select("digest", F.col("id").alias("text")), ["digest"]).select("eval_id", "text"), "members")
+
+
+def _text_overlaps(texts: DataFrame, training: DataFrame, answers: bool, work: Workspace, num: int, den: int, by_file: bool | None) -> DataFrame:
+    """``find_overlaps`` for evaluation texts, whose ids stand for eval_id."""
     spark = training.sparkSession
-    path, shards = build_shards(evaluation, answers, work)
+    path, shards = build_shards(texts, answers, work)
     if not shards:
         return spark.createDataFrame([], SCHEMA)
     rows = spread(training.select("id", "q", "a"))
     if by_file is None:
         by_file = _readable(path)
     if by_file:
-
-        def run(batches):
-            return _search(batches, answers, num, den, lambda: (x for k in range(shards) if (x := read_shard(path, k)) is not None))
-
-        return rows.mapInArrow(run, SCHEMA)
+        routed = routed_texts(texts, rows, path, shards, answers, work, num, den)
+        cores = spark.sparkContext.defaultParallelism
+        routed = routed.repartition(max(3 * cores, shards), "shard", F.pmod(F.xxhash64("q", "a"), F.lit(SALTS))).sortWithinPartitions("shard", F.xxhash64("q", "a"))
+        return routed.mapInArrow(lambda batches: _search_routed(batches, answers, num, den, path), SCHEMA)
     table = spark.read.parquet(path)
     sizes = table.select("shard", F.length("blob").alias("size")).orderBy("shard").collect()  # one row a shard
     result, at = None, 0

@@ -88,3 +88,53 @@ def test_spans():
     h, n = T.word_hashes(["five six seven eight one two three four"])
     (x,) = ix.partners(h, n, 1, 5)
     assert x[2] == 4 and x[4:] == (2, 4)
+
+
+def test_only_shards_with_a_partner_are_searched(spark, monkeypatch):
+    rows = [(i, f"t{i} " + " ".join(f"v{i}x{k}" for k in range(12)), None) for i in range(400)]
+    r = spark.createDataFrame(rows, "id bigint, q string, a string")
+    e = r.where("id < 100").unionByName(r.where("id < 30").selectExpr("id + 1000 AS id", "q", "a"))  # with copies
+    monkeypatch.setattr(C, "SHARD_ROWS", 5)
+    monkeypatch.setattr(C, "GROUP", 3)
+    work = C.Workspace(spark, "t")
+    got = C.find_overlaps(e, r, False, work, by_file=True).collect()
+    assert sorted((x.eval_id, x.train_key) for x in got) == sorted([(i, i) for i in range(100)] + [(i + 1000, i) for i in range(30)])
+    texts, members = C._distinct(e, work)
+    assert texts.count() == 100 and members.count() == 130
+    path, shards = C.build_shards(texts, False, work)
+    sent = C.routed_texts(texts, r, path, shards, False, work, 3, 5).collect()
+    assert shards == 20 and sorted(x.id for x in sent) == list(range(100))  # not 400 texts in each of 20 shards
+
+
+def test_no_partner_is_routed_past(monkeypatch):
+    import random
+
+    r = random.Random(11)
+    for num, den in ((3, 5), (1, 5), (9, 10)):
+        make = lambda: [r.choice("abcdefgh") for _ in range(r.randrange(0, 16))]
+        ys = [make() for _ in range(150)]
+        xs = [list(r.choice(ys)) for _ in range(150)]
+        for x in xs:
+            for _ in range(r.randrange(0, 4)):
+                x.insert(r.randrange(len(x) + 1), r.choice("abcdefgh"))
+        xs, ys = [" ".join(x) for x in xs], [" ".join(y) for y in ys]
+        counts = np.zeros(C.CELLS, np.uint32)
+        np.add.at(counts, (T.trigram_sets(ys)[0] & T.U(C.CELLS - 1)).astype(np.int64), 1)
+        for limit in (2_000_000, 10):
+            monkeypatch.setattr(C, "LOCATED", limit)
+            g, doc, rank, n = C._rarest(ys, counts, num, den)
+            post = C.Postings(C.Postings.build(np.arange(len(ys)), n, g, doc, C._furthest(n[doc], rank, num, den)))
+            g, doc, rank, n = C._rarest(xs, counts, num, den)
+            got = {(int(x), int(s)) for x, s in post.shards_of(g, doc, rank, n, num, den)}
+            want = {(i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if similarity(trigrams(x), trigrams(y)) * den >= num - 1e-9}
+            assert len(want) > 30 and want <= got and len(got) < len(xs) * len(ys) / 2
+
+
+def test_texts_that_are_alike_are_searched_once():
+    import pyarrow as pa
+
+    ix = C.Index(C.Index.build([7, 8], ["one two three four five", "six seven eight nine"]))
+    q = ["six seven eight nine", "one two three four five", "none", "six seven eight nine", None, "one two three four five"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(q, pa.string()), pa.nulls(6, pa.string())], ["id", "q", "a"])
+    got = [t for b in C._search_once(rows, False, 3, 5, ix) for t in zip(b.column("eval_id").to_pylist(), b.column("train_key").to_pylist())]
+    assert sorted(got) == [(7, 1), (7, 5), (8, 0), (8, 3)]

@@ -39,6 +39,20 @@ def test_two_hop(spark, monkeypatch):
     _both(spark, monkeypatch, "two_hop")
 
 
+def test_two_hop_in_many_groups_and_blocks(spark, monkeypatch):
+    # groups of a question or none, and tasks that begin within a group
+    monkeypatch.setattr(compact, "BIT_BYTES", 100)
+    monkeypatch.setattr(compact, "TASK_PAIRS", 3_000)
+    _both(spark, monkeypatch, "two_hop")
+
+
+def test_two_hop_writes_few_bytes_a_row(spark, tmp_path):
+    # a question lists half of the graph, so a row must not hold its edge id (7 bytes a row, 100 GB at 0.1 GB of input)
+    entry.queries()["two_hop"](spark, "/root/testdata/sf0.01").write.parquet(str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * written.count() and written.count() > 500_000
+
+
 def test_edge_topk(spark, monkeypatch):
     _both(spark, monkeypatch, "edge_topk")
 
